@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, times
-from ..operators import deliveries, late, rolling
+from ..operators import deliveries, late, rolling, schema_drift
 from ..schema import SCHEMA_VERSION, TOKEN_FIELDS
 from ..session import cut, table
 
@@ -123,6 +123,22 @@ P3_ROLLING_SQL = f"""WITH {_ROLLED_SQL} SELECT provider, strftime(day, '%Y-%m-%d
 CAST(sum30 AS BIGINT) AS sum30, round(CAST(sum7 AS DOUBLE) / 7, 4) AS avg7, round(CAST(sum30 AS DOUBLE) / 30, 4) AS avg30 FROM rolled"""
 
 
+# ---- 4: schemas that drift between files
+
+
+def _layouts(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_drift.reduced(table(spark, folder, "daily_files"), "file_id", "machine", "received_at", "body")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_drift.changes(_layouts(spark, folder)).select(F.col("id").alias("file_id"), "field", "change", "new_field")
+
+
+def p4_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """The fused schema with every alternative type per path and the file that brought it."""
+    return schema_drift.inferred(_layouts(spark, folder))
+
+
 # ---- 5: messages delivered more than once
 
 _COUNTED = "message.usage is not null"
@@ -165,5 +181,5 @@ message.usage.input_tokens AS input_tokens, message.usage.output_tokens AS outpu
 message.usage.cache_read_input_tokens AS cache_read_input_tokens FROM transcripts t JOIN ranked r ON t.row_id = r.row_id WHERE r.n = 1"""
 
 
-QUERIES = {"p2_found": p2_found, "p2_date_totals": p2_date_totals, "p2_closings": p2_closings, "p3_found": p3_found, "p3_rolling": p3_rolling, "p5_found": p5_found, "p5_messages": p5_messages}
+QUERIES = {"p2_found": p2_found, "p2_date_totals": p2_date_totals, "p2_closings": p2_closings, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_schema": p4_schema, "p5_found": p5_found, "p5_messages": p5_messages}
 SQL = {"p2_found": P2_FOUND_SQL, "p2_date_totals": P2_DATE_TOTALS_SQL, "p3_found": P3_FOUND_SQL, "p3_rolling": P3_ROLLING_SQL, "p5_found": P5_FOUND_SQL, "p5_messages": P5_MESSAGES_SQL}
