@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, times
-from ..session import table
-from . import overlap
+from ..session import cut, table
+from . import encode, overlap, packing
 
 # ---- 1: overlap sizes
 
@@ -23,12 +23,12 @@ def _named(pairs: DataFrame) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     # the counts feed three inputs of the joins: they are few, so they are written once
-    return _named(overlap.overlaps(_cut(_counts(spark, folder)))).filter("shared * 10 >= union").select("date", "machine_a", "machine_b")
+    return _named(overlap.overlaps(cut(_counts(spark, folder)))).filter("shared * 10 >= union").select("date", "machine_a", "machine_b")
 
 
 def p1_shared(spark: SparkSession, folder: str) -> DataFrame:
     """How many calls each pair of machines shares on each date, with the sizes of both."""
-    return _named(overlap.overlaps(_cut(_counts(spark, folder))))
+    return _named(overlap.overlaps(cut(_counts(spark, folder))))
 
 
 def p1_sketched(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,12 +39,6 @@ def p1_sketched(spark: SparkSession, folder: str) -> DataFrame:
     return _named(overlap.sketch_overlaps(newest, "date", "machine", "sketch")).withColumn("jaccard", F.round("jaccard", 6))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from ..session import cut
-
-    return cut(df)
-
-
 _PAIRS_SQL = """m AS (SELECT DISTINCT strftime("timestamp" AT TIME ZONE 'UTC', '%Y-%m-%d') AS date, machine, fingerprint FROM invocations WHERE machine IS NOT NULL AND fingerprint IS NOT NULL AND "timestamp" IS NOT NULL),
  sizes AS (SELECT date, machine, count(*) AS n FROM m GROUP BY 1, 2),
  shared AS (SELECT a.date, a.machine AS machine_a, b.machine AS machine_b, count(*) AS shared FROM m a JOIN m b ON a.date = b.date AND a.fingerprint = b.fingerprint AND a.machine < b.machine GROUP BY 1, 2, 3),
@@ -53,5 +47,33 @@ P1_FOUND_SQL = f'WITH {_PAIRS_SQL} SELECT date, machine_a, machine_b FROM pairs
 P1_SHARED_SQL = f"WITH {_PAIRS_SQL} SELECT * FROM pairs"
 
 
-QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p1_sketched": p1_sketched}
+# ---- 6: encoding of the corpus
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.encoded(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+# ---- 7: containers
+
+CAPACITY = 2048
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    sized = encode.counted(table(spark, folder, "documents").select("doc_id", "text"))
+    return packing.packed(sized, "doc_id", "n_tokens", CAPACITY)
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """A container for each document, or each piece of one over the capacity."""
+    return _packed(spark, folder)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How many containers hold how many tokens."""
+    c = _packed(spark, folder).groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    return c.groupBy("used").agg(F.count(F.lit(1)).alias("containers"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p1_sketched": p1_sketched, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL = {"p1_found": P1_FOUND_SQL, "p1_shared": P1_SHARED_SQL}
