@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, times
 from ..session import cut, table
-from . import encode, overlap, packing
+from . import encode, overlap, packing, truncation
 
 # ---- 1: overlap sizes
 
@@ -75,5 +75,26 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("used").agg(F.count(F.lit(1)).alias("containers"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p1_sketched": p1_sketched, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+# ---- 8: texts that lost their end
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "documents")).filter("cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source, how many texts there are, how many lost their end, and the share."""
+    docs = table(spark, folder, "documents")
+    cases = truncation.truncated(docs).groupBy("source").agg(F.count(F.when(F.col("cut"), 1)).alias("truncated"))
+    total = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    t = total.join(cases.withColumnRenamed("source", "s"), total["source"].eqNullSafe(F.col("s")), "left").withColumn("truncated", F.coalesce("truncated", F.lit(0).cast("long")))
+    return t.select("source", "documents", "truncated", F.round(F.col("truncated") / F.col("documents"), 6).alias("share"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_shared": p1_shared, "p1_sketched": p1_sketched,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers, "p7_fill": p7_fill,
+    "p8_found": p8_found, "p8_sources": p8_sources,
+}
 SQL = {"p1_found": P1_FOUND_SQL, "p1_shared": P1_SHARED_SQL}
