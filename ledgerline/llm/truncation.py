@@ -12,6 +12,8 @@ at which most texts are cut are its limits. A block that was opened and not clos
 Digits count as one digit, hexadecimal ids as one sign, so that numbers, dates, stamps and ids have
 words of their shape. Languages written without spaces are taken sign by sign, contexts twice as long. A
 mark that something was left out is set aside first; it decides nothing, as complete texts end in one too.
+Some sources leave off the last stop of complete texts: where texts that lack nothing but the stop are
+common among those that no limit cut, they are whole; where they are rare, they were cut there.
 
 Defined cases: null, empty and blank texts are not cut; equal texts count once as evidence and have
 the same result; every text is read whole; a null source is a source of its own in the shares.
@@ -19,6 +21,9 @@ the same result; every text is read whole; a null source is a source of its own
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,59 +37,68 @@ SEEN = {4: 5, 2: 3, 1: 5, 0: 10}
 NEVER, NEVER_SEEN = 0.005, 30
 #: Depth of the trie without context.
 DEPTH = 40
+#: A text that lacks only its last stop, by this share of its likes, is whole in a source in which such texts are at least this share of those that seem cut.
+LACKS, LEAVES_OFF = 0.15, 0.25
+#: In such a source, the share of likes that have the stop from which a text is whole.
+LACKS_THERE = 0.01
 #: A length of a source is a limit if so many texts have it and this share of them is cut by their words.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.5
 
-_SIGNS = r"぀-ヿ㐀-鿿＀-￯　-〿"
-_TOKEN = rf"[{_SIGNS}]|[^\s{_SIGNS}]+"
-_HEX = r"(?<![a-z0-9])(?:0x)?(?=[0a-f]*0)(?=[0a-f]*[a-f])[0a-f]{6,}(?![a-z0-9])"
-_SENTENCE_END = r"[.!?。！？][)\]\"'”»`*_]*$"
+#: Nodes a worker counts before it hands them on.
+COUNTED = 250_000
+
+_SIGNS = "\u3001-\u30ff\u3400-\u9fff\uff00-\uffef"
+_SPACE = "\\s\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000"
+_STOPS = "[.!?。！？]"
+_TOKEN = re.compile(f"(?![。！？])[{_SIGNS}][。！？]*|[。！？]+|[^{_SPACE}{_SIGNS}]+")
+_HEX = re.compile("(?<![a-z0-9])(?:0x)?(?=[0a-f]*0)(?=[0a-f]*[a-f])[0a-f]{6,}(?![a-z0-9])")
+_CLOSING = "[)\\]\"'”»`*_]"
+#: Where a sentence or a line is over: the next word begins a context of its own.
+_OVER = re.compile(f"\n|(?<=[。！？])|(?:(?<=[.!?])|(?<=[.!?]{_CLOSING})|(?<=[.!?]{_CLOSING}{_CLOSING}))[{_SPACE}]+")
+_NUMBER = re.compile("0[0,.]*")
+_RUN = re.compile(r"(.)\1{6,}", re.S)
+_DIGITS = str.maketrans("123456789", "000000000")
 #: Marks that something was left out.
-MARKS = r"(?i)\s*(?:(?:\.{3,}|…)\s*(?:\(\+?[0-9,]+ (?:more|chars|bytes|lines)[^)]*\))?|<(?:omitted|truncated|snip|snipped|cut|more)>|\[(?:\+?[0-9,]+ (?:more|chars|bytes|lines|characters)|[a-z ]*(?:cut|truncated|omitted)|\.{3}|…|snip)\]|\(\+?[0-9,]+ (?:more|chars|bytes|lines)[^)]*\))\s*$"
-_BLANKS = " \t\r\n\x0b\x0c\xa0　"
+MARKS = re.compile(
+    r"(?i)\s*(?:(?:\.{3,}|…)\s*(?:\(\+?[0-9,]+ (?:more|chars|bytes|lines)[^)]*\))?"
+    r"|<(?:omitted|truncated|snip|snipped|cut|more)>"
+    r"|\[(?:\+?[0-9,]+ (?:more|chars|bytes|lines|characters)|[a-z ]*(?:cut|truncated|omitted)|\.{3}|…|snip)\]"
+    r"|\(\+?[0-9,]+ (?:more|chars|bytes|lines)[^)]*\))\s*$"
+)
+_BLANKS = " \t\r\n\x0b\x0c\x85\xa0\u2002\u2003\u2009\u200b\u3000"
+#: What a character of which bytes are missing is read as.
+_BROKEN = "\ufffd"
 #: Characters at the end in which a mark is looked for.
 _TAIL = 120
 
 
-def body(text: Column) -> Column:
+def body(text: str) -> str:
     """The text without trailing white space and without a mark at its end."""
-    t = F.rtrim(text, F.lit(_BLANKS))
-    n = F.length(t)
-    tail = F.substring(t, F.greatest(n - _TAIL + 1, F.lit(1)), F.lit(_TAIL))
-    head = F.substring(t, F.lit(1), F.greatest(n - _TAIL, F.lit(0)))
-    return F.rtrim(F.concat(head, F.regexp_replace(tail, MARKS, "")), F.lit(_BLANKS))
-
-
-def _shaped(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, "123456789", "000000000"), _HEX, "#")
+    t = text.rstrip(_BLANKS)
+    return (t[:-_TAIL] + MARKS.sub("", t[-_TAIL:])).rstrip(_BLANKS)
 
 
-def _tokens(line: Column) -> Column:
-    t = F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0))
-    return F.transform(t, lambda x: F.when(F.length(x) > 16, F.regexp_replace(x, r"(.)\1{6,}", "$1$1$1$1$1$1")).otherwise(x))
+def parts(text: str) -> list[str]:
+    """The sentences and lines of a text, digits and ids made alike."""
+    return [p for p in _OVER.split(_HEX.sub("#", text.translate(_DIGITS))) if p]
 
 
-def _is_sign(token: Column) -> Column:
-    return token.rlike(f"^[{_SIGNS}]$")
+def tokens(part: str) -> list[str]:
+    return [_RUN.sub(r"\1\1\1\1\1\1", t) if len(t) > 16 else t for t in _TOKEN.findall(part)]
 
 
-def _contexts(toks: str) -> Column:
-    """(ctx, tok, i) of each token of a line: up to four words, or eight signs, before it."""
-    # toks is the column of a line's tokens; before has eight starts of line and then the tokens, numbers made short
-    before = F.concat(F.array_repeat(F.lit("^"), 8), F.transform(toks, lambda x: F.regexp_replace(x, "0[0,.]*", "0")))
+def _short(token: str) -> str:
+    return _NUMBER.sub("0", token) if "0" in token else token
 
-    def one(x: Column, i: Column) -> Column:
-        n = F.when(_is_sign(x), F.lit(8)).otherwise(F.lit(4))
-        return F.struct(F.array_join(F.slice("before", i + 9 - n, n), " ").alias("ctx"), x.alias("tok"), i.alias("i"))
 
-    return before, F.transform(toks, one)
+def context(before: list[str], token: str) -> str:
+    """Up to four words, or eight signs, before a token; starts are ``^``."""
+    n = 8 if token[0] >= "\u3000" else 4
+    return " ".join(["^"] * (n - len(before)) + before[-n:])
 
 
-def _with_contexts(lines: DataFrame) -> DataFrame:
-    """lines(..., line) to lines(..., toks, grams)."""
-    d = lines.withColumn("toks", _tokens(F.col("line"))).drop("line")
-    before, grams = _contexts("toks")
-    return d.withColumn("before", before).withColumn("grams", grams).drop("before")
+def _is_sign(token: Column) -> Column:
+    return F.ascii(token) >= 0x3000
 
 
 def _shorter(ctx: Column, tok: Column, words: int) -> Column:
@@ -97,28 +111,76 @@ def _shorter(ctx: Column, tok: Column, words: int) -> Column:
 
 def endings(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
     """One row per text that is not blank: how it ends."""
-    d = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("t")).withColumn("body", body(F.col("t"))).filter("body <> ''")
-    last = F.element_at(F.split("body", "\n"), -1)
-    fences = F.regexp_count("body", F.lit("```"))
-    e = d.select("id", "source", F.length("t").alias("chars"), F.octet_length("t").alias("bytes"), F.xxhash64("t").alias("hash"), (fences % 2 == 1).alias("open"), _shaped(last).alias("line"))
-    # a last line of nothing but invisible signs has no token and no evidence
-    e = _with_contexts(e).withColumn("g", F.try_element_at("grams", F.lit(-1)))
-    return e.select("id", "source", "chars", "bytes", "hash", "open", F.col("g.ctx").alias("ctx"), F.col("g.tok").alias("tok"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found: dict[str, list] = {x: [] for x in ("keep", "open", "broken", "ctx", "tok")}
+            for t in batch.column("t"):
+                b = body(t.as_py() or "")
+                found["keep"].append(bool(b))
+                found["open"].append(b.count("```") % 2 == 1)
+                found["broken"].append(b.endswith(_BROKEN))
+                last = parts(b[b.rfind("\n") + 1 :])[-1:]
+                toks = tokens(last[0]) if last else []
+                # a last line of nothing but invisible signs has no token and no evidence
+                found["tok"].append(toks[-1] if toks else None)
+                found["ctx"].append(context([_short(x) for x in toks[-9:-1]], toks[-1]) if toks else None)
+            keep = pa.array(found.pop("keep"))
+            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.string()]
+            names = ["id", "source", "chars", "bytes", "hash"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *(pa.array(v, k) for v, k in zip(found.values(), kinds))], [*names, *found]).filter(keep)
+
+    d = docs.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), F.length(text).cast("long").alias("chars"), F.octet_length(text).cast("long").alias("bytes"), F.xxhash64(text).alias("hash"), F.col(text).alias("t"))
+    return d.mapInArrow(run, "id long, source string, chars long, bytes long, hash long, open boolean, broken boolean, ctx string, tok string")
 
 
 def goings_on(docs: DataFrame, text: str) -> DataFrame:
-    """(ctx, tok, goes, ends): every token of the corpus but each text's last, followed by more, or ending a line or sentence."""
-    d = docs.select(body(F.col(text)).alias("body")).filter("body <> ''")
-    lines = F.split(_shaped(F.col("body")), "\n")
-    d = d.select(F.posexplode(lines).alias("nth", "line"), F.size(lines).alias("of")).withColumn("last", F.col("nth") == F.col("of") - 1).drop("nth", "of")
-    d = _with_contexts(d.filter("line <> ''")).withColumn("n", F.size("toks")).drop("toks")
-    g = d.select("n", "last", F.inline("grams")).filter("not (last and i = n - 1)")
-    ends = (F.col("i") == F.col("n") - 1) | F.col("tok").rlike(_SENTENCE_END)
-    return g.groupBy("ctx", "tok").agg(F.count(F.when(~ends, 1)).alias("goes"), F.count(F.when(ends, 1)).alias("ends"))
+    """(ctx, tok, goes, ends): every token of the corpus but each text's last, followed by more, or ending a line or sentence.
+
+    A worker counts before anything is shuffled, and hands its counts on whenever they reach a bound.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = pa.schema([("ctx", pa.string()), ("tok", pa.string()), ("goes", pa.int64()), ("ends", pa.int64())])
+        goes: dict[tuple[str, str], int] = {}
+        ends: dict[tuple[str, str], int] = {}
+        starts = ["^"] * 8
+
+        def handed_on():
+            keys = list({**goes, **ends})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([goes.get(k, 0) for k in keys], pa.int64()), pa.array([ends.get(k, 0) for k in keys], pa.int64())], schema=schema
+            )
+            goes.clear()
+            ends.clear()
+
+        for batch in batches:
+            for t in batch.column(0):
+                all_parts = parts(body(t.as_py() or ""))
+                for nth, part in enumerate(all_parts, 1):
+                    toks = tokens(part)
+                    before = starts + [_short(x) for x in toks]
+                    final = len(toks) - 1
+                    for i, tok in enumerate(toks):
+                        key = (" ".join(before[i : i + 8] if tok[0] >= "\u3000" else before[i + 4 : i + 8]), tok)
+                        if i < final:
+                            goes[key] = goes.get(key, 0) + 1
+                        elif nth < len(all_parts):
+                            ends[key] = ends.get(key, 0) + 1
+                    if len(goes) + len(ends) >= COUNTED:
+                        yield from handed_on()
+        yield from handed_on()
+
+    counts = docs.select(text).mapInArrow(run, "ctx string, tok string, goes long, ends long")
+    return counts.groupBy("ctx", "tok").agg(F.sum("goes").alias("goes"), F.sum("ends").alias("ends"))
 
 
 def _level(grams: DataFrame, finals: DataFrame, words: int) -> DataFrame:
-    """(c, tok, below, goes, ends, stops, ctx_goes, ctx_ends): the node of each last token under contexts of so many words."""
+    """(c, tok, stops, below, stopped, goes, ends, ctx_goes, ctx_ends, ctx_stops): the node of each last token under contexts of so many words."""
     c = _shorter(F.col("ctx"), F.col("tok"), words)
     asked = finals.select(c.alias("c"), "tok", "hash")
     stops = asked.distinct().groupBy("c", "tok").agg(F.count(F.lit(1)).alias("stops"))
@@ -133,7 +195,8 @@ def _level(grams: DataFrame, finals: DataFrame, words: int) -> DataFrame:
         g = g.filter(F.length("tok") > 0)
     longer = g.filter(F.length("tok") > 1)
     nodes = longer.select("c", "tok", F.explode(steps).alias("depth"), (F.col("goes") + F.col("ends")).alias("n"))
-    below = nodes.groupBy("c", F.substring("tok", F.lit(1), F.col("depth")).alias("tok")).agg(F.sum("n").alias("below"))
+    only_stop = F.substring("tok", F.col("depth") + 1, F.length("tok")).rlike(f"^{_STOPS}+$")
+    below = nodes.groupBy("c", F.substring("tok", F.lit(1), F.col("depth")).alias("tok")).agg(F.sum("n").alias("below"), F.sum(F.when(only_stop, F.col("n"))).alias("stopped"))
     out = stops.join(g.drop("depths"), ["c", "tok"], "left").join(below, ["c", "tok"], "left")
     if words:
         whole = g.groupBy("c").agg(F.sum("goes").alias("ctx_goes"), F.sum("ends").alias("ctx_ends"))
@@ -141,17 +204,17 @@ def _level(grams: DataFrame, finals: DataFrame, words: int) -> DataFrame:
     else:
         out = out.withColumns({x: F.lit(None).cast("long") for x in ("ctx_goes", "ctx_ends", "ctx_stops")})
     zero = lambda x: F.coalesce(x, F.lit(0).cast("long")).alias(x)
-    return out.select("c", "tok", "stops", *[zero(x) for x in ("below", "goes", "ends", "ctx_goes", "ctx_ends", "ctx_stops")])
+    return out.select("c", "tok", "stops", *[zero(x) for x in ("below", "stopped", "goes", "ends", "ctx_goes", "ctx_ends", "ctx_stops")])
 
 
 def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
     """(ctx, tok, verdict, share, words): of each distinct ending 'cut', 'whole' or 'unsure'; share of texts that end there, by a context of so many words."""
     keys = finals.filter("tok is not null").select("ctx", "tok").distinct()
     verdict: Column = F.lit(None).cast("string")
-    share, by = F.lit(None).cast("double"), F.lit(None).cast("int")
+    share, by, lacks = F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(None).cast("double")
     d = keys
     for words in (4, 2, 1, 0):
-        level = _level(grams, finals.filter("tok is not null"), words).select(F.col("c").alias("_c"), F.col("tok").alias("_t"), *[F.col(x).alias(f"{x}{words}") for x in ("stops", "below", "goes", "ends", "ctx_goes", "ctx_ends", "ctx_stops")])
+        level = _level(grams, finals.filter("tok is not null"), words).select(F.col("c").alias("_c"), F.col("tok").alias("_t"), *[F.col(x).alias(f"{x}{words}") for x in ("stops", "below", "stopped", "goes", "ends", "ctx_goes", "ctx_ends", "ctx_stops")])
         d = d.withColumn("_k", _shorter(F.col("ctx"), F.col("tok"), words)).join(level, (F.col("_k") == F.col("_c")) & (F.col("tok") == F.col("_t")), "left").drop("_c", "_t", "_k")
     known = F.col("goes0") + F.col("ends0") > 0
     prefix = ~known & (F.col("below0") > 1)
@@ -166,6 +229,7 @@ def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
             said = F.when(prefix, "cut").otherwise(said)
         verdict = F.coalesce(verdict, said)
         share, by = F.coalesce(share, F.when(enough, p)), F.coalesce(by, F.when(enough, F.lit(words)))
+        lacks = F.coalesce(lacks, F.when(enough, F.col(f"stopped{words}") / n))
         if words in (4, 2):
             # the token was not seen here often: an unknown prefix of words is cut; else the place tells
             cn = F.col(f"ctx_goes{words}") + F.col(f"ctx_ends{words}") + F.col(f"ctx_stops{words}") - 1
@@ -173,7 +237,7 @@ def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
             place = F.when(prefix & (cn >= SEEN[words]), "cut").when((cn >= SEEN[words]) & (cp >= 0.5), "whole").when((cn >= NEVER_SEEN) & (cp < NEVER), "cut")
             verdict = F.coalesce(verdict, place)
             share, by = F.coalesce(share, F.when(place.isNotNull(), cp)), F.coalesce(by, F.when(place.isNotNull(), F.lit(words)))
-    return d.select("ctx", "tok", F.coalesce(verdict, F.lit("unsure")).alias("verdict"), share.alias("share"), by.alias("words"))
+    return d.select("ctx", "tok", F.coalesce(verdict, F.lit("unsure")).alias("verdict"), share.alias("share"), by.alias("words"), F.coalesce(lacks, F.lit(0.0)).alias("lacks"))
 
 
 def truncated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -196,5 +260,10 @@ def truncated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: s
         own = limits.filter(F.col("measure") == measure).select("s", F.col("m").alias(measure), F.lit(True).alias(f"limit_{measure}"))
         marked = marked.join(own, ["s", measure], "left")
     at_limit = F.coalesce("limit_chars", F.lit(False)) | F.coalesce("limit_bytes", F.lit(False))
-    is_cut = F.col("open") | (F.col("verdict") == "cut") | ((F.col("verdict") == "unsure") & at_limit)
-    return marked.select(F.col("id").alias(id), F.col("source").alias(source), is_cut.alias("cut"), "verdict", at_limit.alias("at_limit"), "open", "share", "words")
+    # sources that leave off the last stop of complete texts, told by texts that no limit cut
+    free = marked.filter(~at_limit & ~F.col("open") & ~F.col("broken") & (F.col("verdict") == "cut"))
+    habits = free.groupBy("s").agg(F.avg((F.col("lacks") >= LACKS).cast("int")).alias("off")).filter(F.col("off") >= LEAVES_OFF).select(F.col("s").alias("hs"))
+    marked = marked.join(habits, F.col("s") == F.col("hs"), "left")
+    stopless = F.col("hs").isNotNull() & (F.col("lacks") >= LACKS_THERE) & ~at_limit
+    is_cut = F.col("open") | F.col("broken") | ((F.col("verdict") == "cut") & ~stopless) | ((F.col("verdict") == "unsure") & at_limit)
+    return marked.select(F.col("id").alias(id), F.col("source").alias(source), is_cut.alias("cut"), "verdict", at_limit.alias("at_limit"), "open", "broken", "share", "words", "lacks")
