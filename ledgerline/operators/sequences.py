@@ -27,3 +27,13 @@ def carry_last(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carried = all_chunks.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).select(*keys, chunk, "_carried")
     return local.join(carried, [*keys, chunk], "left").withColumn(name, F.coalesce("_local", "_carried")).drop("_local", "_carried")
+
+
+def prefix_sum(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same keys strictly before the row; 0 for the first. Nulls count 0."""
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0).cast("long")))
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, chunk).agg(F.sum(value).alias("_sum"))
+    offsets = ends.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long"))).select(*keys, chunk, "_offset")
+    return local.join(offsets, [*keys, chunk], "left").withColumn(name, F.col("_local") + F.col("_offset")).drop("_local", "_offset")
