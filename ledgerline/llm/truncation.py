@@ -44,8 +44,8 @@ LACKS_THERE = 0.01
 #: A length of a source is a limit if so many texts have it and this share of them is cut by their words.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.5
 
-#: Nodes a worker counts before it hands them on.
-COUNTED = 250_000
+#: Nodes a worker counts before it hands them on, and characters of sentences it holds before it takes them apart.
+COUNTED, HELD = 250_000, 32 << 20
 
 _SIGNS = "\u3001-\u30ff\u3400-\u9fff\uff00-\uffef"
 _SPACE = "\\s\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000"
@@ -158,21 +158,47 @@ def goings_on(docs: DataFrame, text: str) -> DataFrame:
             goes.clear()
             ends.clear()
 
+        def counted(part: str, n: int, last: bool) -> None:
+            toks = tokens(part)
+            before = starts + [_short(x) for x in toks]
+            final = len(toks) - 1
+            for i, tok in enumerate(toks):
+                key = (" ".join(before[i : i + 8] if tok[0] >= "\u3000" else before[i + 4 : i + 8]), tok)
+                if i < final:
+                    goes[key] = goes.get(key, 0) + n
+                elif not last:
+                    ends[key] = ends.get(key, 0) + n
+
+        # equal sentences are taken apart once
+        inner: dict[str, int] = {}
+        last: dict[str, int] = {}
+        held = 0
+
+        def taken_apart():
+            for part, n in inner.items():
+                counted(part, n, False)
+                if len(goes) + len(ends) >= COUNTED:
+                    yield from handed_on()
+            for part, n in last.items():
+                counted(part, n, True)
+                if len(goes) + len(ends) >= COUNTED:
+                    yield from handed_on()
+            inner.clear()
+            last.clear()
+
         for batch in batches:
             for t in batch.column(0):
-                all_parts = parts(body(t.as_py() or ""))
-                for nth, part in enumerate(all_parts, 1):
-                    toks = tokens(part)
-                    before = starts + [_short(x) for x in toks]
-                    final = len(toks) - 1
-                    for i, tok in enumerate(toks):
-                        key = (" ".join(before[i : i + 8] if tok[0] >= "\u3000" else before[i + 4 : i + 8]), tok)
-                        if i < final:
-                            goes[key] = goes.get(key, 0) + 1
-                        elif nth < len(all_parts):
-                            ends[key] = ends.get(key, 0) + 1
-                    if len(goes) + len(ends) >= COUNTED:
-                        yield from handed_on()
+                found = parts(body(t.as_py() or ""))
+                if found:
+                    end = found.pop()
+                    last[end] = last.get(end, 0) + 1
+                for part in found:
+                    inner[part] = inner.get(part, 0) + 1
+                held += sum(map(len, found))
+                if held >= HELD:
+                    yield from taken_apart()
+                    held = 0
+        yield from taken_apart()
         yield from handed_on()
 
     counts = docs.select(text).mapInArrow(run, "ctx string, tok string, goes long, ends long")
