@@ -266,9 +266,167 @@ def inferred(reduced_files: DataFrame) -> DataFrame:
 def aliases(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """(path, canonical): names that changes say are one field, led to the one among ``wanted`` paths.
 
-    Renames link the last part of a path to another under the same parent; chains of them are followed.
+    A rename of a map or record is followed below it: the fields of either name count as those of both. Chains of renames are followed.
     """
+    last = lambda p: F.substring_index(p, ".", -1)
+    # by the parent's name as wanted, so that what was renamed below a renamed parent is seen, too
     edges = found.filter("change = 'renamed'").select(F.col("field").alias("a"), F.col("new_field").alias("b")).distinct()
     comp = connected_components(edges)
     named = comp.join(wanted.select(F.col("field").alias("node")), "node", "left_semi").groupBy("component").agg(F.min("node").alias("canonical"))
-    return comp.join(named, "component").filter("node <> canonical").select(F.col("node").alias("path"), "canonical")
+    direct = comp.join(named, "component").filter("node <> canonical").select(F.col("node").alias("path"), "canonical")
+    # sources.*.cached_tokens says what lanes.*.cached_tokens is
+    below = direct.filter("path like '%.%'").select(F.explode(F.array(F.col("path"))).alias("p"), last(F.col("path")).alias("n"), F.col("canonical").alias("c"))
+    heads = direct.filter("not path like '%.%'").select(F.col("path").alias("head"), F.col("canonical").alias("h"))
+    more = below.join(heads, F.startswith(below["c"], F.concat(heads["h"], F.lit(".")))).select(F.concat("head", F.expr("substring(c, length(h) + 1, length(c) - length(h) - length(substring_index(c, '.', -1)))"), F.col("n")).alias("path"), F.col("c").alias("canonical"))
+    return direct.unionByName(more).groupBy("path").agg(F.min("canonical").alias("canonical"))
+
+
+def _as_integer(v):
+    if isinstance(v, bool):
+        return int(v)
+    if isinstance(v, int):
+        return v
+    if isinstance(v, float):
+        return int(v) if v == v and abs(v) < 2**63 and v == int(v) else None
+    if isinstance(v, str) and re.fullmatch(r"\s*[+-]?\d{1,18}(\.0*)?\s*", v):
+        return int(v.strip().partition(".")[0])
+    return None
+
+
+def _as_boolean(v):
+    if isinstance(v, bool):
+        return v
+    if isinstance(v, (int, float)) and v in (0, 1):
+        return bool(v)
+    if isinstance(v, str):
+        return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}.get(v.strip().lower())
+    return None
+
+
+def _as_string(v, field: str):
+    if isinstance(v, str):
+        return v
+    if isinstance(v, dict):  # one field of an object that names it
+        return next((x for k in ("id", "name", "value") if isinstance(x := v.get(k), str)), None)
+    if isinstance(v, int) and not isinstance(v, bool) and field.endswith("_at"):  # seconds since 1970
+        from datetime import datetime, timedelta, timezone
+
+        try:
+            return (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=v)).isoformat()
+        except OverflowError:
+            return str(v)
+    return None if v is None or isinstance(v, (list, bool)) else str(v)
+
+
+def _as_array(v):
+    if isinstance(v, str):
+        return [x for x in re.split(r"[,;\s]+", v) if x]
+    return [x if isinstance(x, str) else json.dumps(x) for x in v] if isinstance(v, list) else None
+
+
+def _as_map(v):
+    """A map of objects; a list of objects that name themselves is one, too. A list of (name, number) has no fields to take."""
+    if isinstance(v, dict):
+        return {_clean(k): x for k, x in v.items() if isinstance(x, dict)}
+    if isinstance(v, list):
+        named = {_clean(x["name"]): x for x in v if isinstance(x, dict) and isinstance(x.get("name"), str)}
+        return named or None
+    return None
+
+
+def consistent(files: DataFrame, id: str, source: str, received: str, body: str, fields: list[tuple[str, str]], names: dict[str, str]) -> DataFrame:
+    """Every readable file as one row of one schema: id, source, received, a column per field, ``branches``.
+
+    ``fields`` are dotted paths with their types, as ``read`` gives them: top-level scalars, arrays, objects of integers, and
+    maps (``m.*.x``) of those. ``names`` leads a path under another name to the wanted one. A value of another
+    type takes the canonical conversion (digits to integers, 0/1 and words to booleans, seconds since 1970 to
+    stamps, an object to what names it, separated text to arrays, lists of named objects to maps), or null where
+    there is none; either way its JSON text is kept in ``branches``, a map of ``path:type``, so nothing is lost.
+    """
+    tops = [(f, t) for f, t in fields if "." not in f]
+    under = {f: [x.rpartition(".")[2] for x, _ in fields if x.rpartition(".")[0] in (f, f"{f}.*")] for f, _ in tops}
+    maps = {f for f, _ in tops if any(x.startswith(f"{f}.*.") for x, _ in fields)}
+    kinds = {"integer": "long", "string": "string", "boolean": "boolean", "array": "array<string>", "number": "double"}
+
+    def ddl(f: str, t: str) -> str:
+        if t != "object":
+            return f"`{f}` {kinds[t]}"
+        struct = "struct<" + ",".join(f"`{x}`:long" for x in under[f]) + ">"
+        return f"`{f}` map<string,{struct}>" if f in maps else f"`{f}` {struct}"
+
+    # what a name below one object says holds below its siblings, if it says the same everywhere
+    says: dict[str, set] = {}
+    for old, new in names.items():
+        if "." in old:
+            says.setdefault(old.rpartition(".")[2], set()).add(new.rpartition(".")[2])
+    alike = {k: min(v) for k, v in says.items() if len(v) == 1}
+
+    ddl_all = ", ".join(["_id long", "_source string", "_received timestamp", *(ddl(f, t) for f, t in tops), "branches map<string,string>"])
+    schema = to_arrow_schema(StructType.fromDDL(ddl_all))
+
+    def take(path: str, want: str, v, branches: dict):
+        kind = _kind(v)
+        if v is not None and kind != want:
+            branches[f"{path}:{kind}"] = json.dumps(v)
+        if want == "integer":
+            return _as_integer(v)
+        if want == "boolean":
+            return _as_boolean(v)
+        if want == "string":
+            return _as_string(v, path)
+        if want == "array":
+            return _as_array(v)
+        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+
+    def renamed(o: dict, at: str) -> dict:
+        """The object's fields by their wanted names; one that has the wanted name itself wins."""
+        out: dict = {}
+        for k, v in o.items():
+            path = f"{at}.{_clean(k)}" if at else _clean(k)
+            new = names.get(path, alike.get(_clean(k), path) if at else path).rpartition(".")[2]
+            if new == path.rpartition(".")[2] or new not in out:
+                out[new] = v
+        return out
+
+    def tokens(o: dict, old: str, f: str, branches: dict, label: str) -> dict:
+        r = renamed(o, old)
+        return {x: take(f"{label}.{x}", "integer", r.get(x), branches) for x in under[f]}
+
+    def row(o: dict) -> dict:
+        branches: dict = {}
+        back = {names[k]: k for k in names if "." not in k and k in o}
+        r = renamed(o, "")
+        out = {}
+        for f, t in tops:
+            v = r.get(f)
+            if t != "object":
+                out[f] = take(f, t, v, branches)
+                continue
+            old = back.get(f, f) if f not in o else f
+            if v is not None and not isinstance(v, dict):
+                branches[f"{f}:{_kind(v)}"] = json.dumps(v)
+            if f in maps:
+                m = _as_map(v)
+                out[f] = None if m is None else [(k, tokens(x, f"{old}.*", f, branches, f"{f}.{k}")) for k, x in m.items()]
+            else:
+                out[f] = tokens(v, old, f, branches, f) if isinstance(v, dict) else None
+        wanted = {f for f, _ in tops}
+        for k, v in r.items():
+            if k not in wanted:
+                branches[f"{_clean(k)}:{_kind(v)}"] = json.dumps(v)
+        out["branches"] = list(branches.items())
+        return out
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for i, s, r, b in zip(*(batch.column(n).to_pylist() for n in ("id", "source", "received", "body"))):
+                o = read_object(b)
+                if o is not None:
+                    out.append({"_id": i, "_source": s, "_received": r} | row(o))
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    narrow = files.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), F.col(received).alias("received"), F.col(body).alias("body"))
+    return narrow.mapInArrow(read, ddl_all)

@@ -139,6 +139,22 @@ def p4_schema(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.inferred(_layouts(spark, folder))
 
 
+#: Names and fields are as many as builds invented, not as files; beyond this many they are no names.
+MOST_NAMES = 100_000
+
+
+def p4_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Every readable file as one row with the fields of daily_fields; values of other types also in branches."""
+    files, wanted = table(spark, folder, "daily_files"), table(spark, folder, "daily_fields")
+    found = cut(schema_drift.changes(_layouts(spark, folder)))
+    pairs = schema_drift.aliases(found, wanted).limit(MOST_NAMES + 1).collect()
+    if len(pairs) > MOST_NAMES:
+        raise ValueError("so many names of fields are keys of a map that was not told as one")
+    fields = [(r.field, r.json_type) for r in wanted.collect()]
+    t = schema_drift.consistent(files, "file_id", "machine", "received_at", "body", fields, {r.path: r.canonical for r in pairs})
+    return t.withColumnRenamed("_id", "file_id").drop("_source", "_received")
+
+
 # ---- 5: messages delivered more than once
 
 _COUNTED = "message.usage is not null"
@@ -181,5 +197,5 @@ message.usage.input_tokens AS input_tokens, message.usage.output_tokens AS outpu
 message.usage.cache_read_input_tokens AS cache_read_input_tokens FROM transcripts t JOIN ranked r ON t.row_id = r.row_id WHERE r.n = 1"""
 
 
-QUERIES = {"p2_found": p2_found, "p2_date_totals": p2_date_totals, "p2_closings": p2_closings, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_schema": p4_schema, "p5_found": p5_found, "p5_messages": p5_messages}
+QUERIES = {"p2_found": p2_found, "p2_date_totals": p2_date_totals, "p2_closings": p2_closings, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_schema": p4_schema, "p4_table": p4_table, "p5_found": p5_found, "p5_messages": p5_messages}
 SQL = {"p2_found": P2_FOUND_SQL, "p2_date_totals": P2_DATE_TOTALS_SQL, "p3_found": P3_FOUND_SQL, "p3_rolling": P3_ROLLING_SQL, "p5_found": P5_FOUND_SQL, "p5_messages": P5_MESSAGES_SQL}
