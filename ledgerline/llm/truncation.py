@@ -35,8 +35,6 @@ CUT, WHOLE = 0.08, 0.2
 SEEN = {4: 5, 2: 3, 1: 5, 0: 10}
 #: A context after which no line or sentence ever ends, and how often it must have been seen.
 NEVER, NEVER_SEEN = 0.005, 30
-#: Depth of the trie without context.
-DEPTH = 40
 #: A text that lacks only its last stop, by this share of its likes, is whole in a source in which such texts are at least this share of those that seem cut.
 LACKS, LEAVES_OFF = 0.15, 0.25
 #: In such a source, the share of likes that have the stop from which a text is whole.
@@ -101,12 +99,15 @@ def _is_sign(token: Column) -> Column:
     return F.ascii(token) >= 0x3000
 
 
-def _shorter(ctx: Column, tok: Column, words: int) -> Column:
-    if words == 4:
-        return ctx
-    if words == 0:
-        return F.lit("")
-    return F.when(_is_sign(tok), F.substring_index(ctx, " ", -2 * words)).otherwise(F.substring_index(ctx, " ", -words))
+#: Words of context, the longest first; 0 is the bare trie, in parts by the first sign of a word.
+LEVELS = (4, 2, 1, 0)
+
+
+def _leveled(df: DataFrame) -> DataFrame:
+    """Each row once for each length of context: (words, c, ...)."""
+    d = df.withColumn("words", F.explode(F.array(*[F.lit(w) for w in LEVELS])))
+    last = lambda w: F.when(_is_sign(F.col("tok")), F.substring_index("ctx", " ", -2 * w)).otherwise(F.substring_index("ctx", " ", -w))
+    return d.withColumn("c", F.when(F.col("words") == 4, F.col("ctx")).when(F.col("words") == 2, last(2)).when(F.col("words") == 1, last(1)).otherwise(F.substring("tok", 1, 1)))
 
 
 def endings(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
@@ -205,46 +206,42 @@ def goings_on(docs: DataFrame, text: str) -> DataFrame:
     return counts.groupBy("ctx", "tok").agg(F.sum("goes").alias("goes"), F.sum("ends").alias("ends"))
 
 
-def _level(grams: DataFrame, finals: DataFrame, words: int) -> DataFrame:
-    """(c, tok, stops, below, stopped, goes, ends, ctx_goes, ctx_ends, ctx_stops): the node of each last token under contexts of so many words."""
-    c = _shorter(F.col("ctx"), F.col("tok"), words)
-    asked = finals.select(c.alias("c"), "tok", "hash")
-    stops = asked.distinct().groupBy("c", "tok").agg(F.count(F.lit(1)).alias("stops"))
-    g = grams.select(c.alias("c"), "tok", "goes", "ends").groupBy("c", "tok").agg(F.sum("goes").alias("goes"), F.sum("ends").alias("ends"))
-    if words:
-        depths = stops.groupBy("c").agg(F.collect_set(F.length("tok")).alias("depths"))
-        g = g.join(depths, "c")  # contexts in which no text stops are not asked for
-        steps = F.filter("depths", lambda x: x < F.length("tok"))
-    else:
-        g = g.withColumn("depths", F.lit(None))
-        steps = F.sequence(F.lit(1), F.least(F.length("tok") - 1, F.lit(DEPTH)))
-        g = g.filter(F.length("tok") > 0)
-    longer = g.filter(F.length("tok") > 1)
-    nodes = longer.select("c", "tok", F.explode(steps).alias("depth"), (F.col("goes") + F.col("ends")).alias("n"))
-    only_stop = F.substring("tok", F.col("depth") + 1, F.length("tok")).rlike(f"^{_STOPS}+$")
-    below = nodes.groupBy("c", F.substring("tok", F.lit(1), F.col("depth")).alias("tok")).agg(F.sum("n").alias("below"), F.sum(F.when(only_stop, F.col("n"))).alias("stopped"))
-    out = stops.join(g.drop("depths"), ["c", "tok"], "left").join(below, ["c", "tok"], "left")
-    if words:
-        whole = g.groupBy("c").agg(F.sum("goes").alias("ctx_goes"), F.sum("ends").alias("ctx_ends"))
-        out = out.join(whole, "c", "left").join(stops.groupBy("c").agg(F.sum("stops").alias("ctx_stops")), "c")
-    else:
-        out = out.withColumns({x: F.lit(None).cast("long") for x in ("ctx_goes", "ctx_ends", "ctx_stops")})
-    zero = lambda x: F.coalesce(x, F.lit(0).cast("long")).alias(x)
-    return out.select("c", "tok", "stops", *[zero(x) for x in ("below", "stopped", "goes", "ends", "ctx_goes", "ctx_ends", "ctx_stops")])
+def _nodes(grams: DataFrame, finals: DataFrame) -> DataFrame:
+    """(words, c, tok, stops, below, stopped, goes, ends, ctx_goes, ctx_ends, ctx_stops): the node of each last token under each length of context."""
+    key = ["words", "c", "tok"]
+    stops = _leveled(finals.select("ctx", "tok", "hash")).select(*key, "hash").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("stops"))
+    depths = stops.groupBy("words", "c").agg(F.collect_set(F.length("tok")).alias("depths"), F.sum("stops").alias("ctx_stops"))
+    g = _leveled(grams).groupBy(*key).agg(F.sum("goes").alias("goes"), F.sum("ends").alias("ends"))
+    g = g.join(depths, ["words", "c"])  # contexts in which no text stops are not asked for
+    # a word passes through its own node, and through those of its beginnings that some text stops at
+    own = F.struct(F.col("tok").alias("t"), F.col("goes").alias("goes"), F.col("ends").alias("ends"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("stopped"))
+    n = F.col("goes") + F.col("ends")
+    zero = F.lit(0).cast("long")
+    begun = F.transform(
+        F.filter("depths", lambda x: x < F.length("tok")),
+        lambda x: F.struct(F.substring("tok", F.lit(1), x).alias("t"), zero.alias("goes"), zero.alias("ends"), n.alias("below"), F.when(F.substring("tok", x + 1, F.length("tok")).rlike(f"^{_STOPS}+$"), n).otherwise(zero).alias("stopped")),
+    )
+    passed = g.select("words", "c", F.inline(F.concat(F.array(own), begun))).groupBy("words", "c", F.col("t").alias("tok")).agg(*[F.sum(x).alias(x) for x in ("goes", "ends", "below", "stopped")])
+    whole = g.groupBy("words", "c").agg(F.sum("goes").alias("ctx_goes"), F.sum("ends").alias("ctx_ends"))
+    out = stops.join(passed, key, "left").join(depths.select("words", "c", "ctx_stops"), ["words", "c"]).join(whole, ["words", "c"], "left")
+    none = lambda x: F.coalesce(x, zero).alias(x)
+    return out.select(*key, "stops", *[none(x) for x in ("below", "stopped", "goes", "ends", "ctx_goes", "ctx_ends", "ctx_stops")])
 
 
 def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
-    """(ctx, tok, verdict, share, words): of each distinct ending 'cut', 'whole' or 'unsure'; share of texts that end there, by a context of so many words."""
-    keys = finals.filter("tok is not null").select("ctx", "tok").distinct()
+    """(ctx, tok, verdict, share, words, lacks): of each distinct ending 'cut', 'whole' or 'unsure'; share of texts that end there, by a context of so many words."""
+    finals = finals.filter("tok is not null")
+    nodes = _nodes(grams, finals)
+    keys = _leveled(finals.select("ctx", "tok").distinct())
+    stats = ("stops", "below", "stopped", "goes", "ends", "ctx_goes", "ctx_ends", "ctx_stops")
+    at = lambda w: F.max(F.when(F.col("words") == w, F.struct(*stats))).alias(f"l{w}")
+    d = keys.join(nodes, ["words", "c", "tok"]).groupBy("ctx", "tok").agg(*[at(w) for w in LEVELS])
+    d = d.select("ctx", "tok", *[F.col(f"l{w}.{x}").alias(f"{x}{w}") for w in LEVELS for x in stats])
     verdict: Column = F.lit(None).cast("string")
     share, by, lacks = F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(None).cast("double")
-    d = keys
-    for words in (4, 2, 1, 0):
-        level = _level(grams, finals.filter("tok is not null"), words).select(F.col("c").alias("_c"), F.col("tok").alias("_t"), *[F.col(x).alias(f"{x}{words}") for x in ("stops", "below", "stopped", "goes", "ends", "ctx_goes", "ctx_ends", "ctx_stops")])
-        d = d.withColumn("_k", _shorter(F.col("ctx"), F.col("tok"), words)).join(level, (F.col("_k") == F.col("_c")) & (F.col("tok") == F.col("_t")), "left").drop("_c", "_t", "_k")
     known = F.col("goes0") + F.col("ends0") > 0
     prefix = ~known & (F.col("below0") > 1)
-    for words in (4, 2, 1, 0):
+    for words in LEVELS:
         goes = F.col(f"below{words}") + F.col(f"goes{words}")
         ends = F.col(f"ends{words}") + F.col(f"stops{words}") - 1  # without itself
         n = goes + ends
