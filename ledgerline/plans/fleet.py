@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, times
+from ..functions import names
 from ..operators import fleet
 from ..schema import SCHEMA_VERSION, TOKEN_FIELDS
 from ..session import shared_folder, table
@@ -190,13 +190,11 @@ def q_machine_bars(spark, folder):
     return j.select("machine", "total", F.round(F.col("total") / F.col("peak"), 6).alias("share_of_peak"), F.dense_rank().over(Window.orderBy("machine")).alias("slot"))
 
 
-@query("""SELECT strftime("timestamp" AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, source, count(*) AS calls, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens FROM
- (SELECT * FROM invocations WHERE fingerprint IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY "timestamp") = 1) GROUP BY 1, 2""" if False else None)
+@query(f"""WITH d AS (SELECT DISTINCT * FROM fleet_usage), p AS (SELECT CAST({stamp_sql('"timestamp"')} AS DATE) AS d, coalesce(nullif(lower(trim(provider)), ''), 'fleet') AS provider,
+ greatest(coalesce(input_tokens, 0), 0) + greatest(coalesce(output_tokens, 0), 0) AS tokens FROM d)
+SELECT strftime(d, '%Y-%m-%d') AS day, provider, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM p WHERE d IS NOT NULL GROUP BY 1, 2""")
 def q_stream_daily(spark, folder):
     """The ledger as a file stream: deduplicated within the watermark, summed by day, upserted batch by batch."""
     from ..streaming import daily
 
     return daily.replay(spark, f"{folder}/fleet_usage.parquet")
-
-
-times  # noqa: B018

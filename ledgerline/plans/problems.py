@@ -88,6 +88,14 @@ count(*) FILTER (corrected) AS corrected, count(*) FILTER (missed) AS missed, CA
 FROM settled GROUP BY 1"""
 
 
+P2_CLOSINGS_SQL = f"""WITH {_EXPORTS_SQL.partition(" timed AS")[0].rstrip(", \n")}, e AS (SELECT machine AS s, date, stamp FROM exports WHERE date IS NOT NULL AND stamp IS NOT NULL),
+ days AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM e),
+ pairs AS (SELECT d, s, d + INTERVAL 4 DAY AS bound, min(stamp) FILTER (stamp > d + INTERVAL 4 DAY) AS nxt, max(stamp) FILTER (stamp <= d + INTERVAL 4 DAY) AS before FROM days, e GROUP BY 1, 2),
+ timeouts AS (SELECT *, greatest(bound, before + INTERVAL 7 DAY) AS timeout FROM pairs WHERE before IS NOT NULL),
+ told AS (SELECT *, nxt IS NULL OR nxt > timeout AS idle FROM timeouts)
+SELECT CAST(d AS DATE) AS day, max(CASE WHEN idle THEN timeout ELSE nxt END) AS closed_at, count(*) FILTER (NOT idle) AS n_passed, count(*) FILTER (idle) AS n_idle FROM told GROUP BY 1"""
+
+
 # ---- 3: rolling totals
 
 
@@ -198,4 +206,4 @@ message.usage.cache_read_input_tokens AS cache_read_input_tokens FROM transcript
 
 
 QUERIES = {"p2_found": p2_found, "p2_date_totals": p2_date_totals, "p2_closings": p2_closings, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_schema": p4_schema, "p4_table": p4_table, "p5_found": p5_found, "p5_messages": p5_messages}
-SQL = {"p2_found": P2_FOUND_SQL, "p2_date_totals": P2_DATE_TOTALS_SQL, "p3_found": P3_FOUND_SQL, "p3_rolling": P3_ROLLING_SQL, "p5_found": P5_FOUND_SQL, "p5_messages": P5_MESSAGES_SQL}
+SQL = {"p2_found": P2_FOUND_SQL, "p2_date_totals": P2_DATE_TOTALS_SQL, "p2_closings": P2_CLOSINGS_SQL, "p3_found": P3_FOUND_SQL, "p3_rolling": P3_ROLLING_SQL, "p5_found": P5_FOUND_SQL, "p5_messages": P5_MESSAGES_SQL}

@@ -46,8 +46,11 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     """A finished ledger run through the stream, to its end."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    pattern = path if not path.endswith(".parquet") else path
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(pattern)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one_file = there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isFile()
+    above, _, name = path.rpartition("/")
+    stream = reader.option("pathGlobFilter", name).parquet(above) if one_file else reader.parquet(path)
     q = start(stream, f"{folder}/out", f"{folder}/checkpoint")
     q.awaitTermination()
     return totals(spark, f"{folder}/out")
