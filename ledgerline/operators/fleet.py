@@ -98,7 +98,7 @@ def winners(records: DataFrame, *tie: str) -> DataFrame:
 
 
 def aggregate_long(records: DataFrame) -> DataFrame:
-    """(kind, name, records, invocations, total, exact, estimated, confidence) by machine, date, counter and in total, in one pass."""
+    """(kind, name, records, invocations, total, exact, estimated, confidence) by machine, date, counter and in total, in one pass; no rows for no records."""
     s = lambda c: sum((F.coalesce(F.col(f"{c}.{f}"), F.lit(0)) for f in TOKEN_FIELDS), F.lit(0).cast("long"))
     r = records.select("machine", "date", F.coalesce(times.filled(F.col("counter")), F.lit("unstamped")).alias("counter"), F.coalesce("invocations", F.lit(0)).alias("invocations"), s("totals").alias("total"), s("exact").alias("exact"), s("estimated").alias("estimated"))
     g = r.groupingSets([[F.col("machine")], [F.col("date")], [F.col("counter")], []], F.col("machine"), F.col("date"), F.col("counter")).agg(
