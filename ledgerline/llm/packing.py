@@ -22,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, literal
 
 #: Buckets in which items of one length are numbered.
 BUCKETS = 256
@@ -93,7 +93,7 @@ def packed(sized: DataFrame, id: str, size: str, capacity: int) -> DataFrame:
     offsets = counts.select("n", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
     number = F.row_number().over(Window.partitionBy("n", "bucket").orderBy("row")) - 1
     ranked = items.withColumn("number", number).join(offsets, ["n", "bucket"]).withColumn("rank", F.col("number") + F.col("offset"))
-    slots = spark.createDataFrame(segments or [(-1, 0, 0, 0, 1, 0)], "len long, rank0 long, amount long, container0 long, per long, at long")
+    slots = literal(spark, segments or [(-1, 0, 0, 0, 1, 0)], "len long, rank0 long, amount long, container0 long, per long, at long")
     # a run of the plan is made for each length and kind of container: thousands at most, by the capacity
     at = ranked.join(F.broadcast(slots), (F.col("n") == F.col("len")) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("amount")), "left")
     j = F.col("rank") - F.col("rank0")
