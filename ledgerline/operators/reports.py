@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..schema import TOKEN_FIELDS
+from ..session import literal
 
 
 def normalized(invocations: DataFrame) -> DataFrame:
@@ -113,8 +114,7 @@ def buckets(ledger: DataFrame, classes: Sequence[tuple[str, str]], other: str =
     label = F.lit(other)
     for part, name in reversed(classes):
         label = F.when(F.contains(F.lower("model"), F.lit(part)), F.lit(name)).otherwise(label)
-    spark = ledger.sparkSession
-    every = spark.createDataFrame([(n,) for n in dict.fromkeys([*(n for _, n in classes), other])], "bucket string")
+    every = literal(ledger.sparkSession, [(n,) for n in dict.fromkeys([*(n for _, n in classes), other])], "bucket string")
     sums = ledger.groupBy(label.alias("bucket")).agg(F.count(F.lit(1)).alias("calls"), F.sum("total").alias("total"))
     j = every.join(sums, "bucket", "left")
     return j.select("bucket", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("calls", "total")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, times
 from ..operators import deliveries, late, rolling, schema_drift
 from ..schema import SCHEMA_VERSION, TOKEN_FIELDS
-from ..session import cut, table
+from ..session import cut, literal, table
 
 
 # ---- 2: late and out-of-order events
@@ -48,7 +48,7 @@ def p2_closings(spark: SparkSession, folder: str) -> DataFrame:
     e = exports(spark, folder).select("machine", "stamp", "date")
     ends = e.agg(F.unix_date(F.min("date")), F.unix_date(F.max("date"))).first()
     if ends[0] is None:
-        return spark.createDataFrame([], "day date, closed_at timestamp, n_passed long, n_idle long")
+        return literal(spark, [], "day date, closed_at timestamp, n_passed long, n_idle long")
     return late.closings(e, "machine", "stamp", ends[0], ends[1])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, times
 from ..operators import ordered, rates, reports, textstats
 from ..schema import TOKEN_FIELDS
-from ..session import table
+from ..session import literal, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,7 +129,7 @@ DEFAULT = (100_000_000, 400_000_000, 10_000_000)
 
 
 def _rates(spark):
-    return spark.createDataFrame(RATES, "model string, input long, output long, cached long"), spark.createDataFrame(DATED, "model string, first_day string, last_day string, input long, output long, cached long")
+    return literal(spark, RATES, "model string, input long, output long, cached long"), literal(spark, DATED, "model string, first_day string, last_day string, input long, output long, cached long")
 
 
 def _free() -> Column:
@@ -189,12 +189,6 @@ def q_shadow_bill(spark, folder):
 # ---- periods, records, streaks
 
 
-def _with_now(l: DataFrame) -> tuple[DataFrame, Column]:
-    """The ledger with the instant of its newest call beside each row (one broadcast row)."""
-    n = l.agg(F.max("timestamp").alias("now"))
-    return l.join(F.broadcast(n), F.lit(True)), F.col("now")
-
-
 _COMPANY = "trim(split_part(split_part(source, ' (', 1), ':', 1))"
 
 

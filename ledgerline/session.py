@@ -54,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def literal(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows of the driver as a local relation, whose size the planner knows."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema))
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Repartitions an input of fewer partitions than cores; larger inputs pass unshuffled."""
     least = least or df.sparkSession.sparkContext.defaultParallelism
