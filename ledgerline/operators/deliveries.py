@@ -18,33 +18,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import filled
+from ..session import cut
 from .components import connected_components
 
 #: Bytes of deletion vectors that one broadcast may hold; files are read in as many groups as needed.
 VECTOR_BYTES = 64 << 20
+#: Rows of two digests each that a broadcast may hold (about 64 MB).
+BESIDE_ROWS = 1_000_000
 #: Bits in one bitmap of bitmap_construct_agg.
 BUCKET_BITS = 32_768
 
 
+def _digest(id: Column) -> Column:
+    """16 bytes for an id of any length (MD5); null stays null."""
+    return F.unhex(F.md5(id))
+
+
 def keyed(rows: DataFrame, first: Column, second: Column, order: str) -> DataFrame:
-    """The narrow rows (r, u, o) that are shuffled."""
-    return rows.select(filled(first).alias("r"), F.lower(filled(second)).alias("u"), F.col(order).alias("o"))
+    """The narrow rows (r, u, o) that are shuffled: digests of both ids, and the order."""
+    return rows.select(_digest(filled(first)).alias("r"), _digest(F.lower(filled(second))).alias("u"), F.col(order).alias("o"))
+
+
+def _beside(small: DataFrame) -> DataFrame:
+    """A written table as the smaller side of a join: broadcast if its counted rows are few, else left to a shuffled join."""
+    return F.broadcast(small) if small.count() <= BESIDE_ROWS else small.hint("merge")
 
 
 def winners(narrow: DataFrame) -> DataFrame:
-    """The least order of each message with an id: (o)."""
-    pairs = narrow.filter("r is not null or u is not null").groupBy("r", "u").agg(F.min("o").alias("o"))
-    by_second = pairs.filter("u is not null").groupBy("u").agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
-    linking = by_second.filter("r0 <> r1")
-    links = pairs.filter("r is not null").join(linking, "u").filter("r <> r0").select(F.col("r").alias("a"), F.col("r0").alias("b"))
+    """The least order of each message with an id: (o).
+
+    Two shuffles see all rows: by the second id, which finds the first ids that it links, and by the first
+    id. Links and what hangs on them are usually few, and only they go through components.
+    """
+    by_second = narrow.filter("u is not null").groupBy("u").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min(F.when(F.col("r").isNull(), F.col("o"))).alias("o"))
+    seconds = cut(by_second.filter("r0 <> r1 or o is not null"))
+    linking = cut(seconds.filter("r0 <> r1").select("u", "r0"))
+    links = narrow.filter("r is not null").join(_beside(linking), "u").filter("r <> r0").select(F.col("r").alias("a"), F.col("r0").alias("b"))
     comps = connected_components(links)
-    by_first = pairs.filter("r is not null").groupBy("r").agg(F.min("o").alias("o"))
-    only_second = pairs.filter("r is null").select("u", "o").join(by_second.select("u", F.col("r0").alias("r")), "u", "left")
-    named = by_first.select("r", F.lit(None).cast("string").alias("u"), "o").unionByName(only_second.select("r", "u", "o"))
-    key = named.join(comps, named["r"] == comps["node"], "left").select(
-        F.coalesce("component", "r").alias("kr"), F.when(F.col("r").isNull(), F.col("u")).alias("ku"), "o"
-    )
-    return key.groupBy("kr", "ku").agg(F.min("o").alias("o")).select("o")
+    # rows without a first id stand with the one that their second id is seen with
+    hanging = seconds.filter("o is not null and r0 is not null").select(F.col("r0").alias("r"), "o")
+    alone = seconds.filter("o is not null and r0 is null").select("o")
+    by_first = narrow.filter("r is not null").select("r", "o").unionByName(hanging).groupBy("r").agg(F.min("o").alias("o"))
+    placed = by_first.join(_beside(comps), by_first["r"] == comps["node"], "left").select("component", "o")
+    # of linked ids only the component's least stays; the others are as they are
+    linked = placed.filter("component is not null").groupBy("component").agg(F.min("o").alias("o")).select("o")
+    return placed.filter("component is null").select("o").unionByName(linked).unionByName(alone)
 
 
 def surplus(rows: DataFrame, first: Column, second: Column, order: str) -> DataFrame:
