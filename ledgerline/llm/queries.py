@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, times
+from ..plans.problems import stamp_sql
 from ..session import cut, table
 from . import encode, overlap, packing, truncation
 
@@ -91,10 +92,16 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("source", "documents", "truncated", F.round(F.col("truncated") / F.col("documents"), 6).alias("share"))
 
 
+P1_SKETCHED_SQL = rf"""WITH e AS (SELECT record_id, trim(regexp_replace(lower(machine), '[^a-z0-9]+', '-', 'g'), '-') AS machine, strftime(try_strptime(replace(replace(trim(date), '-', ''), '/', ''), '%Y%m%d'), '%Y-%m-%d') AS date, {stamp_sql("generated_at")} AS stamp, sketch
+ FROM dailies WHERE schema = 3), w AS (SELECT machine, date, list_sort(list_distinct(sketch)) AS sk FROM (SELECT * FROM e WHERE date IS NOT NULL AND stamp IS NOT NULL QUALIFY row_number() OVER (PARTITION BY machine, date ORDER BY stamp DESC, record_id DESC) = 1) WHERE sketch IS NOT NULL),
+ p AS (SELECT a.date, a.machine AS machine_a, b.machine AS machine_b, list_slice(list_sort(list_distinct(list_concat(a.sk, b.sk))), 1, 64) AS u, a.sk AS x, b.sk AS y FROM w a JOIN w b ON a.date = b.date AND a.machine < b.machine),
+ n AS (SELECT *, len(list_intersect(list_intersect(x, y), u)) AS k FROM p) SELECT date, machine_a, machine_b, CAST(k AS INTEGER) AS in_both, CAST(len(u) AS INTEGER) AS "of", round(k / len(u), 6) AS jaccard FROM n WHERE k > 0"""
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_shared": p1_shared, "p1_sketched": p1_sketched,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_sources": p8_sources,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p1_shared": P1_SHARED_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_sketched": P1_SKETCHED_SQL, "p1_shared": P1_SHARED_SQL}
