@@ -48,8 +48,9 @@ def p2_closings(spark: SparkSession, folder: str) -> DataFrame:
     e = exports(spark, folder).select("machine", "stamp", "date")
     ends = e.agg(F.unix_date(F.min("date")), F.unix_date(F.max("date"))).first()
     if ends[0] is None:
-        return literal(spark, [], "day date, closed_at timestamp, n_passed long, n_idle long")
-    return late.closings(e, "machine", "stamp", ends[0], ends[1])
+        return literal(spark, [], "day string, closed_us long, n_passed long, n_idle long")
+    c = late.closings(e, "machine", "stamp", ends[0], ends[1])
+    return c.select(F.col("day").cast("string").alias("day"), F.unix_micros("closed_at").alias("closed_us"), "n_passed", "n_idle")
 
 
 _STAMP_SQL = r"""CASE WHEN regexp_full_match(trim({c}), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]+)?)?(Z|[+-][0-9]{{2}}:?[0-9]{{2}})?')
@@ -93,7 +94,7 @@ P2_CLOSINGS_SQL = f"""WITH {_EXPORTS_SQL.partition(" timed AS")[0].rstrip(", \n"
  pairs AS (SELECT d, s, d + INTERVAL 4 DAY AS bound, min(stamp) FILTER (stamp > d + INTERVAL 4 DAY) AS nxt, max(stamp) FILTER (stamp <= d + INTERVAL 4 DAY) AS before FROM days, e GROUP BY 1, 2),
  timeouts AS (SELECT *, greatest(bound, before + INTERVAL 7 DAY) AS timeout FROM pairs WHERE before IS NOT NULL),
  told AS (SELECT *, nxt IS NULL OR nxt > timeout AS idle FROM timeouts)
-SELECT CAST(d AS DATE) AS day, max(CASE WHEN idle THEN timeout ELSE nxt END) AS closed_at, count(*) FILTER (NOT idle) AS n_passed, count(*) FILTER (idle) AS n_idle FROM told GROUP BY 1"""
+SELECT strftime(d, '%Y-%m-%d') AS day, epoch_us(max(CASE WHEN idle THEN timeout ELSE nxt END)) AS closed_us, count(*) FILTER (NOT idle) AS n_passed, count(*) FILTER (idle) AS n_idle FROM told GROUP BY 1"""
 
 
 # ---- 3: rolling totals

@@ -22,7 +22,7 @@ def connection(folder: str):
 
 def plain(v):
     if isinstance(v, float):
-        return repr(round(v, 9))
+        return repr(v + 0.0)
     if isinstance(v, dict):
         return str({k: plain(x) for k, x in v.items()})
     if isinstance(v, (list, tuple)):
