@@ -248,8 +248,12 @@ def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
         p = ends / n
         enough = n >= SEEN[words]
         said = F.when(enough, F.when(p < CUT, "cut").when(p >= WHOLE, "whole").otherwise("unsure"))
+        if words == 4:
+            # an ending that other texts have, too, and after which no text goes on
+            said = F.coalesce(said, F.when((goes == 0) & (ends >= 1), "whole"))
         if words == 0:
-            said = F.when(prefix, "cut").otherwise(said)
+            # without any context only what is no word says that a text is cut
+            said = F.when(prefix, "cut").otherwise(F.when(said == "whole", said))
         verdict = F.coalesce(verdict, said)
         share, by = F.coalesce(share, F.when(enough, p)), F.coalesce(by, F.when(enough, F.lit(words)))
         lacks = F.coalesce(lacks, F.when(enough, F.col(f"stopped{words}") / n))
