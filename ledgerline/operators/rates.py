@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Endings that name a variant of a model, not another model.
+#: Endings that name a variant of a model, not another model (fixed values).
 VARIANTS = ("high", "medium", "low", "minimal", "thinking", "latest", "preview", "customtools")
 
 

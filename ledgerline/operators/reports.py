@@ -60,8 +60,16 @@ def exact_split(ledger: DataFrame) -> DataFrame:
     return a.withColumn("confidence", F.round(F.coalesce(F.try_divide(F.col("measured") * 100.0, F.col("measured") + F.col("estimated")), F.lit(100.0)), 6))
 
 
+#: Shares of cache reads and what they are called (fixed values).
+LABELS = ((0.95, "Excellent"), (0.85, "Good"), (0.60, "Warning"))
+COLD = "Cold context leak"
+
+
 def cache_label(share: Column) -> Column:
-    return F.when(share >= 0.95, "Excellent").when(share >= 0.85, "Good").when(share >= 0.60, "Warning").otherwise("Cold context leak")
+    out = F.lit(COLD)
+    for least, label in reversed(LABELS):
+        out = F.when(share >= least, label).otherwise(out)
+    return out
 
 
 def _health(sums: DataFrame) -> DataFrame:
@@ -223,3 +231,11 @@ def findings(ledger: DataFrame) -> DataFrame:
     r4 = one("estimated", F.col("est") > 0.5 * F.col("n"), F.col("est") / F.col("n"))
     r5 = day_spikes(ledger).select(F.lit("day spike").alias("rule"), "source", F.col("day").alias("subject"), F.round(F.col("value") / F.col("median"), 4).alias("value"))
     return r1.unionByName(r2).unionByName(r3).unionByName(r4).unionByName(r5)
+
+
+def cross_check(ledger: DataFrame, native: DataFrame) -> DataFrame:
+    """One row: tokens billed here (input, output, reasoning) against a native total (threads, tokens), and the difference in percent; null against none."""
+    ours = ledger.agg(F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens") + F.col("reasoning")), F.lit(0).cast("long")).alias("counted"))
+    # one row each
+    j = ours.join(F.broadcast(native), F.lit(True))
+    return j.select("counted", "threads", F.col("tokens").alias("native"), F.round(F.try_divide((F.col("counted") - F.col("tokens")) * 100.0, F.col("tokens")), 2).alias("delta"))

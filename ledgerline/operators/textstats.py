@@ -42,6 +42,33 @@ def length_stats(docs: DataFrame, text: str, by: list[str] | None = None, counte
     return a.select(*by, "docs", "nulls", "empties", "tokens", r("mean").alias("mean"), r(at(1)).alias("median"), r(at(2) - at(0)).alias("iqr"), r(at(3)).alias("p95"), r(at(4)).alias("p99"), r("sd").alias("stddev"))
 
 
+def length_state(docs: DataFrame, text: str, counter: Callable[[Column], Column] = whitespace_tokens) -> DataFrame:
+    """(n, docs, nulls, empties): counts by length, which can be written, united and finished later."""
+    n = F.coalesce(counter(F.col(text)), F.lit(0).cast("long"))
+    return docs.groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.count(F.when(F.col(text).isNull(), 1)).alias("nulls"), F.count(F.when(F.coalesce(F.col(text), F.lit("")) == "", 1)).alias("empties"))
+
+
+def finished(states: DataFrame) -> DataFrame:
+    """What ``length_stats`` says, from one state or several united."""
+    p = F.percentile("n", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95, 0.99)]), F.col("docs"))
+    s = states.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("docs", "nulls", "empties")])
+    zero = F.lit(0).cast("long")
+    w = F.col("n").cast("double") * F.col("docs")
+    a = s.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("docs", "nulls", "empties")], F.coalesce(F.sum(F.col("n") * F.col("docs")), zero).alias("tokens"), p.alias("p"), F.sum(w).alias("s1"), F.sum(w * F.col("n")).alias("s2"))
+    mean = F.try_divide("s1", F.col("docs").cast("double"))
+    sd = F.when(F.col("docs") > 1, F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / F.col("docs")) / (F.col("docs") - 1)))
+    at = lambda i: F.get("p", F.lit(i))
+    r = lambda c: F.round(c, 4)
+    return a.select("docs", "nulls", "empties", "tokens", r(mean).alias("mean"), r(at(1)).alias("median"), r(at(2) - at(0)).alias("iqr"), r(at(3)).alias("p95"), r(at(4)).alias("p99"), r(sd).alias("stddev"))
+
+
+def distribution_report(stats: DataFrame, title: str) -> str:
+    """The row of ``length_stats`` as lines of text; what is null is left out."""
+    row = stats.first().asDict()
+    width = max(map(len, row))
+    return "\n".join([title, *(f"  {k.ljust(width)}  {v:,}" for k, v in row.items() if v is not None)])
+
+
 def pattern_counts(docs: DataFrame, text: str, patterns: dict[str, str] = PRIVATE) -> DataFrame:
     """(pattern, docs): in how many texts each pattern occurs, all in one pass; 0 where in none."""
     hits = [F.count(F.when(F.col(text).rlike(p), 1)).alias(n) for n, p in patterns.items()]

@@ -379,6 +379,17 @@ def q_union_lanes(spark, folder):
     return a.unionByName(b).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
 
 
+@query("""WITH o AS (SELECT coalesce(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0) + coalesce(reasoning, 0)), 0) AS counted FROM invocations WHERE "timestamp" IS NOT NULL),
+ n AS (SELECT count(*) AS threads, sum(coalesce(message.usage.input_tokens, 0) + coalesce(message.usage.output_tokens, 0)) AS native FROM transcripts WHERE message.usage IS NOT NULL)
+SELECT CAST(counted AS BIGINT) AS counted, threads, CAST(native AS BIGINT) AS native, round((counted - native) * 100.0 / nullif(native, 0), 2) AS delta FROM o, n""")
+def q_cross_check(spark, folder):
+    """What was counted against another count of the same."""
+    zero = F.lit(0).cast("long")
+    u = lambda c: F.coalesce(F.col(f"message.usage.{c}"), zero)
+    native = table(spark, folder, "transcripts").filter("message.usage is not null").agg(F.count(F.lit(1)).alias("threads"), F.sum(u("input_tokens") + u("output_tokens")).alias("tokens"))
+    return reports.cross_check(ledger(spark, folder), native)
+
+
 # ---- scalar functions and texts
 
 
@@ -408,6 +419,14 @@ def q_doc_stats(spark, folder):
     return textstats.length_stats(table(spark, folder, "documents"), "text", counter=textstats.chars_tokens)
 
 
+@query(f"WITH {_LENGTHS} SELECT {_STATS} FROM n")
+def q_doc_stats_state(spark, folder):
+    """The same from states of two halves, united."""
+    d = table(spark, folder, "documents")
+    halves = [textstats.length_state(d.filter(F.col("source").isNull() == b), "text", textstats.chars_tokens) for b in (True, False)]
+    return textstats.finished(halves[0].unionByName(halves[1]))
+
+
 @query(f"WITH {_LENGTHS} SELECT source, {_STATS} FROM n GROUP BY 1")
 def q_doc_stats_by_source(spark, folder):
     return textstats.length_stats(table(spark, folder, "documents"), "text", ["source"], textstats.chars_tokens)

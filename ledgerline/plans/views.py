@@ -6,6 +6,8 @@ Each view is a handful of small aggregates; what is collected has a row per mach
 from __future__ import annotations
 
 import html
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
@@ -114,6 +116,21 @@ def text_report(ledger: DataFrame) -> str:
     return "\n\n".join(f"{name}\n{text_table(df.columns, [tuple(r) for r in df.collect()])}" for name, df in tables.items())
 
 
+class Kept:
+    """A text that is made again only when it is older than its time to live; says how old it is."""
+
+    def __init__(self, make: Callable[[], str], ttl: float = 900, clock: Callable[[], float] = time.monotonic):
+        self._make, self._ttl, self._clock = make, ttl, clock
+        self._made: tuple[float, str] | None = None
+
+    def get(self) -> tuple[str, float]:
+        """(text, age in seconds)"""
+        now = self._clock()
+        if self._made is None or now - self._made[0] > self._ttl:
+            self._made = now, self._make()
+        return self._made[1], now - self._made[0]
+
+
 # ---- table functions: arguments are checked, results are DataFrames
 
 

@@ -138,14 +138,26 @@ def content_text(v: Column) -> Column:
     return F.when(v.isNull(), F.lit("")).when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), many).otherwise(one(v))
 
 
-def sessions(spark: SparkSession, path: str) -> DataFrame:
+def last_usage(answers: DataFrame, key: str, line: str, order: str) -> DataFrame:
+    """(key, usage): of the lines an agent printed, the usage in the last one that is JSON and has any."""
+    d = answers.withColumn("_v", F.try_parse_json(line)).withColumn("_u", F.try_variant_get("_v", "$.usage", "variant")).filter(is_object(F.col("_u")))
+    return d.groupBy(key).agg(F.max_by(F.to_json("_u"), order).alias("usage"))
+
+
+def sessions(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
     """Messages of chat sessions, ``session-YYYY-MM-DD*.json`` (messages[] in one object) or ``.jsonl`` (one a line).
 
-    A file with any malformed line is passed over whole. A message that comes again under its id takes the
+    Files whose name says a day more than one outside the given days are not opened. A file with any malformed line is passed over whole. A message that comes again under its id takes the
     last values at the first place; messages are ordered by stamp, those without first, then by place.
     Columns: file, id, nth, at, role, text, thoughts (characters), model, tokens (input, output, cached, thoughts; null if not measured).
     """
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"session-([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
+    if first_day:
+        raw = raw.filter((named == "") | (named >= F.date_sub(F.lit(first_day).cast("date"), 1).cast("string")))
+    if last_day:
+        raw = raw.filter((named == "") | (named <= F.date_add(F.lit(last_day).cast("date"), 1).cast("string")))
+    whole = raw.select(F.col("_metadata.file_path").alias("file"), "value")
     one = F.try_parse_json("value")
     rows = F.transform(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.try_parse_json(x))
     is_lines = F.endswith("file", F.lit(".jsonl"))
@@ -239,4 +251,4 @@ def append(rows: DataFrame, path: str) -> None:
     kept.select(*cols).write.mode("append").json(path)
 
 
-__all__ = ["append", "content_text", "documents", "ledger", "ledger_invocations", "lines", "native_total", "resolved_model", "rollouts", "session_calls", "sessions", "snapshots", "step_calls", "steps", "transcripts"]
+__all__ = ["append", "content_text", "documents", "last_usage", "ledger", "ledger_invocations", "lines", "native_total", "resolved_model", "rollouts", "session_calls", "sessions", "snapshots", "step_calls", "steps", "transcripts"]

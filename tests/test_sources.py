@@ -59,6 +59,19 @@ def test_sessions_mix_measured_and_estimated(spark, tmp_path):
     assert got == [("g-1", 6100, 0, 20, False), ("g-1", 30, 20, 6, True)]
 
 
+def test_sessions_of_other_days_are_not_opened(spark, tmp_path):
+    for d in ("2026-08-01", "2026-08-02", "2026-08-05"):
+        put(tmp_path / f"session-{d}x.jsonl", {"id": "1", "role": "user", "content": "a", "timestamp": f"{d}T00:00:00Z"})
+    assert logs.sessions(spark, str(tmp_path), "2026-08-03", "2026-08-03").count() == 1
+    assert logs.sessions(spark, str(tmp_path)).count() == 3
+
+
+def test_the_last_usage_printed(spark):
+    rows = [("a", 1, '{"usage": {"input": 1}}'), ("a", 2, '{"usage": {"input": 2}}'), ("a", 3, "noise {"), ("a", 4, '{"usage": {}}'), ("b", 1, "x")]
+    got = logs.last_usage(spark.createDataFrame(rows, "k string, o int, line string"), "k", "line", "o").collect()
+    assert [tuple(r) for r in got] == [("a", '{"input":2}')]
+
+
 def test_steps_carry_the_model_and_what_was_sent(spark, tmp_path):
     step = lambda **k: {"created_at": "2026-08-01T00:00:00Z"} | k
     rows = [step(source="USER", type="X", content="<USER_SETTINGS_CHANGE> from A to Big Model.</USER_SETTINGS_CHANGE>", created_at="2020-01-01T00:00:00Z"), step(source="USER", type="X", content="q" * 400), step(source="MODEL", type="PLANNER_RESPONSE", content="p" * 40), step(source="USER", type="X", content="q" * 80), step(source="MODEL", type="PLANNER_RESPONSE", content="p" * 8)]

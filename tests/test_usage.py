@@ -172,6 +172,24 @@ def test_length_stats(spark):
     assert textstats.length_stats(d.limit(1), "t").first().stddev is None and textstats.length_stats(d.limit(0), "t").first().docs == 0
 
 
+def test_states_of_lengths_unite(spark):
+    d = spark.createDataFrame([(" ".join("x" * (k % 23)),) for k in range(200)] + [(None,), ("",)], "t string")
+    halves = textstats.length_state(d.limit(90), "t").unionByName(textstats.length_state(d.exceptAll(d.limit(90)), "t"))
+    assert textstats.finished(halves).first() == textstats.length_stats(d, "t").first()
+    assert textstats.finished(textstats.length_state(d.limit(0), "t")).first().docs == 0
+    assert "median" in textstats.distribution_report(textstats.length_stats(d, "t"), "T") and "stddev" not in textstats.distribution_report(textstats.length_stats(d.limit(1), "t"), "T")
+
+
+def test_kept_text_has_an_age():
+    clock, made = [0.0], []
+    k = views.Kept(lambda: made.append(1) or f"t{len(made)}", 10, lambda: clock[0])
+    assert k.get() == ("t1", 0.0)
+    clock[0] = 9.0
+    assert k.get() == ("t1", 9.0)
+    clock[0] = 11.0
+    assert k.get() == ("t2", 0.0)
+
+
 def test_windows():
     now = datetime(2026, 8, 15, tzinfo=timezone.utc)
     d = lambda *a: datetime(*a, tzinfo=timezone.utc)
