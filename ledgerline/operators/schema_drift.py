@@ -149,18 +149,30 @@ def _chunked(files: DataFrame) -> DataFrame:
     return files.withColumn("chunk", F.floor(F.unix_seconds("received") / 86_400))
 
 
-def _without_nulls(files: DataFrame) -> DataFrame:
-    """Layouts in which a null has the type seen last."""
-    fields = files.select("id", "source", "received", "chunk", F.inline("layout"))
+def _with_layouts(reduced_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files as (id, source, received, chunk, layout_id), and (layout_id, layout), nulls with the type seen last.
+
+    Layouts are few against files: files carry a digest of theirs, and only the open fields of a file
+    (those that are null somewhere) are ever looked back on.
+    """
+    digest = F.md5(F.to_json("layout"))
+    read = _chunked(reduced_files.select("id", "source", "received", digest.alias("raw")))
+    raws = cut(reduced_files.groupBy(digest.alias("raw")).agg(F.first("layout").alias("layout")))
+    fields = raws.select("raw", F.inline("layout"))
     ever_null = fields.filter("type = 'null'").select("path").distinct()
-    open_ = fields.join(ever_null, "path", "left_semi").withColumn("known", F.when(F.col("type") != "null", F.col("type")))
+    open_fields = fields.join(ever_null, "path", "left_semi").select("raw", "path", "type")
+    open_ = read.join(open_fields, "raw").withColumn("known", F.when(F.col("type") != "null", F.col("type")))
     seen = carry_last(open_, ["source", "path"], "chunk", ["received", "id"], "known", "before")
-    filled = seen.filter("type = 'null' and before is not null").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("path", "before"))).alias("was"))
+    filled = seen.filter("type = 'null' and before is not null").groupBy("id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "before"))))).alias("was"))
+    files = read.join(filled, "id", "left").withColumn("was", F.coalesce("was", F.lit("{}")))
     effective = F.transform(
         "layout",
-        lambda f: F.struct(f["path"].alias("path"), f["parent"].alias("parent"), F.when(f["type"] == "null", F.coalesce(F.element_at("was", f["path"]), F.lit("null"))).otherwise(f["type"]).alias("type")),
+        lambda f: F.struct(f["path"].alias("path"), f["parent"].alias("parent"), F.when(f["type"] == "null", F.coalesce(F.element_at("types", f["path"]), F.lit("null"))).otherwise(f["type"]).alias("type")),
     )
-    return files.join(filled, "id", "left").withColumn("layout", F.when(F.col("was").isNull(), F.col("layout")).otherwise(effective)).drop("was")
+    states = files.select("raw", "was").distinct().join(raws, "raw").withColumn("types", F.from_json("was", "map<string,string>")).withColumn("layout", effective)
+    states = cut(states.select("raw", "was", "layout", digest.alias("layout_id")))
+    narrow = cut(files.join(states.select("raw", "was", "layout_id"), ["raw", "was"]).select("id", "source", "received", "chunk", "layout_id"))
+    return narrow, states.groupBy("layout_id").agg(F.first("layout").alias("layout"))
 
 
 def _steps(pair: DataFrame) -> DataFrame:
@@ -223,10 +235,8 @@ def reduced(files: DataFrame, id: str, source: str, received: str, body: str) ->
 def changes(reduced_files: DataFrame) -> DataFrame:
     """(id, source, field, change, new_field) of every change against the file before from the same source."""
     content = reduced_files.select(F.inline("content")).groupBy("path", "class").agg(F.sum("n").alias("n"))
-    files = _without_nulls(_chunked(reduced_files.drop("content")))
-    files = cut(files.withColumn("layout_id", F.md5(F.to_json("layout"))))
-    known = files.groupBy("layout_id").agg(F.first("layout").alias("layout"), F.count(F.lit(1)).alias("files"))
-    narrow = files.select("id", "source", "received", "chunk", "layout_id")
+    narrow, layouts_ = _with_layouts(reduced_files)
+    known = cut(layouts_.join(narrow.groupBy("layout_id").agg(F.count(F.lit(1)).alias("files")), "layout_id"))
     follows = carry_last(narrow, ["source"], "chunk", ["received", "id"], "layout_id", "previous").filter("previous is not null and previous <> layout_id")
     follows = follows.select("id", "source", F.concat_ws(">", "previous", "layout_id").alias("pair"), "previous", "layout_id")
     pairs = (
