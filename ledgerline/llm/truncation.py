@@ -4,10 +4,12 @@ A trie of the corpus' words, rooted once for the corpus and once for each contex
 preceding words, says how often a text that stands where this one stops goes on: words that
 pass through the node of the last token (the token is a proper prefix of them), tokens that end there but
 are followed by more, and tokens that end there and end a line or a sentence. A text whose last token is
-an unknown proper prefix of known words, or that stops where texts practically always go on, is cut.
+an unknown proper prefix of known words, or that stops where texts practically always go on, is cut. Where many
+texts end in the same unknown prefix their lengths decide: a greeting ends texts of any length, a cut those of one.
 Contexts are tried from the longest to the shortest that has been seen often enough, the bare trie
 of words last. Where that leaves a doubt, length decides: lengths of a source, in characters or bytes,
-at which most texts are cut are its limits. A block that was opened and not closed is cut, too.
+at which most texts are cut are its limits; where a source's texts pile up at a limit, an ending without
+a stop that is whole only because other texts of that length stop there, too, was cut there. A block that was opened and not closed is cut, too.
 
 Digits count as one digit, hexadecimal ids as one sign, so that numbers, dates, stamps and ids have
 words of their shape. Languages written without spaces are taken sign by sign, contexts twice as long. A
@@ -24,7 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
@@ -41,6 +43,8 @@ LACKS, LEAVES_OFF = 0.15, 0.25
 LACKS_THERE = 0.01
 #: A length of a source is a limit if so many texts have it and this share of them is cut by their words.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.5
+#: Texts pile up at a length that holds at least this share of those up to so many longer or shorter.
+PILED, NEAR = 0.5, 8
 
 #: Nodes a worker counts before it hands them on, and characters of sentences it holds before it takes them apart.
 COUNTED, HELD = 250_000, 32 << 20
@@ -233,7 +237,7 @@ def _nodes(grams: DataFrame, finals: DataFrame) -> DataFrame:
 
 
 def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
-    """(ctx, tok, verdict, share, words, lacks): of each distinct ending 'cut', 'whole' or 'unsure'; share of texts that end there, by a context of so many words."""
+    """(ctx, tok, verdict, broken_word, recurs, share, words, lacks): of each distinct ending 'cut', 'whole' or 'unsure'; whether it is an unknown prefix of words; whether it is whole only by texts that stop there; share of texts that end there, by a context of so many words."""
     finals = finals.filter("tok is not null")
     nodes = _nodes(grams, finals)
     keys = _leveled(finals.select("ctx", "tok").distinct())
@@ -241,10 +245,12 @@ def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
     at = lambda w: F.max(F.when(F.col("words") == w, F.struct(*stats))).alias(f"l{w}")
     d = keys.join(nodes, ["words", "c", "tok"]).groupBy("ctx", "tok").agg(*[at(w) for w in LEVELS])
     d = d.select("ctx", "tok", *[F.col(f"l{w}.{x}").alias(f"{x}{w}") for w in LEVELS for x in stats])
-    verdict: Column = F.lit(None).cast("string")
     share, by, lacks = F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(None).cast("double")
     known = F.col("goes0") + F.col("ends0") > 0
     prefix = ~known & (F.col("below0") > 1)
+    broken = ~known & (F.col("below0") - F.col("stopped0") > 1)  # more than a stop is missing
+    verdict: Column = F.lit(None).cast("string")
+    recurs: Column = F.lit(None).cast("boolean")
     for words in LEVELS:
         goes = F.col(f"below{words}") + F.col(f"goes{words}")
         ends = F.col(f"ends{words}") + F.col(f"stops{words}") - 1  # without itself
@@ -259,6 +265,8 @@ def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
             # without any context only what is no word says that a text is cut
             said = F.when(prefix, "cut").otherwise(F.when(said == "whole", said))
         verdict = F.coalesce(verdict, said)
+        inner = F.col(f"ends{words}")
+        recurs = F.coalesce(recurs, F.when(said.isNotNull(), (said == "whole") & ((inner == 0) | (inner < (goes + inner) * WHOLE))))
         share, by = F.coalesce(share, F.when(enough, p)), F.coalesce(by, F.when(enough, F.lit(words)))
         lacks = F.coalesce(lacks, F.when(enough, F.col(f"stopped{words}") / n))
         if words in (4, 2):
@@ -267,8 +275,22 @@ def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
             cp = (F.col(f"ctx_ends{words}") + F.col(f"ctx_stops{words}") - 1) / cn
             place = F.when(prefix & (cn >= SEEN[words]), "cut").when((cn >= SEEN[words]) & (cp >= 0.5), "whole").when((cn >= NEVER_SEEN) & (cp < NEVER), "cut")
             verdict = F.coalesce(verdict, place)
+            inner = F.col(f"ctx_ends{words}")
+            recurs = F.coalesce(recurs, F.when(place.isNotNull(), (place == "whole") & ((inner == 0) | (inner < (F.col(f"ctx_goes{words}") + inner) * 0.5))))
             share, by = F.coalesce(share, F.when(place.isNotNull(), cp)), F.coalesce(by, F.when(place.isNotNull(), F.lit(words)))
-    return d.select("ctx", "tok", F.coalesce(verdict, F.lit("unsure")).alias("verdict"), share.alias("share"), by.alias("words"), F.coalesce(lacks, F.lit(0.0)).alias("lacks"))
+    return d.select("ctx", "tok", F.coalesce(verdict, F.lit("unsure")).alias("verdict"), broken.alias("broken_word"), F.coalesce(recurs, F.lit(False)).alias("recurs"), share.alias("share"), by.alias("words"), F.coalesce(lacks, F.lit(0.0)).alias("lacks"))
+
+
+def _one_length(seen: DataFrame) -> DataFrame:
+    """(ctx, tok, s): endings that recur in a source, not judged to be cut, and whose texts are of one length there."""
+    texts = seen.filter("(broken_word or recurs) and verdict <> 'cut'").select("ctx", "tok", "s", "hash", "chars", "bytes").distinct()
+    quarters = [F.percentile_approx(m, [0.25, 0.75]).alias(f"q_{m}") for m in ("chars", "bytes")]
+    # half of them within a band, or all at one length; a word alone in its line is no place in a text, so it needs the latter
+    same = texts.groupBy("ctx", "tok", "s").agg(F.count(F.lit(1)).alias("n"), *[(F.max(m) - F.min(m)).alias(f"w_{m}") for m in ("chars", "bytes")], *quarters)
+    band = F.least(*[F.col(f"q_{m}")[1] - F.col(f"q_{m}")[0] for m in ("chars", "bytes")]) <= 2 * NEAR
+    alone = F.col("ctx").rlike("^[\\^ ]+$")
+    one = (F.least("w_chars", "w_bytes") == 0) & (F.col("n") >= F.when(alone, LIMIT_TEXTS).otherwise(2))
+    return same.filter(one | ((F.col("n") >= LIMIT_TEXTS) & band & ~alone)).select("ctx", "tok", "s", F.lit(True).alias("at_one"))
 
 
 def truncated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -277,24 +299,33 @@ def truncated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: s
     finals = cut(endings(docs, id, text, source))
     grams = cut(goings_on(docs, text))
     verdicts = judged(grams, finals)
-    seen = cut(finals.join(verdicts, ["ctx", "tok"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("unsure"))))
     src = F.coalesce("source", F.lit(""))
+    no = F.lit(False)
+    seen = cut(finals.withColumn("s", src).join(verdicts, ["ctx", "tok"], "left").withColumns({"verdict": F.coalesce("verdict", F.lit("unsure")), "broken_word": F.coalesce("broken_word", no), "recurs": F.coalesce("recurs", no)}))
+    seen = seen.join(_one_length(seen), ["ctx", "tok", "s"], "left")
+    seen = cut(seen.withColumns({"verdict": F.when(F.col("at_one") & F.col("broken_word"), "cut").otherwise(F.col("verdict")), "recurs": F.col("recurs") & ~F.col("broken_word") & F.coalesce("at_one", no)}))
     limits = None
     for measure in ("chars", "bytes"):
-        found = (
-            seen.groupBy(src.alias("s"), F.col(measure).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("verdict") == "cut").cast("int")).alias("share"))
-            .filter((F.col("n") >= LIMIT_TEXTS) & (F.col("share") >= LIMIT_SHARE)).select("s", "m", F.lit(measure).alias("measure"))
+        by_length = seen.groupBy("s", F.col(measure).alias("m")).agg(
+            F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("recurs"), 1)).alias("told"), F.count(F.when(F.col("verdict") == "cut", 1)).alias("cuts")
         )
+        # one row per source and length
+        near = Window.partitionBy("s").orderBy("m").rangeBetween(-NEAR, NEAR)
+        by_length = by_length.withColumn("piled", F.col("n") >= F.sum("n").over(near) * PILED)
+        most = lambda n: (F.col(n) >= LIMIT_TEXTS) & (F.col("cuts") >= F.col(n) * LIMIT_SHARE)
+        found = by_length.filter(most("n") | (F.col("piled") & most("told"))).select("s", "m", "piled", F.lit(measure).alias("measure"))
         limits = found if limits is None else limits.unionByName(found)
-    marked = seen.withColumn("s", src)
+    marked = seen
     for measure in ("chars", "bytes"):
-        own = limits.filter(F.col("measure") == measure).select("s", F.col("m").alias(measure), F.lit(True).alias(f"limit_{measure}"))
+        own = limits.filter(F.col("measure") == measure).select("s", F.col("m").alias(measure), F.lit(True).alias(f"limit_{measure}"), F.col("piled").alias(f"piled_{measure}"))
         marked = marked.join(own, ["s", measure], "left")
     at_limit = F.coalesce("limit_chars", F.lit(False)) | F.coalesce("limit_bytes", F.lit(False))
+    at_pile = F.coalesce("piled_chars", F.lit(False)) | F.coalesce("piled_bytes", F.lit(False))
     # sources that leave off the last stop of complete texts, told by texts that no limit cut
     free = marked.filter(~at_limit & ~F.col("open") & ~F.col("broken") & (F.col("verdict") == "cut"))
     habits = free.groupBy("s").agg(F.avg((F.col("lacks") >= LACKS).cast("int")).alias("off")).filter(F.col("off") >= LEAVES_OFF).select(F.col("s").alias("hs"))
     marked = marked.join(habits, F.col("s") == F.col("hs"), "left")
+    stopped = F.coalesce(F.col("tok").rlike(f"{_STOPS}{_CLOSING}*$"), F.lit(False))  # may be whole and as long as a limit by chance
     stopless = F.col("hs").isNotNull() & (F.col("lacks") >= LACKS_THERE) & ~at_limit
-    is_cut = F.col("open") | F.col("broken") | ((F.col("verdict") == "cut") & ~stopless) | ((F.col("verdict") == "unsure") & at_limit)
+    is_cut = F.col("open") | F.col("broken") | ((F.col("verdict") == "cut") & ~stopless) | ((F.col("verdict") == "unsure") & at_limit) | (F.col("recurs") & ~stopped & at_pile)
     return marked.select(F.col("id").alias(id), F.col("source").alias(source), is_cut.alias("cut"), "verdict", at_limit.alias("at_limit"), "open", "broken", "share", "words", "lacks")

@@ -99,6 +99,28 @@ def test_cut_texts_are_found_and_whole_ones_are_not(spark):
     assert (10_006 in found) == (0 in found)
 
 
+def test_many_distinct_texts_cut_at_one_place_are_cut(spark):
+    docs, _ = corpus(600)
+    docs += [(1000 + k, f"The exporter of box {k} stood still.", "notes") for k in range(12)]
+    hosts = ["ash", "birch", "cedar", "elm"]
+    # one template, cut within a word: by a limit of its message, whatever came before
+    inside = {2000 + k: f"Box {hosts[k % 4]}-{k} reported that the nightly expor" for k in range(60)}
+    # cut behind a known word, at a limit that others show
+    filled = lambda k, end: f"{hosts[k % 4]}{'x' * (6 - len(hosts[k % 4]))} {k:04} " + "m" * (150 - 12 - len(end)) + end
+    behind = {3000 + k: filled(k, " and then it seemed that the") for k in range(60)}
+    shown = {4000 + k: filled(k, f" {w} the whole lan") for k, w in enumerate(VERBS * 2)}
+    # a greeting ends texts of any length and is no cut word, though longer words begin so
+    thanks = {5000 + k: f"{docs[3 * k][1]}\n{end}" for k in range(80) if docs[3 * k][1].endswith(".") for end in [["tai", "and so says tai"][k % 2]]}
+    docs += [(6000 + k, f"The tail of lane {k} was read.", "notes") for k in range(20)]
+    assert len(set(map(len, behind.values())) | set(map(len, shown.values()))) == 1
+    for d, source in ((inside, "notices"), (behind, "limited"), (shown, "limited"), (thanks, "notes")):
+        docs += [(i, t, source) for i, t in d.items()]
+    found = {r.doc_id for r in truncation.truncated(spark.createDataFrame(docs, "doc_id long, text string, source string")).filter("cut").collect()}
+    for d in (inside, behind, shown):
+        assert set(d) <= found, (len(set(d) - found), len(d))
+    assert not set(thanks) & found
+
+
 def test_nothing_is_found_in_an_empty_table(spark):
     assert truncation.truncated(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
