@@ -48,6 +48,8 @@ PILED, NEAR = 0.5, 8
 
 #: Nodes a worker counts before it hands them on, and characters of sentences it holds before it takes them apart.
 COUNTED, HELD = 250_000, 32 << 20
+#: So many ids of copies are broadcast at most.
+COPIES = 1_000_000
 
 _SIGNS = "\u3001-\u30ff\u3400-\u9fff\uff00-\uffef"
 _SPACE = "\\s\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000"
@@ -297,16 +299,22 @@ def truncated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: s
     """(id, source, cut, verdict, at_limit, open, share, words) of every text that is not blank."""
     docs = spread(docs.select(id, text, source))
     finals = cut(endings(docs, id, text, source))
-    grams = cut(goings_on(docs, text))
+    # equal texts are evidence once; texts are shuffled for that only if the copies are too many to broadcast
+    same = ["hash", "chars", "bytes"]
+    copies = finals.join(finals.groupBy(*same).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), same).filter("id > first").select(F.col("id").alias("copy"))
+    copies = cut(copies)
+    few = copies.count() <= COPIES
+    grams = cut(goings_on(docs.join(F.broadcast(copies) if few else copies, F.col(id) == F.col("copy"), "left_anti"), text))
     verdicts = judged(grams, finals)
     src = F.coalesce("source", F.lit(""))
     no = F.lit(False)
     seen = cut(finals.withColumn("s", src).join(verdicts, ["ctx", "tok"], "left").withColumns({"verdict": F.coalesce("verdict", F.lit("unsure")), "broken_word": F.coalesce("broken_word", no), "recurs": F.coalesce("recurs", no)}))
     seen = seen.join(_one_length(seen), ["ctx", "tok", "s"], "left")
     seen = cut(seen.withColumns({"verdict": F.when(F.col("at_one") & F.col("broken_word"), "cut").otherwise(F.col("verdict")), "recurs": F.col("recurs") & ~F.col("broken_word") & F.coalesce("at_one", no)}))
+    once = seen.dropDuplicates(["s", *same])
     limits = None
     for measure in ("chars", "bytes"):
-        by_length = seen.groupBy("s", F.col(measure).alias("m")).agg(
+        by_length = once.groupBy("s", F.col(measure).alias("m")).agg(
             F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("recurs"), 1)).alias("told"), F.count(F.when(F.col("verdict") == "cut", 1)).alias("cuts")
         )
         # one row per source and length
@@ -322,7 +330,7 @@ def truncated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: s
     at_limit = F.coalesce("limit_chars", F.lit(False)) | F.coalesce("limit_bytes", F.lit(False))
     at_pile = F.coalesce("piled_chars", F.lit(False)) | F.coalesce("piled_bytes", F.lit(False))
     # sources that leave off the last stop of complete texts, told by texts that no limit cut
-    free = marked.filter(~at_limit & ~F.col("open") & ~F.col("broken") & (F.col("verdict") == "cut"))
+    free = marked.filter(~at_limit & ~F.col("open") & ~F.col("broken") & (F.col("verdict") == "cut")).dropDuplicates(["s", *same])
     habits = free.groupBy("s").agg(F.avg((F.col("lacks") >= LACKS).cast("int")).alias("off")).filter(F.col("off") >= LEAVES_OFF).select(F.col("s").alias("hs"))
     marked = marked.join(habits, F.col("s") == F.col("hs"), "left")
     stopped = F.coalesce(F.col("tok").rlike(f"{_STOPS}{_CLOSING}*$"), F.lit(False))  # may be whole and as long as a limit by chance

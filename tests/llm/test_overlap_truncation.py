@@ -121,6 +121,16 @@ def test_many_distinct_texts_cut_at_one_place_are_cut(spark):
     assert not set(thanks) & found
 
 
+def test_copies_of_a_text_are_no_more_evidence_than_the_text(spark):
+    docs, _ = corpus(300)
+    copies = [(10_000 + k, docs[i][1], docs[i][2]) for k, i in enumerate([1, 2, 30, 31] * 50)]
+    results = []
+    for rows in (docs, docs + copies):
+        got = truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("doc_id < 10000").collect()
+        results.append({r.doc_id: tuple(r) for r in got})
+    assert results[0] == results[1]
+
+
 def test_nothing_is_found_in_an_empty_table(spark):
     assert truncation.truncated(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
