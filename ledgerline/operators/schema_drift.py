@@ -351,7 +351,9 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
     maps (``m.*.x``) of those. ``names`` leads a path under another name to the wanted one. A value of another
     type takes the canonical conversion (digits to integers, 0/1 and words to booleans, seconds since 1970 to
     stamps, an object to what names it, separated text to arrays, lists of named objects to maps), or null where
-    there is none; either way its JSON text is kept in ``branches``, a map of ``path:type``, so nothing is lost.
+    there is none; either way its JSON text is kept in ``branches``, a map of ``path:type``. So is every field, at any
+    depth, that is not taken, every entry of a map that is no object, and, under its own path, the value that gives way
+    where two names lead to one field, so nothing is lost. Keys that become equal when cleaned get a number.
     """
     tops = [(f, t) for f, t in fields if "." not in f]
     under = {f: [x.rpartition(".")[2] for x, _ in fields if x.rpartition(".")[0] in (f, f"{f}.*")] for f, _ in tops}
@@ -374,10 +376,16 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
     ddl_all = ", ".join(["_id long", "_source string", "_received timestamp", *(ddl(f, t) for f, t in tops), "branches map<string,string>"])
     schema = to_arrow_schema(StructType.fromDDL(ddl_all))
 
+    def keep(path: str, v, branches: dict) -> None:
+        key, nth = f"{path}:{_kind(v)}", 2
+        while key in branches:
+            key, nth = f"{path}:{_kind(v)}#{nth}", nth + 1
+        branches[key] = json.dumps(v)
+
     def take(path: str, want: str, v, branches: dict):
         kind = _kind(v)
         if v is not None and kind != want:
-            branches[f"{path}:{kind}"] = json.dumps(v)
+            keep(path, v, branches)
         if want == "integer":
             return _as_integer(v)
         if want == "boolean":
@@ -388,24 +396,32 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
             return _as_array(v)
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
 
-    def renamed(o: dict, at: str) -> dict:
-        """The object's fields by their wanted names; one that has the wanted name itself wins."""
+    def renamed(o: dict, at: str, label: str, branches: dict) -> dict:
+        """The object's fields by their wanted names; one that has the wanted name itself wins, the other is kept in branches."""
         out: dict = {}
+        came: dict = {}
         for k, v in o.items():
             path = f"{at}.{_clean(k)}" if at else _clean(k)
             new = names.get(path, alike.get(_clean(k), path) if at else path).rpartition(".")[2]
             if new == path.rpartition(".")[2] or new not in out:
-                out[new] = v
+                if new in out:
+                    keep(label + came[new], out[new], branches)
+                out[new], came[new] = v, _clean(k)
+            else:
+                keep(label + _clean(k), v, branches)
         return out
 
     def tokens(o: dict, old: str, f: str, branches: dict, label: str) -> dict:
-        r = renamed(o, old)
+        r = renamed(o, old, f"{label}.", branches)
+        for k, v in r.items():
+            if k not in under[f]:
+                keep(f"{label}.{_clean(k)}", v, branches)
         return {x: take(f"{label}.{x}", "integer", r.get(x), branches) for x in under[f]}
 
     def row(o: dict) -> dict:
         branches: dict = {}
         back = {names[k]: k for k in names if "." not in k and k in o}
-        r = renamed(o, "")
+        r = renamed(o, "", "", branches)
         out = {}
         for f, t in tops:
             v = r.get(f)
@@ -414,16 +430,20 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
                 continue
             old = back.get(f, f) if f not in o else f
             if v is not None and not isinstance(v, dict):
-                branches[f"{f}:{_kind(v)}"] = json.dumps(v)
+                keep(f, v, branches)
             if f in maps:
                 m = _as_map(v)
+                if isinstance(v, dict):
+                    for k, x in v.items():
+                        if not isinstance(x, dict) or m[_clean(k)] is not x:
+                            keep(f"{f}.{_clean(k)}", x, branches)
                 out[f] = None if m is None else [(k, tokens(x, f"{old}.*", f, branches, f"{f}.{k}")) for k, x in m.items()]
             else:
                 out[f] = tokens(v, old, f, branches, f) if isinstance(v, dict) else None
         wanted = {f for f, _ in tops}
         for k, v in r.items():
             if k not in wanted:
-                branches[f"{_clean(k)}:{_kind(v)}"] = json.dumps(v)
+                keep(_clean(k), v, branches)
         out["branches"] = list(branches.items())
         return out
 

@@ -215,3 +215,15 @@ def test_one_table_with_branches(spark):
     assert (b.schema, b.counter, b.partial, b.generated_at, b.invocations, b.sketch) == (3, "x", False, "2026-02-13T16:26:05+00:00", 256, ["a", "b"])
     assert b.totals.reasoning == 9 and b.sources["A"].input_tokens == 5 and b.branches["cost:number"] == "1.5" and b.branches["invocations:number"] == "256.0"
     assert (c.invocations, c.sources, c.totals) == (None, None, None) and c.branches["invocations:string"] == '"many"' and c.branches["sources:array"] == '[["A", 1]]'
+
+
+def test_what_the_one_table_does_not_take_is_in_branches(spark):
+    fields = [("counter", "string"), ("totals", "object"), ("sources", "object"), *((f"totals.{k}", "integer") for k in T), *((f"sources.*.{k}", "integer") for k in T)]
+    body = {"code_digest": "old", "counter": "new", "totals": dict(T, thinking=9, audio_tokens=7), "sources": {"A": dict(T, calls={"n": 2}, none=None), "B": 5, "C": None}}
+    df, _ = changed(spark, [body])
+    names_ = {"code_digest": "counter", "totals.thinking": "totals.reasoning"}
+    [r] = schema_drift.consistent(df, "id", "m", "t", "body", fields, names_).collect()
+    assert r.counter == "new" and r.totals.asDict() == T and {k: v.asDict() for k, v in r.sources.items()} == {"A": T}
+    # the loser of a clash, fields below objects and maps, entries that are no objects
+    want = {"code_digest:string": '"old"', "totals.thinking:integer": "9", "totals.audio_tokens:integer": "7", "sources.A.calls:object": '{"n": 2}', "sources.A.none:null": "null", "sources.B:integer": "5", "sources.C:null": "null"}
+    assert want.items() <= r.branches.items(), r.branches
