@@ -193,7 +193,7 @@ def q_machine_bars(spark, folder):
  greatest(coalesce(input_tokens, 0), 0) + greatest(coalesce(output_tokens, 0), 0) AS tokens FROM d)
 SELECT strftime(d, '%Y-%m-%d') AS day, provider, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM p WHERE d IS NOT NULL GROUP BY 1, 2""")
 def q_stream_daily(spark, folder):
-    """The ledger as a file stream: deduplicated within the watermark, summed by day, upserted batch by batch."""
+    """The ledger as a file stream: deduplicated, summed by day, upserted batch by batch."""
     from ..streaming import daily
 
     return daily.replay(spark, f"{folder}/fleet_usage.parquet")

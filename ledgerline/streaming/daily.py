@@ -1,7 +1,7 @@
 """The append-only ledger as a stream: deduplicated, summed by day and provider, upserted.
 
-State is bounded by the watermark: a repeat that comes later than the delay can count twice until the
-day is exported again. Sums of a batch are merged into a table of versions in the shared folder, one
+Every row counts once, however late it comes; the state holds the key of every row for that. Given a
+delay, state is bounded by the watermark, and rows that come later than the delay are lost. Sums of a batch are merged into a table of versions in the shared folder, one
 per batch, so a batch that runs twice after a failure replaces its own version and nothing else.
 """
 
@@ -25,9 +25,10 @@ def prepared(stream: DataFrame) -> DataFrame:
     return stream.select(at.alias("at"), names.provider(F.col("provider")).alias("provider"), (n("input_tokens") + n("output_tokens")).alias("tokens"), key.alias("key")).filter("at is not null")
 
 
-def start(stream: DataFrame, out: str, checkpoint: str, delay: str = "400 days", trigger: dict | None = None):
+def start(stream: DataFrame, out: str, checkpoint: str, delay: str | None = None, trigger: dict | None = None):
     """Runs the upsert; ``out`` gets one folder per batch with the sums of that batch."""
-    deduplicated = prepared(stream).withWatermark("at", delay).dropDuplicatesWithinWatermark(["key"])
+    rows = prepared(stream)
+    deduplicated = rows.withWatermark("at", delay).dropDuplicatesWithinWatermark(["key"]) if delay else rows.dropDuplicates(["key"])
 
     def merge(batch: DataFrame, nth: int) -> None:
         sums = batch.groupBy(times.day_text(F.col("at")).alias("day"), "provider").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))

@@ -32,6 +32,18 @@ def test_the_ledger_stream_equals_the_batch(spark, tmp_path):
     assert got == want
 
 
+def test_rows_of_long_ago_count_once(spark, tmp_path):
+    import os
+
+    (tmp_path / "in").mkdir()
+    for k, days in enumerate([1000, 1001, 0, 0, 1001]):
+        (tmp_path / f"in/{k}.json").write_text(json.dumps({"timestamp": (DAY0 + timedelta(days=days)).isoformat(), "provider": "a", "input_tokens": 5, "output_tokens": 1}))
+        os.utime(tmp_path / f"in/{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("timestamp string, provider string, input_tokens long, output_tokens long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    daily.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r.calls, r.tokens) for r in daily.totals(spark, str(tmp_path / "out")).collect()) == [(1, 6)] * 3
+
+
 def records(spark, rows):
     return spark.createDataFrame([(s, date(2026, 1, d), DAY0 + timedelta(days=d - 1, hours=h), v, o) for s, d, h, v, o in rows], "source string, period date, stamp timestamp, value long, `order` long")
 
