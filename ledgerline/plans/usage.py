@@ -316,6 +316,20 @@ def q_session_estimator(spark, folder):
     return ordered.estimated_calls(s, "session_id", "chunk", ["at", "doc_id"], "adds", call, own=False).select(*_EST)
 
 
+@query(_estimate_sql(f"p AS (SELECT *, CAST(coalesce(sum(n) {_OVER}, 0) AS BIGINT) AS acc FROM st)", True))
+def q_planner_estimator_whole(spark, folder):
+    """q_planner_estimator over the whole table, without a window of dates."""
+    s = _steps(spark, folder)
+    return ordered.estimated_calls(s, "session_id", "chunk", ["at", "doc_id"], "n", F.col("role") == "assistant", own=True).select(*_EST)
+
+
+@query(_estimate_sql(f"q AS (SELECT *, CASE WHEN role = 'system' THEN 0 ELSE n END AS add_n FROM st), p AS (SELECT *, CAST(coalesce(sum(add_n) {_OVER}, 0) AS BIGINT) AS acc FROM q)", False))
+def q_session_estimator_whole(spark, folder):
+    """q_session_estimator over the whole table, without a window of dates."""
+    s = _steps(spark, folder).withColumn("adds", F.when(F.col("role") == "system", F.lit(0).cast("long")).otherwise(F.col("n")))
+    return ordered.estimated_calls(s, "session_id", "chunk", ["at", "doc_id"], "adds", F.col("role") == "assistant", own=False).select(*_EST)
+
+
 @query(r"""WITH k AS (SELECT row_id, coalesce(nullif(regexp_replace(requestId, '^\s+|\s+$', '', 'g'), ''), nullif(regexp_replace(uuid, '^\s+|\s+$', '', 'g'), '')) AS k FROM transcripts WHERE message.usage IS NOT NULL)
 SELECT row_id FROM k QUALIFY k IS NULL OR row_number() OVER (PARTITION BY k ORDER BY row_id) = 1""")
 def q_request_dedup(spark, folder):

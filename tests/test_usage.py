@@ -206,3 +206,13 @@ def test_windows():
 def test_numbers(spark):
     df = spark.createDataFrame([(5,), (1234,), (12_340_000,), (1_230_000_000,)], "n long")
     assert [r[0] for r in df.select(humanized(F.col("n"))).collect()] == ["5", "1.2K", "12.34M", "1.23B"] == [human(x) for x in (5, 1234, 12_340_000, 1_230_000_000)]
+
+
+def test_estimators_cover_the_whole_table(spark):
+    from ledgerline.plans import usage
+
+    folder = "/root/testdata/sf0.001"
+    calls = usage._steps(spark, folder).filter("role = 'assistant'").count()
+    assert calls > usage.QUERIES["q_planner_estimator"](spark, folder).count()
+    for name in ("q_planner_estimator_whole", "q_session_estimator_whole"):
+        assert usage.QUERIES[name](spark, folder).count() == calls
