@@ -216,3 +216,16 @@ def test_estimators_cover_the_whole_table(spark):
     assert calls > usage.QUERIES["q_planner_estimator"](spark, folder).count()
     for name in ("q_planner_estimator_whole", "q_session_estimator_whole"):
         assert usage.QUERIES[name](spark, folder).count() == calls
+
+
+def test_the_bench_times_every_query(monkeypatch, capsys):
+    import json
+    from unittest.mock import MagicMock
+
+    import bench
+
+    names = ["q_day_totals", "p4_table", "p8_sources", "q_daily_roundtrip"]
+    monkeypatch.setattr(bench, "build", MagicMock())
+    monkeypatch.setattr(bench.entry, "queries", lambda: {n: MagicMock() for n in names})
+    bench.main([])
+    assert set(json.loads(capsys.readouterr().out)["queries"]) == set(names)
