@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ZONED = r"(Z|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2})$"
 _STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2})?)?$"
 #: The white space that ids, names and stamps are trimmed of, at either end.
-_EDGES = r"^[\s ]+|[\s ]+$"
+_EDGES = " \t\n\x0b\x0c\r\u00a0"
 
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind (tabs too) at the ends; null stays null."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_EDGES))
 
 
 def filled(text: Column) -> Column:
@@ -28,7 +27,9 @@ def instant(text: Column) -> Column:
     bare date (its midnight). Null for null, blank, and anything that is no such stamp or no such day.
     """
     s = F.upper(trimmed(text))
-    zoned = F.when(F.length(s) <= 10, F.concat(s, F.lit("T00:00:00Z"))).when(s.rlike(_ZONED) & (F.length(s) > 10), s).otherwise(F.concat(s, F.lit("Z")))
+    clock = F.substring(s, 12, 60)
+    has_zone = F.contains(clock, F.lit("Z")) | F.contains(clock, F.lit("+")) | F.contains(clock, F.lit("-"))
+    zoned = F.when(F.length(s) <= 10, F.concat(s, F.lit("T00:00:00Z"))).when(has_zone, s).otherwise(F.concat(s, F.lit("Z")))
     return F.when(s.rlike(_STAMP), zoned.try_cast("timestamp"))
 
 
@@ -48,10 +49,11 @@ def day_text(ts: Column) -> Column:
 
 def loose_date(text: Column) -> Column:
     """A date spelled ``YYYY-MM-DD``, ``YYYY/MM/DD`` or ``YYYYMMDD`` with blanks around; null for anything else."""
+    # one match; what is left of it are the digits
     s = trimmed(text)
-    d = F.regexp_extract(s, r"^([0-9]{4})[-/]?([0-9]{2})[-/]?([0-9]{2})$", 1)
-    iso = F.concat_ws("-", d, F.regexp_extract(s, r"^([0-9]{4})[-/]?([0-9]{2})[-/]?([0-9]{2})$", 2), F.regexp_extract(s, r"^([0-9]{4})[-/]?([0-9]{2})[-/]?([0-9]{2})$", 3))
-    return F.when(d != "", iso.try_cast("date"))
+    digits = F.translate(s, "-/", "")
+    iso = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
+    return F.when(s.rlike(r"^[0-9]{4}[-/]?[0-9]{2}[-/]?[0-9]{2}$"), iso.try_cast("date"))
 
 
 def end_of(date: Column) -> Column:

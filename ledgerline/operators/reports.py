@@ -180,14 +180,15 @@ def records(daily: DataFrame, day: str = "day", value: str = "total") -> DataFra
     return out
 
 
-def streaks(daily: DataFrame, today: Column, day: str = "day", value: str = "total") -> DataFrame:
+def streaks(daily: DataFrame, today: DataFrame, day: str = "day", value: str = "total") -> DataFrame:
     """One row: longest run of days with anything (the earliest of equals), and the run that reaches today, or else yesterday.
 
-    ``daily`` has one row a day, so the window that numbers days holds days only.
+    ``daily`` has one row a day, so the window that numbers days holds days only; ``today`` is one row of one date.
     """
     d = daily.filter(F.col(value) > 0).select(F.col(day).cast("date").alias("d")).distinct()
     runs = d.withColumn("g", F.date_sub("d", F.row_number().over(Window.orderBy("d")))).groupBy("g").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n"))
-    here = (F.col("last") >= F.date_sub(today, 1)) & (F.col("last") <= today)
+    runs = runs.join(F.broadcast(today.toDF("_today").select(F.col("_today").cast("date"))), F.lit(True), "left")
+    here = (F.col("last") >= F.date_sub("_today", 1)) & (F.col("last") <= F.col("_today"))
     return runs.agg(
         F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("longest"),
         F.max_by(F.col("first").cast("string"), F.struct("n", -F.unix_date("first"))).alias("longest_first"),

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def trailing_totals(rows: DataFrame, entity: str, day: str, value: str, periods: Sequence[int] = (7, 30)) -> DataFrame:
     """One row per entity and day from its first to its last day.
@@ -23,7 +25,8 @@ def trailing_totals(rows: DataFrame, entity: str, day: str, value: str, periods:
     repeated rows all count; an empty table gives no rows. Extra columns are not carried.
     """
     src = rows.select(F.col(entity).alias("_e"), F.col(day).cast("date").alias("_d"), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("_v"))
-    daily = src.filter("_e is not null and _d is not null").groupBy("_e", "_d").agg(F.sum("_v").alias("_v"))
+    # one row per entity and day, written once: the span and the sums read these rows, and the input is read once
+    daily = cut(src.filter("_e is not null and _d is not null").groupBy("_e", "_d").agg(F.sum("_v").alias("_v")))
     span = daily.groupBy("_e").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
     longest = max(periods)
     reach = F.sequence("_d", F.least(F.date_add("_d", longest - 1), F.col("_last")))

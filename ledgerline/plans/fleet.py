@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import fleet
 from ..schema import SCHEMA_VERSION, TOKEN_FIELDS
-from ..session import shared_folder, table
+from ..session import fresh_folder, table
 from ..sources import dailies
 from .problems import stamp_sql
 from .usage import L, ledger
@@ -65,7 +65,7 @@ def q_daily_records(spark, folder):
 @query(_FLAT)
 def q_daily_roundtrip(spark, folder):
     """Records exported as files by machine and date, and read back."""
-    out = f"{shared_folder(spark)}/dailies-export"
+    out = fresh_folder(spark, "dailies-export")
     records = fleet.daily_records(table(spark, folder, "invocations"))
     dailies.export(records, out, counter="v1")
     back = dailies.load(spark, out)
@@ -189,11 +189,22 @@ def q_machine_bars(spark, folder):
     return j.select("machine", "total", F.round(F.col("total") / F.col("peak"), 6).alias("share_of_peak"), F.dense_rank().over(Window.orderBy("machine")).alias("slot"))
 
 
-@query(f"""WITH d AS (SELECT DISTINCT * FROM fleet_usage), p AS (SELECT CAST({stamp_sql('"timestamp"')} AS DATE) AS d, coalesce(nullif(lower(trim(provider)), ''), 'fleet') AS provider,
- greatest(coalesce(input_tokens, 0), 0) + greatest(coalesce(output_tokens, 0), 0) AS tokens FROM d)
+@query(f"""WITH p AS (SELECT CAST({stamp_sql('"timestamp"')} AS DATE) AS d, coalesce(nullif(lower(trim(provider)), ''), 'fleet') AS provider,
+ greatest(coalesce(input_tokens, 0), 0) + greatest(coalesce(output_tokens, 0), 0) AS tokens FROM fleet_usage)
 SELECT strftime(d, '%Y-%m-%d') AS day, provider, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM p WHERE d IS NOT NULL GROUP BY 1, 2""")
 def q_stream_daily(spark, folder):
-    """The ledger as a file stream: deduplicated, summed by day, upserted batch by batch."""
+    """The ledger as a file stream: every row counts; summed by day, upserted batch by batch."""
     from ..streaming import daily
 
     return daily.replay(spark, f"{folder}/fleet_usage.parquet")
+
+
+@query(r"""WITH t AS (SELECT nullif(regexp_replace(requestId, '^\s+|\s+$', '', 'g'), '') AS r FROM transcripts)
+SELECT r IS NOT NULL AS has_id, CASE WHEN count(r) = 0 THEN count(*) ELSE count(DISTINCT r) END AS rows, count(DISTINCT r) AS ids FROM t GROUP BY r IS NOT NULL""")
+def q_stream_messages(spark, folder):
+    """The transcripts as a file stream: the first delivery of each request is passed on, rows without an id all are."""
+    from ..functions.times import filled
+    from ..streaming import messages
+
+    m = messages.replay(spark, f"{folder}/transcripts.parquet", F.col("requestId")).withColumn("r", filled(F.col("requestId")))
+    return m.groupBy(F.col("r").isNotNull().alias("has_id")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("r").alias("ids"))

@@ -189,6 +189,11 @@ def q_shadow_bill(spark, folder):
 # ---- periods, records, streaks
 
 
+def _with_now(l: DataFrame) -> DataFrame:
+    """The ledger with its latest stamp beside every row: one row, broadcast."""
+    return l.join(F.broadcast(l.agg(F.max("timestamp").alias("now"))), F.lit(True))
+
+
 _COMPANY = "trim(split_part(split_part(source, ' (', 1), ':', 1))"
 
 
@@ -197,9 +202,7 @@ _COMPANY = "trim(split_part(split_part(source, ' (', 1), ':', 1))"
  d AS (SELECT *, round((current - previous) * 100.0 / nullif(previous, 0), 1) AS pct FROM c)
 SELECT company, current, previous, CASE WHEN previous = 0 THEN CASE WHEN current > 0 THEN 'new' ELSE '-' END ELSE CASE WHEN pct >= 0 THEN '+' ELSE '' END || format('{{:.1f}}', CAST(pct AS DOUBLE)) || '%' END AS change FROM d""")
 def q_compare_periods(spark, folder):
-    l = ledger(spark, folder)
-    now = l.agg(F.max("timestamp")).first()[0]
-    return reports.compare_periods(l, F.lit(now).cast("timestamp"), 7)
+    return reports.compare_periods(_with_now(ledger(spark, folder)), F.col("now"), 7)
 
 
 def _lane_sql(name, a, b, c, d, strict=False):
@@ -217,9 +220,7 @@ _LANES = [("week", "date_trunc('week', now)", "INTERVAL 7 DAY"), ("month", "date
     + "".join(" UNION ALL " + _lane_sql(n, f"({s})", "now", f"(({s}) - {b})", f"least(({s}), (({s}) - {b}) + (now - ({s})))") for n, s, b in _LANES)
 )
 def q_lanes(spark, folder):
-    l = ledger(spark, folder)
-    now = l.agg(F.max("timestamp")).first()[0]
-    return reports.lanes(l, F.lit(now).cast("timestamp"))
+    return reports.lanes(_with_now(ledger(spark, folder)), F.col("now"))
 
 
 _DAILY = f"{L}, daily AS (SELECT day, sum(total) AS total FROM l GROUP BY 1)"
@@ -237,8 +238,7 @@ SELECT max(n) AS longest, (SELECT strftime(f, '%Y-%m-%d') FROM r ORDER BY n DESC
  coalesce(max(n) FILTER (l >= today - 1 AND l <= today), 0) AS current FROM r, t""")
 def q_streaks(spark, folder):
     o = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum(F.floor("o_totalprice").cast("long")).alias("total"))
-    today = o.agg(F.max("day")).first()[0]
-    return reports.streaks(o, F.lit(today).cast("date"))
+    return reports.streaks(o, o.agg(F.max("day").alias("today")))
 
 
 @query(f"""WITH {L}, d AS (SELECT machine, day, sum(total) AS total FROM l GROUP BY 1, 2), s AS (SELECT unnest(generate_series(min(CAST(day AS DATE)), max(CAST(day AS DATE)), INTERVAL 1 DAY)) AS t FROM d)

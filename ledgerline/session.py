@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,10 +49,33 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The session's folder below the shared one; the JVM removes it when it ends."""
+    folder = f"{shared_folder(spark)}/written"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
+
+
+def fresh_folder(spark: SparkSession, name: str = "table") -> str:
+    """A folder in the shared one that no other call gets."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes what ``cut`` and others wrote so far; DataFrames that read it can no longer be run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/written")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it from there on."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes a DataFrame as Parquet to the shared folder and reads it from there on, columns pruned."""
+    folder = fresh_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def literal(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
@@ -65,6 +89,12 @@ def literal(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Repartitions an input of fewer partitions than cores; larger inputs pass unshuffled."""
-    least = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * least) if df.rdd.getNumPartitions() < least else df
+    """Repartitions an input whose files give fewer splits than there are cores; larger inputs pass unshuffled.
+
+    Told by the planned size and the list of files alone; no job runs for the answer.
+    """
+    spark = df.sparkSession
+    least = least or spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
+    return df.repartition(2 * least) if max(len(df.inputFiles()), size // split) < least else df

@@ -10,6 +10,8 @@ has no row; counts that are missing or no integers are 0; an unreadable stamp is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,20 +197,34 @@ def session_calls(messages: DataFrame, lower=None, upper=None, default: str = "u
     )
 
 
-def steps(spark: SparkSession, paths: list[str], live: DataFrame | None = None) -> DataFrame:
+#: The sentence in which an agent says that its model was changed (a fixed value).
+MODEL_CHANGE = r"<USER_SETTINGS_CHANGE>\s*The user changed setting `Model Selection` from .*? to (.*?)(?:\.\s|\.$|$)"
+
+
+def chosen_model(text: Column, known: Sequence[tuple[str, str]] = ()) -> Column:
+    """The model that a step's text says was chosen, else null: up to a full stop at the end or before white space, so ``3.5`` stays whole.
+
+    ``known`` are (part of the name in lower case, model): the first part found in the name gives the model; any other name is kept as it is.
+    """
+    name = F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), MODEL_CHANGE, 1)), F.lit(""))
+    out = name
+    for part, model in reversed(known):
+        out = F.when(F.contains(F.lower(name), F.lit(part)), F.lit(model)).otherwise(out)
+    return out
+
+
+def steps(spark: SparkSession, paths: list[str], live: DataFrame | None = None, known: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Steps of agent transcripts (``transcript.jsonl`` in a folder per conversation), the first of several folders winning.
 
     Columns: conversation, nth, at, source, type, chars (content, thinking and tool calls as JSON), chosen (a model
-    named in a settings change). ``live`` (conversation) are those already measured; they are left out.
+    named in a settings change, by ``known`` as in ``chosen_model``). ``live`` (conversation) are those already measured; they are left out.
     """
     out = None
     for rank, p in enumerate(paths):
         d = lines(spark, p, "transcript.jsonl").select(F.lit(rank).alias("rank"), F.url_decode(F.element_at(F.split("file", "/"), -2)).alias("conversation"), "nth", "v")
         out = d if out is None else out.unionByName(d)
     size = lambda p: F.coalesce(F.length(text_of("v", p)), F.length(F.to_json(F.try_variant_get("v", p, "variant"))), F.lit(0))
-    # the choice is read from the step's text
-    chosen = F.nullif(F.trim(F.regexp_extract(F.coalesce(text_of("v", "$.content"), F.lit("")), r"(?s)<USER_SETTINGS_CHANGE>.*?from .*? to ([^.\n<]+)", 1)), F.lit(""))
-    d = out.filter("v is not null").select("rank", "conversation", "nth", stamp_of("v").alias("at"), text_of("v", "$.source").alias("source"), text_of("v", "$.type").alias("type"), (size("$.content") + size("$.thinking") + size("$.tool_calls")).cast("long").alias("chars"), chosen.alias("chosen"))
+    d = out.filter("v is not null").select("rank", "conversation", "nth", stamp_of("v").alias("at"), text_of("v", "$.source").alias("source"), text_of("v", "$.type").alias("type"), (size("$.content") + size("$.thinking") + size("$.tool_calls")).cast("long").alias("chars"), chosen_model(text_of("v", "$.content"), known).alias("chosen"))
     if live is not None:
         d = d.join(live.select("conversation").distinct(), "conversation", "left_anti")
     first = d.groupBy("conversation", "nth").agg(F.min("rank").alias("rank"))
@@ -251,4 +267,4 @@ def append(rows: DataFrame, path: str) -> None:
     kept.select(*cols).write.mode("append").json(path)
 
 
-__all__ = ["append", "content_text", "documents", "last_usage", "ledger", "ledger_invocations", "lines", "native_total", "resolved_model", "rollouts", "session_calls", "sessions", "snapshots", "step_calls", "steps", "transcripts"]
+__all__ = ["append", "chosen_model", "content_text", "documents", "last_usage", "ledger", "ledger_invocations", "lines", "native_total", "resolved_model", "rollouts", "session_calls", "sessions", "snapshots", "step_calls", "steps", "transcripts"]

@@ -1,40 +1,35 @@
-"""The append-only ledger as a stream: deduplicated, summed by day and provider, upserted.
+"""The append-only ledger as a stream: summed by day and provider, upserted.
 
-Every row counts once, however late it comes; the state holds the key of every row for that. Given a
-delay, state is bounded by the watermark, and rows that come later than the delay are lost. Sums of a batch are merged into a table of versions in the shared folder, one
-per batch, so a batch that runs twice after a failure replaces its own version and nothing else.
+The ledger has no id and repeated rows count, so every row counts as often as it comes, however late;
+the stream keeps no state of rows. Sums of a batch go to a table of versions in the shared folder, one
+per batch, so a batch that runs again after a failure replaces its own version and nothing else.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, times
-from ..session import shared_folder
+from ..session import fresh_folder
 
 
 def prepared(stream: DataFrame) -> DataFrame:
-    """Rows with a readable stamp; the key of a row is all of it, as the ledger has no id."""
+    """Rows with a readable stamp: at, provider, tokens (null and negative counts are 0)."""
     at = times.instant(F.col("timestamp"))
     zero = F.lit(0).cast("long")
     n = lambda c: F.greatest(F.coalesce(F.col(c), zero), zero)
-    key = F.md5(F.to_json(F.struct(*[F.col(c) for c in sorted(stream.columns)])))
-    return stream.select(at.alias("at"), names.provider(F.col("provider")).alias("provider"), (n("input_tokens") + n("output_tokens")).alias("tokens"), key.alias("key")).filter("at is not null")
+    return stream.select(at.alias("at"), names.provider(F.col("provider")).alias("provider"), (n("input_tokens") + n("output_tokens")).alias("tokens")).filter("at is not null")
 
 
-def start(stream: DataFrame, out: str, checkpoint: str, delay: str | None = None, trigger: dict | None = None):
+def start(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
     """Runs the upsert; ``out`` gets one folder per batch with the sums of that batch."""
-    rows = prepared(stream)
-    deduplicated = rows.withWatermark("at", delay).dropDuplicatesWithinWatermark(["key"]) if delay else rows.dropDuplicates(["key"])
 
     def merge(batch: DataFrame, nth: int) -> None:
         sums = batch.groupBy(times.day_text(F.col("at")).alias("day"), "provider").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
         sums.write.mode("overwrite").parquet(f"{out}/batch={nth}")
 
-    return deduplicated.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return prepared(stream).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def totals(spark: SparkSession, out: str) -> DataFrame:
@@ -43,15 +38,17 @@ def totals(spark: SparkSession, out: str) -> DataFrame:
     return s.groupBy("day", "provider").agg(F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"))
 
 
-def replay(spark: SparkSession, path: str) -> DataFrame:
-    """A finished ledger run through the stream, to its end."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+def file_stream(spark: SparkSession, path: str, files_a_batch: int = 8) -> DataFrame:
+    """A finished Parquet table, one file or a folder of them, as a stream of its files."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     one_file = there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isFile()
     above, _, name = path.rpartition("/")
-    stream = reader.option("pathGlobFilter", name).parquet(above) if one_file else reader.parquet(path)
-    q = start(stream, f"{folder}/out", f"{folder}/checkpoint")
-    q.awaitTermination()
+    return reader.option("pathGlobFilter", name).parquet(above) if one_file else reader.parquet(path)
+
+
+def replay(spark: SparkSession, path: str) -> DataFrame:
+    """A finished ledger run through the stream, to its end."""
+    folder = fresh_folder(spark, "stream")
+    start(file_stream(spark, path), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return totals(spark, f"{folder}/out")

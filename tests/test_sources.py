@@ -74,7 +74,7 @@ def test_the_last_usage_printed(spark):
 
 def test_steps_carry_the_model_and_what_was_sent(spark, tmp_path):
     step = lambda **k: {"created_at": "2026-08-01T00:00:00Z"} | k
-    rows = [step(source="USER", type="X", content="<USER_SETTINGS_CHANGE> from A to Big Model.</USER_SETTINGS_CHANGE>", created_at="2020-01-01T00:00:00Z"), step(source="USER", type="X", content="q" * 400), step(source="MODEL", type="PLANNER_RESPONSE", content="p" * 40), step(source="USER", type="X", content="q" * 80), step(source="MODEL", type="PLANNER_RESPONSE", content="p" * 8)]
+    rows = [step(source="USER", type="X", content="<USER_SETTINGS_CHANGE>\nThe user changed setting `Model Selection` from A to Big 3.5 Model (High). No need to say so.\n</USER_SETTINGS_CHANGE>", created_at="2020-01-01T00:00:00Z"), step(source="USER", type="X", content="q" * 400), step(source="MODEL", type="PLANNER_RESPONSE", content="p" * 40), step(source="USER", type="X", content="q" * 80), step(source="MODEL", type="PLANNER_RESPONSE", content="p" * 8)]
     put(tmp_path / "one/c1/transcript.jsonl", *rows)
     put(tmp_path / "two/c1/transcript.jsonl", *rows)
     put(tmp_path / "two/live/transcript.jsonl", *rows)
@@ -82,7 +82,14 @@ def test_steps_carry_the_model_and_what_was_sent(spark, tmp_path):
     s = logs.steps(spark, [str(tmp_path / "one"), str(tmp_path / "two")], live)
     assert s.count() == 5
     got = [(r.model, r.input_tokens, r.cache_read, r.output_tokens) for r in logs.step_calls(s, "2026-01-01").orderBy("input_tokens").collect()]
-    assert got == [("Big Model (estimated)", 20, 6110, 2), ("Big Model (estimated)", 6100, 0, 10)]
+    assert got == [("Big 3.5 Model (High) (estimated)", 20, 6110, 2), ("Big 3.5 Model (High) (estimated)", 6100, 0, 10)]
+
+
+def test_the_model_chosen_is_read_whole(spark):
+    change = lambda rest, what="Model Selection": f"<USER_SETTINGS_CHANGE>\nThe user changed setting `{what}` from None to {rest}"
+    texts = {change("Tern 3.5 Swift (High). ok"): "Tern 3.5 Swift (High)", change("Tern 3.5."): "Tern 3.5", change("gpt-x 5.6 sol"): "sol-5.6", change("Dark. ok", "Theme"): None, "from A to B.": None, "": None, None: None}
+    df = spark.createDataFrame([(k, k) for k in texts], "t string, k string").select("k", logs.chosen_model(F.col("t"), [("5.6 sol", "sol-5.6"), ("5.6", "other")]).alias("m"))
+    assert {r.k: r.m for r in df.collect()} == texts
 
 
 def test_documents_of_each_kind(spark, tmp_path):

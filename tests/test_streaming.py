@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import times
 from ledgerline.operators import late
-from ledgerline.streaming import daily
+from ledgerline.streaming import daily, messages
 from ledgerline.streaming.late import LateTotals
 
 DAY0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -18,21 +18,21 @@ def test_the_ledger_stream_equals_the_batch(spark, tmp_path):
     rows = [row(n % 50, ["A", " a ", None, "b"][n % 4], n) for n in range(200)]
     (tmp_path / "in").mkdir()
     for k in range(4):
-        # every file repeats some rows of the one before
+        # every file repeats some rows of the one before, and the ledger counts them again
         (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(r) for r in rows[max(0, 50 * k - 9) : 50 * k + 50] + [row(0, "x", None) | {"timestamp": "unknown"}]))
     schema = "timestamp string, provider string, input_tokens long, output_tokens long"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     daily.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {(r.day, r.provider): (r.calls, r.tokens) for r in daily.totals(spark, str(tmp_path / "out")).collect()}
     want = {}
-    for r in rows:
+    for r in rows + [x for k in (50, 100, 150) for x in rows[k - 9 : k]]:
         k = (r["timestamp"][:10], (r["provider"] or "fleet").strip().lower())
         c, t = want.get(k, (0, 0))
         want[k] = (c + 1, t + r["input_tokens"])
     assert got == want
 
 
-def test_rows_of_long_ago_count_once(spark, tmp_path):
+def test_rows_of_long_ago_count_as_often_as_they_come(spark, tmp_path):
     import os
 
     (tmp_path / "in").mkdir()
@@ -41,7 +41,23 @@ def test_rows_of_long_ago_count_once(spark, tmp_path):
         os.utime(tmp_path / f"in/{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
     stream = spark.readStream.schema("timestamp string, provider string, input_tokens long, output_tokens long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     daily.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r.calls, r.tokens) for r in daily.totals(spark, str(tmp_path / "out")).collect()) == [(1, 6)] * 3
+    assert sorted((r.calls, r.tokens) for r in daily.totals(spark, str(tmp_path / "out")).collect()) == [(1, 6), (2, 12), (2, 12)]
+
+
+def test_the_first_delivery_of_each_message_is_passed_on(spark, tmp_path):
+    import os
+
+    (tmp_path / "in").mkdir()
+    stamps = ["2026-01-01T00:00:00Z", "2030-01-01T00:00:00Z", "1999-01-01T00:00:00Z"]  # none is too late to be passed on
+    for k in range(3):
+        rows = [{"id": f" m{n}", "t": stamps[k], "n": k} for n in range(3 * k, 3 * k + 5)] + [{"id": x, "t": None, "n": k} for x in (None, " ", " ")]
+        (tmp_path / f"in/{k}.json").write_text("\n".join(map(json.dumps, rows + rows[:2])))
+        os.utime(tmp_path / f"in/{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("id string, t string, n long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = messages.first_deliveries(stream, F.col("id"), "1 hour").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.id or "").strip() for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(x for x in got if x) == sorted(f"m{n}" for n in range(11)) and got.count("") == 9
 
 
 def records(spark, rows):

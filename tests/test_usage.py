@@ -53,7 +53,7 @@ def test_nulls_in_every_column(spark):
 def test_records_streaks_and_spine(spark):
     d = spark.createDataFrame([("2026-01-01", 5), ("2026-01-02", 5), ("2026-01-03", 0), ("2026-01-04", 1), ("2026-01-05", 1)], "day string, total long")
     assert {r.period: (r.key, r.value) for r in reports.records(d).collect()} == {"day": ("2026-01-01", 5), "week": ("2026-W01", 11), "month": ("2026-01", 12)}
-    day = lambda s: F.lit(s).cast("date")
+    day = lambda s: spark.createDataFrame([(s,)], "today string")
     assert tuple(reports.streaks(d, day("2026-01-06")).first()) == (2, "2026-01-01", "2026-01-02", 2)
     assert reports.streaks(d, day("2026-01-07")).first().current == 0
     assert tuple(reports.streaks(d.limit(0), day("2026-01-07")).first()) == (0, None, None, 0)
