@@ -1,27 +1,34 @@
 """Schemas that drift between files of one kind: tagged-union inference, changes, one consistent table.
 
-Every body is reduced, in one pass, to its layout: the sorted (path, parent, type) of its fields, and
-to the classes of content seen under each path. Layouts are few against files, so all comparing runs
-over distinct pairs of layouts. ``inferred`` fuses the layouts into one schema that retains each type
-seen per path as an alternative of a tagged union, with the first file that brought it. ``changes``
-compares each file with the one before it from the same source. ``consistent`` reads everything into
-one table: conflicts go to typed branches, and each field has one canonical conversion.
+Every body is reduced, in one pass, to its layout. All layouts are fused into one union: each path keeps
+every type seen under it as an alternative of its own, with a tag. A layout is then the set of tags it
+takes, and files carry a digest of it. What differs between a file and the one before it from the same
+source are the alternatives of the union that appear and vanish: a field that had none is added, one that has
+none any more is removed, one that goes to another branch is retyped. ``changes`` reports these, ``inferred`` the
+union itself, and ``consistent`` reads everything into one table with typed branches and canonical conversions.
+
+Layouts are few against files, so all comparing runs over distinct pairs of layouts; only digests, times
+and ids are kept per file.
 
 Paths are dotted. An object of which all values are objects is a map: its keys are data, written ``*``.
 
 Defined cases. A body that is null, empty, unreadable or no JSON object has no layout and is passed
-over. NaN and Infinity are not JSON. A null keeps the type seen last (of the same source and path);
+over, and so is one nested more deeply than the reader can follow. NaN and Infinity are not JSON; a number
+too large for a double (``1e999``) is one. A null keeps the type seen last (of the same source and path);
 before any type was seen it agrees with all. Arrays are not looked into. The entries of a map that
 differ in a field's type give the union of the types, written with ``|``. Nothing is compared below a
 path that changed, nor below an object that is null or empty on either side. Files received at the
-same instant are ordered by id. Equal files change nothing. An empty table gives no rows.
+same instant are ordered by id; files without a time come first; a null source is a source of its own.
+Equal files change nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
+from hashlib import blake2b
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,20 +43,29 @@ from .sequences import carry_last
 TOGETHER = 0.02
 #: The least overlap of two fields' distributions over classes of content that may be one field.
 ALIKE = 0.25
-
-_FIELD = "struct<path:string,parent:string,type:string>"
-_LAYOUT = f"id long, source string, received timestamp, layout array<{_FIELD}>, content array<struct<path:string,class:string,n:long>>"
-
-_CLASSES = [
-    ("stamp", re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*")),
-    ("date", re.compile(r"\d{4}[-/]?\d\d[-/]?\d\d")),
-    ("offset", re.compile(r"[+-]\d\d:?\d\d")),
-    ("version", re.compile(r"v?\d+(\.\d+)+\w*")),
-    ("digits", re.compile(r"[+-]?\d+")),
-    ("hex", re.compile(r"(?=[0-9a-f]*\d)[0-9a-f]{8,}(\+\w+)?")),
-    ("name-number", re.compile(r"[A-Za-z][A-Za-z]*([-_ .][A-Za-z]+)*[-_ .]?\d+")),
-    ("name", re.compile(r"[A-Za-z]+([-_ .][A-Za-z]+)*")),
-]
+#: Entries that a worker remembers having handed on, or counts before it hands them on.
+HELD = 200_000
+
+#: Kinds of rows: a file with its layout's digest; a layout's tags; an alternative of the union; counts of content.
+FILE, LAYOUT, ALTERNATIVE, CONTENT = range(4)
+_REDUCED = "kind int, id long, source string, received timestamp, raw binary, tags array<long>, heads array<long>, tag long, head long, path string, parent string, type string, class string, n long"
+
+#: Classes of the content of strings: the first that fits.
+_CLASSES = re.compile(
+    "|".join(
+        f"(?P<{name}>{pattern})"
+        for name, pattern in [
+            ("stamp", r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*"),
+            ("date", r"\d{4}[-/]?\d\d[-/]?\d\d"),
+            ("offset", r"[+-]\d\d:?\d\d"),
+            ("version", r"v?\d+(?:\.\d+)+\w*"),
+            ("digits", r"[+-]?\d+"),
+            ("hex", r"(?=[0-9a-f]*\d)[0-9a-f]{8,}(?:\+\w+)?"),
+            ("name_number", r"[A-Za-z]+(?:[-_ .][A-Za-z]+)*[-_ .]?\d+"),
+            ("name", r"[A-Za-z]+(?:[-_ .][A-Za-z]+)*"),
+        ]
+    )
+)
 
 
 def _kind(v) -> str:
@@ -64,17 +80,23 @@ def _kind(v) -> str:
     return {str: "string", dict: "object", list: "array"}[type(v)]
 
 
+def _is_map(v: dict) -> bool:
+    return bool(v) and all(isinstance(x, dict) for x in v.values())
+
+
 def _class(v) -> str:
-    """The class of a value's content: coarse, from a small fixed set, whatever its type."""
+    """The class of a value's content: coarse, from a small set, whatever its type."""
+    if isinstance(v, str):
+        s = v.strip()
+        found = _CLASSES.fullmatch(s) if s else None
+        return found.lastgroup if found else "text" if s else "blank"
     if isinstance(v, dict):
-        return "map" if v and all(isinstance(x, dict) for x in v.values()) else "record:" + ",".join(sorted({_kind(x) for x in v.values()}))
+        return "map" if _is_map(v) else "record:" + ",".join(sorted({_kind(x) for x in v.values()}))
     if isinstance(v, list):
         return "array:" + ",".join(sorted({_class(x) for x in v}))
     if isinstance(v, (int, float)) and not isinstance(v, bool):
-        return f"digits{len(str(abs(int(v))))}"
-    if isinstance(v, str):
-        s = v.strip()
-        return "blank" if not s else next((n for n, p in _CLASSES if p.fullmatch(s)), "text")
+        # whole digits; beyond 64 bits, infinite ones included, they are all alike
+        return f"digits{len(str(abs(int(v))))}" if abs(v) < 2**63 else "digits"
     return _kind(v)
 
 
@@ -84,6 +106,7 @@ def _no_constant(s: str):
 
 def read_object(body: str | None) -> dict | None:
     """The JSON object in a body, or None."""
+    sys.set_int_max_str_digits(0)  # a number of any length is one
     try:
         o = json.loads(body, parse_constant=_no_constant) if body else None
     except (ValueError, RecursionError):
@@ -92,26 +115,28 @@ def read_object(body: str | None) -> dict | None:
 
 
 def _clean(s: str) -> str:
-    return s.encode("utf-8", "replace").decode()
+    """Without lone surrogates, which no column can hold."""
+    return s if s.isascii() else s.encode("utf-8", "replace").decode()
 
 
 def _walk(o: dict, at: str, fields: dict, content: dict) -> None:
     for k, v in o.items():
         path = f"{at}.{_clean(k)}" if at else _clean(k)
-        kind, here = _kind(v), content.setdefault(path, {})
+        kind = _kind(v)
         fields.setdefault((path, at), set()).add(kind)
         if v is not None:
-            c = _class(v)
-            here[c] = here.get(c, 0) + 1
+            c = path, _class(v)
+            content[c] = content.get(c, 0) + 1
         if kind == "object":
-            if v and all(isinstance(x, dict) for x in v.values()):
+            if _is_map(v):
                 for x in v.values():
                     _walk(x, f"{path}.*", fields, content)
             else:
                 _walk(v, path, fields, content)
 
 
-def layout_of(body: str | None) -> tuple[list[dict], list[dict]] | None:
+def layout_of(body: str | None) -> tuple[list[tuple[str, str, str]], dict[tuple[str, str], int]] | None:
+    """The fields (path, parent, type) of a body, and how often each (path, class of content) stands in it."""
     o = read_object(body)
     if o is None:
         return None
@@ -121,133 +146,178 @@ def layout_of(body: str | None) -> tuple[list[dict], list[dict]] | None:
         _walk(o, "", fields, content)
     except RecursionError:
         return None
-    one = lambda kinds: "|".join(sorted(kinds - {"null"})) or "null"
-    layout = [{"path": p, "parent": at, "type": one(kinds)} for (p, at), kinds in sorted(fields.items())]
-    return layout, [{"path": p, "class": c, "n": n} for p, classes in content.items() for c, n in classes.items()]
+    return [(p, at, "|".join(sorted(kinds - {"null"})) or "null") for (p, at), kinds in fields.items()], content
 
 
-def layouts(files: DataFrame, id: str, source: str, received: str, body: str) -> DataFrame:
-    """One row per readable file: id, source, received, layout, content."""
+def _tag(*of: str) -> int:
+    return int.from_bytes(blake2b("\0".join(of).encode(), digest_size=8).digest(), "little", signed=True)
 
-    schema = to_arrow_schema(StructType.fromDDL(_LAYOUT))
+
+def layouts(files: DataFrame, id: str, source: str, received: str, body: str) -> DataFrame:
+    """One pass over the bodies: a row per readable file, and what a worker saw of layouts, alternatives and content."""
+    schema = to_arrow_schema(StructType.fromDDL(_REDUCED))
 
     def reduce(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def rows(n: int, kind: int, /, **columns):
+            columns["kind"] = [kind] * n
+            as_array = lambda f: pa.nulls(n, f.type) if f.name not in columns else c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type)
+            return pa.RecordBatch.from_arrays([as_array(f) for f in schema], schema=schema)
+
+        alternatives: dict = {}  # (path, parent, type) -> (tag, head)
+        handed_on: set = set()
+        content: dict = {}
+
+        def counts():
+            yield rows(len(content), CONTENT, path=[k[0] for k in content], **{"class": [k[1] for k in content]}, n=list(content.values()))
+            content.clear()
+
         for batch in batches:
-            out = []
-            for i, s, r, b in zip(*(batch.column(n).to_pylist() for n in ("id", "source", "received", "body"))):
-                if (found := layout_of(b)) is not None:
-                    out.append({"id": i, "source": s, "received": r, "layout": found[0], "content": found[1]})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            keep, raws, fresh, told = [], [], {}, []
+            for b in batch.column("body"):
+                found = layout_of(b.as_py())
+                keep.append(found is not None)
+                if found is None:
+                    continue
+                tags, heads = [], set()
+                for f in found[0]:
+                    t = alternatives.get(f)
+                    if t is None:
+                        t = alternatives[f] = _tag("alternative", f[0], f[2]), _tag("parent", f[1])
+                        told.append((*t, *f))
+                    tags.append(t[0])
+                    heads.add(t[1])
+                tags.sort()
+                raw = blake2b(b"".join(t.to_bytes(8, "little", signed=True) for t in tags), digest_size=16).digest()
+                raws.append(raw)
+                if raw not in handed_on:
+                    handed_on.add(raw)
+                    fresh[raw] = tags, sorted(heads)
+                for c, n in found[1].items():
+                    content[c] = content.get(c, 0) + n
+            mask = pa.array(keep, pa.bool_())
+            yield rows(len(raws), FILE, raw=raws, **{c: batch.column(c).filter(mask) for c in ("id", "source", "received")})
+            yield rows(len(fresh), LAYOUT, raw=list(fresh), tags=[x[0] for x in fresh.values()], heads=[x[1] for x in fresh.values()])
+            if told:
+                t = list(zip(*told))
+                yield rows(len(told), ALTERNATIVE, tag=t[0], head=t[1], path=t[2], parent=t[3], type=t[4])
+            if len(content) >= HELD:
+                yield from counts()
+            if len(handed_on) >= HELD:
+                handed_on.clear()
+            if len(alternatives) >= HELD:
+                alternatives.clear()
+        yield from counts()
+
+    narrow = files.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.col(received).cast("timestamp").alias("received"), F.col(body).cast("string").alias("body"))
+    return narrow.mapInArrow(reduce, _REDUCED)
 
-    narrow = files.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), F.col(received).alias("received"), F.col(body).alias("body"))
-    return narrow.mapInArrow(reduce, _LAYOUT)
 
+def reduced(files: DataFrame, id: str, source: str, received: str, body: str) -> DataFrame:
+    """The layouts, written to the shared folder: every later step reads these narrow rows, not the bodies."""
+    return cut(layouts(files, id, source, received, body))
 
-def _chunked(files: DataFrame) -> DataFrame:
-    return files.withColumn("chunk", F.floor(F.unix_seconds("received") / 86_400))
 
+def _files(reduced_files: DataFrame) -> DataFrame:
+    """(id, source, src, received, chunk, raw): src is never null."""
+    f = reduced_files.filter(F.col("kind") == FILE)
+    first = F.timestamp_seconds(F.lit(-62_135_596_800))
+    f = f.select("id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"), F.coalesce("received", first).alias("received"), "raw")
+    return f.withColumn("chunk", F.floor(F.unix_seconds("received") / 86_400))
 
-def _with_layouts(reduced_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files as (id, source, received, chunk, layout_id), and (layout_id, layout), nulls with the type seen last.
 
-    Layouts are few against files: files carry a digest of theirs, and only the open fields of a file
-    (those that are null somewhere) are ever looked back on.
-    """
-    digest = F.md5(F.to_json("layout"))
-    read = _chunked(reduced_files.select("id", "source", "received", digest.alias("raw")))
-    raws = cut(reduced_files.groupBy(digest.alias("raw")).agg(F.first("layout").alias("layout")))
-    fields = raws.select("raw", F.inline("layout"))
-    ever_null = fields.filter("type = 'null'").select("path").distinct()
-    open_fields = fields.join(ever_null, "path", "left_semi").select("raw", "path", "type")
-    open_ = read.join(open_fields, "raw").withColumn("known", F.when(F.col("type") != "null", F.col("type")))
-    seen = carry_last(open_, ["source", "path"], "chunk", ["received", "id"], "known", "before")
-    filled = seen.filter("type = 'null' and before is not null").groupBy("id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "before"))))).alias("was"))
-    files = read.join(filled, "id", "left").withColumn("was", F.coalesce("was", F.lit("{}")))
-    effective = F.transform(
-        "layout",
-        lambda f: F.struct(f["path"].alias("path"), f["parent"].alias("parent"), F.when(f["type"] == "null", F.coalesce(F.element_at("types", f["path"]), F.lit("null"))).otherwise(f["type"]).alias("type")),
-    )
-    states = files.select("raw", "was").distinct().join(raws, "raw").withColumn("types", F.from_json("was", "map<string,string>")).withColumn("layout", effective)
-    states = cut(states.select("raw", "was", "layout", digest.alias("layout_id")))
-    narrow = cut(files.join(states.select("raw", "was", "layout_id"), ["raw", "was"]).select("id", "source", "received", "chunk", "layout_id"))
-    return narrow, states.groupBy("layout_id").agg(F.first("layout").alias("layout"))
+def _layouts(reduced_files: DataFrame) -> DataFrame:
+    """(raw, tags, heads): the alternatives each layout takes, and the parents that have fields in it."""
+    return reduced_files.filter(F.col("kind") == LAYOUT).groupBy("raw").agg(F.first("tags").alias("tags"), F.first("heads").alias("heads"))
+
 
+def fused(reduced_files: DataFrame) -> DataFrame:
+    """The union of all layouts: (tag, head, path, parent, type), one row per alternative."""
+    one = F.struct("head", "path", "parent", "type")
+    u = reduced_files.filter(F.col("kind") == ALTERNATIVE).groupBy("tag").agg(F.min(one).alias("one"), F.max(one).alias("other"))
+    same = F.when(F.col("one") == F.col("other"), F.col("one")).otherwise(F.raise_error(F.lit("two alternatives have one tag")).cast("struct<head:long,path:string,parent:string,type:string>"))
+    return u.select("tag", same.alias("a")).select("tag", "a.*")
 
-def _steps(pair: DataFrame) -> DataFrame:
-    """What differs between two layouts: (pair, change, path, parent, type, x...) before renames are seen."""
-    a, b = F.col("a"), F.col("b")
-    types = lambda l: F.map_from_entries(F.transform(l, lambda f: F.struct(f["path"], f["type"])))
-    mapped = pair.withColumn("ta", types(a)).withColumn("tb", types(b)).withColumn("pa", F.array_distinct(F.transform(a, lambda f: f["parent"]))).withColumn("pb", F.array_distinct(F.transform(b, lambda f: f["parent"])))
-    # a parent whose type is the same on both sides and that has children on both sides
-    comparable = lambda p: F.array_contains("pa", p) & F.array_contains("pb", p)
-    gone = F.filter(a, lambda f: ~F.map_contains_key("tb", f["path"]) & comparable(f["parent"]))
-    new = F.filter(b, lambda f: ~F.map_contains_key("ta", f["path"]) & comparable(f["parent"]))
-    other = lambda f: F.element_at("ta", f["path"])
-    retyped = F.filter(b, lambda f: F.map_contains_key("ta", f["path"]) & (f["type"] != "null") & (other(f) != "null") & (other(f) != f["type"]))
-    return mapped.select("pair", gone.alias("gone"), new.alias("new"), F.transform(retyped, lambda f: f["path"]).alias("retyped"))
+
+_FIELD = "struct<path:string,parent:string,type:string>"
+_NAMES = "array<struct<path:string,new_path:string>>"
 
 
-def _under(path: str, tops: str):
-    """SQL: whether path lies below one of the paths in the array tops."""
-    return f"exists({tops}, t -> startswith({path}, concat(t, '.')))"
+def _appearing(steps: DataFrame, reduced_files: DataFrame, union: DataFrame) -> DataFrame:
+    """What differs between two layouts, in alternatives of the union: (previous, raw, gone, new, retyped, woke, left).
+
+    ``gone`` and ``new`` are fields, ``retyped`` paths that went from one typed branch to another, ``woke`` fields that were
+    null before, ``left`` typed fields that are null or gone now.
+    """
+    known = _layouts(reduced_files)
+    side = lambda n, k: known.select(F.col("raw").alias(n), F.col("tags").alias(f"tags_{k}"), F.col("heads").alias(f"heads_{k}"))
+    pairs = steps.select("previous", "raw").distinct().join(side("previous", "a"), "previous").join(side("raw", "b"), "raw")
+    of = lambda x, y, appears: F.transform(F.array_except(f"tags_{x}", f"tags_{y}"), lambda t: F.struct(t.alias("tag"), F.lit(appears).alias("appears")))
+    moved = pairs.select("previous", "raw", F.array_intersect("heads_a", "heads_b").alias("heads"), F.inline(F.concat(of("a", "b", False), of("b", "a", True))))
+    told = moved.join(union, "tag").select("previous", "raw", "appears", "path", "parent", "type", F.array_contains("heads", F.col("head")).alias("comparable"))
+    each = F.collect_list(F.when(F.col("comparable") & F.col("appears"), F.struct("path", "parent", "type")))
+    lost = F.collect_list(F.when(~F.col("appears"), F.struct("path", "parent", "type", "comparable")))
+    by = told.groupBy("previous", "raw").agg(each.alias("b"), lost.alias("a"))
+    by = by.withColumn("types_a", F.map_from_entries(F.transform("a", lambda f: F.struct(f["path"], f["type"])))).withColumn("types_b", F.map_from_entries(F.transform("b", lambda f: F.struct(f["path"], f["type"]))))
+    was = lambda f: F.element_at("types_a", f["path"])
+    now = lambda f: F.coalesce(F.element_at("types_b", f["path"]), F.lit("null"))
+    paths = lambda x: F.transform(x, lambda f: f["path"])
+    return by.select(
+        "previous", "raw",
+        F.transform(F.filter("a", lambda f: f["comparable"] & ~F.map_contains_key("types_b", f["path"])), lambda f: f.dropFields("comparable")).alias("gone"),
+        F.filter("b", lambda f: ~F.map_contains_key("types_a", f["path"])).alias("new"),
+        paths(F.filter("b", lambda f: (f["type"] != "null") & (was(f) != "null") & (was(f) != f["type"]))).alias("retyped"),
+        F.filter("b", lambda f: (f["type"] != "null") & (was(f) == "null")).alias("woke"),
+        F.filter("a", lambda f: (f["type"] != "null") & (now(f) == "null")).alias("left"),
+    )
 
 
-def _renames(steps: DataFrame, known: DataFrame, content: DataFrame) -> DataFrame:
-    """(pair, path, new_path): of the fields gone and new under one parent, those whose content goes on.
+def _renames(moves: DataFrame, reduced_files: DataFrame, union: DataFrame) -> DataFrame:
+    """(previous, raw, renamed): of the fields gone and new under one parent, those whose content goes on.
 
     A pair is a candidate if the types agree. It is one field only if the two names practically never
     stand side by side in one file of the corpus and their contents are alike: the overlap of the two
     distributions over classes of content. Each name takes its most alike partner, and only mutual
     choices count.
     """
-    g = steps.select("pair", "new", F.inline("gone")).select("pair", "new", F.col("path").alias("x"), "parent", F.col("type").alias("tx"))
-    c = g.select("pair", "x", "parent", "tx", F.inline("new").alias("y", "py", "ty")).filter("parent = py and (tx = ty or tx = 'null' or ty = 'null')")
+    g = moves.filter("size(gone) > 0 and size(new) > 0").select("previous", "raw", "new", F.inline("gone")).select("previous", "raw", "new", F.col("path").alias("x"), "parent", F.col("type").alias("tx"))
+    c = g.select("previous", "raw", "x", "parent", "tx", F.inline("new").alias("y", "py", "ty")).filter("parent = py and (tx = ty or tx = 'null' or ty = 'null')").select("previous", "raw", "x", "y")
     names = cut(c.select("x", "y").distinct())
-    fields = known.select("files", "layout_id", F.explode(F.transform("layout", lambda f: f["path"])).alias("path"))
-    wanted = fields.join(names.select(F.col("x").alias("path")).unionByName(names.select(F.col("y").alias("path"))).distinct(), "path", "left_semi")
-    count = wanted.groupBy("path").agg(F.sum("files").alias("n"))
-    side = names.join(wanted.select(F.col("path").alias("x"), "layout_id", "files"), "x").join(wanted.select(F.col("path").alias("y"), "layout_id"), ["y", "layout_id"])
-    both = side.groupBy("x", "y").agg(F.sum("files").alias("both"))
-    share = content.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("path"))).select("path", "class", "share")
-    alike = (
-        names.join(share.select(F.col("path").alias("x"), "class", F.col("share").alias("sx")), "x")
-        .join(share.select(F.col("path").alias("y"), "class", F.col("share").alias("sy")), ["y", "class"])
-        .groupBy("x", "y").agg(F.sum(F.least("sx", "sy")).alias("alike"))
-    )
-    judged = (
-        names.join(count.select(F.col("path").alias("x"), F.col("n").alias("nx")), "x").join(count.select(F.col("path").alias("y"), F.col("n").alias("ny")), "y")
-        .join(both, ["x", "y"], "left").join(alike, ["x", "y"], "left")
-        .filter((F.coalesce("both", F.lit(0)) <= F.lit(TOGETHER) * F.least("nx", "ny")) & (F.coalesce("alike", F.lit(0.0)) >= ALIKE))
-    )
+    wanted = names.select(F.explode(F.array("x", "y")).alias("path")).distinct()
+    # in how many files each name stands, and both: by layout and the files that have it
+    many = _files(reduced_files).groupBy("raw").agg(F.count(F.lit(1)).alias("files"))
+    takes = _layouts(reduced_files).select("raw", F.explode("tags").alias("tag")).join(union.join(wanted, "path", "left_semi").select("tag", "path"), "tag")
+    stands = cut(takes.join(many, "raw").select("raw", "path", "files"))
+    count = stands.groupBy("path").agg(F.sum("files").alias("files"))
+    both = names.join(stands.withColumnRenamed("path", "x"), "x").join(stands.select(F.col("path").alias("y"), "raw"), ["y", "raw"]).groupBy("x", "y").agg(F.sum("files").alias("both"))
+    counts = reduced_files.filter(F.col("kind") == CONTENT).join(wanted, "path", "left_semi").groupBy("path", "class").agg(F.sum("n").alias("n"))
+    share = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("path"))).select("path", "class", "share")
+    s = lambda k: share.select(F.col("path").alias(k), "class", F.col("share").alias(f"s{k}"))
+    alike = names.join(s("x"), "x").join(s("y"), ["y", "class"]).groupBy("x", "y").agg(F.sum(F.least("sx", "sy")).alias("alike"))
+    n = lambda k: count.select(F.col("path").alias(k), F.col("files").alias(f"n{k}"))
+    judged = alike.filter(F.col("alike") >= ALIKE).join(n("x"), "x").join(n("y"), "y").join(both, ["x", "y"], "left").filter(F.coalesce("both", F.lit(0)) <= F.lit(TOGETHER) * F.least("nx", "ny"))
     good = c.join(judged.select("x", "y", "alike"), ["x", "y"])
-    best = lambda *k: Window.partitionBy("pair", *k).orderBy(F.desc("alike"), "x", "y")
-    ranked = good.withColumn("i", F.row_number().over(best("x"))).withColumn("j", F.row_number().over(best("y")))
-    return ranked.filter("i = 1 and j = 1").select("pair", F.col("x").alias("path"), F.col("y").alias("new_path"))
+    best = lambda *k: Window.partitionBy("previous", "raw", *k).orderBy(F.desc("alike"), "x", "y")
+    ranked = good.withColumn("i", F.row_number().over(best("x"))).withColumn("j", F.row_number().over(best("y"))).filter("i = 1 and j = 1")
+    return ranked.groupBy("previous", "raw").agg(F.collect_list(F.struct(F.col("x").alias("path"), F.col("y").alias("new_path"))).alias("renamed"))
 
 
-def reduced(files: DataFrame, id: str, source: str, received: str, body: str) -> DataFrame:
-    """The layouts, written to the shared folder: every later step reads these narrow rows, not the bodies."""
-    return cut(layouts(files, id, source, received, body))
+def _woken(steps: DataFrame, moves: DataFrame) -> DataFrame:
+    """(id, source, field, change, new_field): fields retyped across nulls, by the typed branch that the path left last."""
+    some = moves.filter("size(woke) > 0 or size(left) > 0").select("previous", "raw", F.concat(F.transform("woke", lambda f: F.struct(f["path"].alias("path"), f["type"].alias("type"), F.lit(True).alias("woke"))), F.transform("left", lambda f: F.struct(f["path"].alias("path"), f["type"].alias("type"), F.lit(False).alias("woke")))).alias("e"))
+    e = steps.join(some, ["previous", "raw"]).select("id", "source", "src", "received", "raw", "chunk", F.inline("e")).withColumn("typed", F.when(~F.col("woke"), F.col("type")))
+    seen = carry_last(e, ["src", "path"], "chunk", ["received", "id", "raw"], "typed", "before")
+    return seen.filter("woke and before <> type").select("id", "source", F.col("path").alias("field"), F.lit("retyped").alias("change"), F.lit("").alias("new_field"))
 
 
 def changes(reduced_files: DataFrame) -> DataFrame:
     """(id, source, field, change, new_field) of every change against the file before from the same source."""
-    content = reduced_files.select(F.inline("content")).groupBy("path", "class").agg(F.sum("n").alias("n"))
-    narrow, layouts_ = _with_layouts(reduced_files)
-    known = cut(layouts_.join(narrow.groupBy("layout_id").agg(F.count(F.lit(1)).alias("files")), "layout_id"))
-    follows = carry_last(narrow, ["source"], "chunk", ["received", "id"], "layout_id", "previous").filter("previous is not null and previous <> layout_id")
-    follows = follows.select("id", "source", F.concat_ws(">", "previous", "layout_id").alias("pair"), "previous", "layout_id")
-    pairs = (
-        follows.select("pair", "previous", "layout_id").distinct()
-        .join(known.select(F.col("layout_id").alias("previous"), F.col("layout").alias("a")), "previous")
-        .join(known.select("layout_id", F.col("layout").alias("b")), "layout_id")
-        .select("pair", "a", "b")
-    )
-    steps = cut(_steps(pairs))
-    renamed = _renames(steps, known, content).groupBy("pair").agg(F.collect_list(F.struct("path", "new_path")).alias("renamed"))
-    s = steps.join(renamed, "pair", "left").withColumn("renamed", F.coalesce("renamed", F.array().cast("array<struct<path:string,new_path:string>>")))
+    union = cut(fused(reduced_files))
+    follows = carry_last(_files(reduced_files), ["src"], "chunk", ["received", "id", "raw"], "raw", "previous").filter("previous is not null and previous <> raw")
+    steps = cut(follows.select("id", "source", "src", "received", "chunk", "previous", "raw"))
+    moves = cut(_appearing(steps, reduced_files, union))
+    s = moves.join(_renames(moves, reduced_files, union), ["previous", "raw"], "left").withColumn("renamed", F.coalesce("renamed", F.array().cast(_NAMES)))
     s = s.withColumn("gone", F.transform("gone", lambda f: f["path"])).withColumn("new", F.transform("new", lambda f: f["path"]))
     s = s.withColumn("old_names", F.transform("renamed", lambda r: r["path"])).withColumn("new_names", F.transform("renamed", lambda r: r["new_path"]))
     step = "struct<field:string,change:string,new_field:string>"
@@ -256,9 +326,10 @@ def changes(reduced_files: DataFrame) -> DataFrame:
       transform(filter(gone, p -> not array_contains(old_names, p)), p -> struct(p as field, 'removed' as change, '' as new_field)),
       transform(filter(new, p -> not array_contains(new_names, p)), p -> struct(p as field, 'added' as change, '' as new_field)),
       transform(retyped, p -> struct(p as field, 'retyped' as change, '' as new_field))) as array<{step}>)""")
-    tops = F.expr("concat(gone, new, retyped)")
-    out = s.withColumn("found", found).withColumn("tops", tops).selectExpr("pair", "inline(filter(found, c -> not " + _under("c.field", "tops") + "))")
-    return follows.select("id", "source", "pair").join(out, "pair").select("id", "source", "field", "change", "new_field")
+    # nothing below a field that changed
+    told = "filter(found, c -> not exists(tops, t -> startswith(c.field, concat(t, '.'))))"
+    out = s.withColumn("found", found).withColumn("tops", F.expr("concat(gone, new, retyped)")).select("previous", "raw", F.expr(told).alias("found")).filter("size(found) > 0")
+    return steps.join(out, ["previous", "raw"]).select("id", "source", F.inline("found")).unionByName(_woken(steps, moves))
 
 
 def inferred(reduced_files: DataFrame) -> DataFrame:
@@ -267,10 +338,12 @@ def inferred(reduced_files: DataFrame) -> DataFrame:
     ``alternatives`` are all types of the path, its tagged union; ``first_id`` is the file that brought
     the type (least received, then id), which is where it is reported as appearing.
     """
-    fields = reduced_files.select("id", "received", F.inline("layout"))
-    by = fields.groupBy("path", "type").agg(F.count(F.lit(1)).alias("files"), F.min_by("id", F.struct("received", "id")).alias("first_id"))
-    union = by.filter("type <> 'null'").groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias("alternatives"))
-    return by.join(union, "path", "left").select(F.col("path").alias("field"), "type", "files", "first_id", F.coalesce("alternatives", F.lit("null")).alias("alternatives"))
+    by_layout = _files(reduced_files).groupBy("raw").agg(F.count(F.lit(1)).alias("files"), F.min(F.struct("received", "id")).alias("first"))
+    takes = _layouts(reduced_files).select("raw", F.explode("tags").alias("tag")).join(by_layout, "raw")
+    by = takes.groupBy("tag").agg(F.sum("files").alias("files"), F.min("first").alias("first")).join(fused(reduced_files), "tag")
+    by = cut(by.select(F.col("path").alias("field"), "type", "files", F.col("first.id").alias("first_id")))
+    union = by.filter("type <> 'null'").groupBy("field").agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias("alternatives"))
+    return by.join(union, "field", "left").withColumn("alternatives", F.coalesce("alternatives", F.lit("null")))
 
 
 def aliases(found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -294,13 +367,11 @@ def aliases(found: DataFrame, wanted: DataFrame) -> DataFrame:
 def _as_integer(v):
     if isinstance(v, bool):
         return int(v)
-    if isinstance(v, int):
-        return v
     if isinstance(v, float):
-        return int(v) if v == v and abs(v) < 2**63 and v == int(v) else None
-    if isinstance(v, str) and re.fullmatch(r"\s*[+-]?\d{1,18}(\.0*)?\s*", v):
-        return int(v.strip().partition(".")[0])
-    return None
+        v = int(v) if abs(v) < 2**63 and v == int(v) else None
+    elif isinstance(v, str):
+        v = int(v.strip().partition(".")[0]) if re.fullmatch(r"\s*[+-]?[0-9]+(\.0*)?\s*", v) else None
+    return v if isinstance(v, int) and -(2**63) <= v < 2**63 else None
 
 
 def _as_boolean(v):
@@ -315,9 +386,9 @@ def _as_boolean(v):
 
 def _as_string(v, field: str):
     if isinstance(v, str):
-        return v
+        return _clean(v)
     if isinstance(v, dict):  # one field of an object that names it
-        return next((x for k in ("id", "name", "value") if isinstance(x := v.get(k), str)), None)
+        return next((_clean(x) for k in ("id", "name", "value") if isinstance(x := v.get(k), str)), None)
     if isinstance(v, int) and not isinstance(v, bool) and field.endswith("_at"):  # seconds since 1970
         from datetime import datetime, timedelta, timezone
 
@@ -330,8 +401,21 @@ def _as_string(v, field: str):
 
 def _as_array(v):
     if isinstance(v, str):
-        return [x for x in re.split(r"[,;\s]+", v) if x]
-    return [x if isinstance(x, str) else json.dumps(x) for x in v] if isinstance(v, list) else None
+        return [_clean(x) for x in re.split(r"[,;\s]+", v) if x]
+    return [_clean(x) if isinstance(x, str) else _json(x) for x in v] if isinstance(v, list) else None
+
+
+def _as_number(v):
+    try:
+        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+    except OverflowError:
+        return None
+
+
+def _json(v) -> str:
+    """JSON text of a value as it was read; a number beyond a double is written as it can be read again."""
+    text = json.dumps(v)
+    return re.sub(r'("(?:[^"\\]|\\.)*")|Infinity', lambda m: m[1] or "1e999", text) if "Infinity" in text else text
 
 
 def _as_map(v):
@@ -349,7 +433,7 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
 
     ``fields`` are dotted paths with their types, as ``read`` gives them: top-level scalars, arrays, objects of integers, and
     maps (``m.*.x``) of those. ``names`` leads a path under another name to the wanted one. A value of another
-    type takes the canonical conversion (digits to integers, 0/1 and words to booleans, seconds since 1970 to
+    type, or an integer beyond 64 bits, takes the canonical conversion (digits to integers, 0/1 and words to booleans, seconds since 1970 to
     stamps, an object to what names it, separated text to arrays, lists of named objects to maps), or null where
     there is none; either way its JSON text is kept in ``branches``, a map of ``path:type``. So is every field, at any
     depth, that is not taken, every entry of a map that is no object, and, under its own path, the value that gives way
@@ -380,11 +464,11 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
         key, nth = f"{path}:{_kind(v)}", 2
         while key in branches:
             key, nth = f"{path}:{_kind(v)}#{nth}", nth + 1
-        branches[key] = json.dumps(v)
+        branches[key] = _json(v)
 
     def take(path: str, want: str, v, branches: dict):
         kind = _kind(v)
-        if v is not None and kind != want:
+        if v is not None and (kind != want or (want == "integer" and _as_integer(v) is None)):
             keep(path, v, branches)
         if want == "integer":
             return _as_integer(v)
@@ -394,7 +478,7 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
             return _as_string(v, path)
         if want == "array":
             return _as_array(v)
-        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+        return _as_number(v)
 
     def renamed(o: dict, at: str, label: str, branches: dict) -> dict:
         """The object's fields by their wanted names; one that has the wanted name itself wins, the other is kept in branches."""
@@ -455,7 +539,10 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
             for i, s, r, b in zip(*(batch.column(n).to_pylist() for n in ("id", "source", "received", "body"))):
                 o = read_object(b)
                 if o is not None:
-                    out.append({"_id": i, "_source": s, "_received": r} | row(o))
+                    try:
+                        out.append({"_id": i, "_source": s, "_received": r} | row(o))
+                    except RecursionError:  # nested too deeply to be followed
+                        continue
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     narrow = files.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), F.col(received).alias("received"), F.col(body).alias("body"))

@@ -148,8 +148,8 @@ def test_look_backs_in_chunks_equal_whole_windows(spark):
     rnd = random.Random(6)
     rows = [(rnd.choice(["k", "k", "j", None]), i // 17, i, rnd.choice([None, None, rnd.randint(1, 9)])) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, c long, o long, v long")
-    got = {r.o: (r.p, r.s) for r in prefix_sum(carry_last(df.filter("k is not null"), ["k"], "c", ["o"], "v", "p"), ["k"], "c", ["o"], "v", "s").collect()}
-    for key in ("k", "j"):
+    got = {r.o: (r.p, r.s) for r in prefix_sum(carry_last(df, ["k"], "c", ["o"], "v", "p"), ["k"], "c", ["o"], "v", "s").collect()}
+    for key in ("k", "j", None):
         last, total = None, 0
         for k, _, o, v in rows:
             if k == key:
@@ -227,3 +227,26 @@ def test_what_the_one_table_does_not_take_is_in_branches(spark):
     # the loser of a clash, fields below objects and maps, entries that are no objects
     want = {"code_digest:string": '"old"', "totals.thinking:integer": "9", "totals.audio_tokens:integer": "7", "sources.A.calls:object": '{"n": 2}', "sources.A.none:null": "null", "sources.B:integer": "5", "sources.C:null": "null"}
     assert want.items() <= r.branches.items(), r.branches
+
+
+def test_no_body_stops_the_others(spark):
+    odd = ['{"a":1e999,"t":"x"}', '{"a":-1e999,"t":["\\ud800", 1e999]}', '{"a":%s,"t":"\\udfff"}' % (10**19), '{"a":%s,"t":{"id":"\\ud800"}}' % ("9" * 5000), '{"\\ud800":1,"a":9223372036854775807,"t":null}', '{"a":"9223372036854775807","t":"1"}', '{"a":-9223372036854775809}', "[" * 100_000, '{"a":' + "[" * 100_000, '{"a":true}']
+    df, got = changed(spark, odd)
+    assert [(i, f, c) for i, f, c, _ in got if f == "a"] == [(2, "a", "retyped"), (5, "a", "retyped"), (6, "a", "retyped"), (9, "a", "retyped")]
+    assert (1, "t", "retyped", "") in got and (4, "?", "added", "") in got
+    r = {x._id: x for x in schema_drift.consistent(df, "id", "m", "t", "body", [("a", "integer"), ("t", "string")], {}).collect()}
+    assert {i: x.a for i, x in r.items()} == {0: None, 1: None, 2: None, 3: None, 4: 2**63 - 1, 5: 2**63 - 1, 6: None, 9: 1}
+    assert r[0].branches == {"a:number": "1e999"} and json.loads(r[1].branches["t:array"])[1] == float("inf") and r[2].branches == {"a:integer": str(10**19)} and r[2].t == "?"
+    assert r[3].t == "?" and r[3].branches["a:integer"] == "9" * 5000
+    many = {x._id: x for x in schema_drift.consistent(df, "id", "m", "t", "body", [("a", "number"), ("t", "array")], {}).collect()}
+    assert many[1].t == ["?", "1e999"] and many[3].a is None and many[3].branches["a:integer"] == "9" * 5000
+    assert schema_drift.inferred(schema_drift.reduced(df, "id", "m", "t", "body")).filter("field = 'a'").first().alternatives == "boolean|integer|number|string"
+
+
+def test_nulls_keep_the_type_across_files_and_absence(spark):
+    bodies = [{"a": 1, "b": None}, {"a": None, "b": 2}, {"b": None}, {"a": None, "b": None}, {"a": None, "b": "x"}, {"a": 2.5, "b": None}, {"a": None, "b": "y"}, {"a": 3.5, "b": None}, {"a": 4, "b": 1}]
+    df, got = changed(spark, bodies)
+    assert got == [(2, "a", "removed", ""), (3, "a", "added", ""), (4, "b", "retyped", ""), (5, "a", "retyped", ""), (8, "a", "retyped", ""), (8, "b", "retyped", "")]
+    # ids without a machine or a time: of a source of their own, and first
+    late_ = df.withColumn("m", F.lit(None).cast("string")).withColumn("t", F.when(F.col("id") > 4, F.col("t")))
+    assert values(schema_drift.changes(schema_drift.reduced(late_, "id", "m", "t", "body")), "id", "field", "change", "new_field") == got
