@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, times
 from ..operators import deliveries, late, rolling, schema_drift
 from ..schema import SCHEMA_VERSION, TOKEN_FIELDS
-from ..session import cut, literal, table
+from ..session import cut, fresh_folder, table
 
 
 # ---- 2: late and out-of-order events
@@ -16,41 +16,56 @@ from ..session import cut, literal, table
 
 def exports(spark: SparkSession, folder: str) -> DataFrame:
     """The exports that count: machine, date, stamp, totals, record_id."""
-    d = table(spark, folder, "dailies").filter(F.col("schema") == SCHEMA_VERSION)
+    return _exports(table(spark, folder, "dailies"))
+
+
+def _exports(dailies: DataFrame) -> DataFrame:
+    d = dailies.filter(F.col("schema") == SCHEMA_VERSION)
     d = d.select("record_id", names.slug(F.col("machine")).alias("machine"), times.loose_date(F.col("date")).alias("date"), times.instant(F.col("generated_at")).alias("stamp"), "totals")
     return d.filter("date is not null and stamp is not null")
 
 
-def _settled(spark: SparkSession, folder: str) -> DataFrame:
-    return late.settle(exports(spark, folder), "machine", "date", times.end_of(F.col("date")), "stamp", "totals", "record_id")
+def _replayed(spark: SparkSession, folder: str) -> late.Replay:
+    return late.replay(exports(spark, folder), "machine", "date", "stamp", "totals", "record_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     outcomes = F.array_compact(F.array(F.when(F.col("corrected"), F.lit("corrected")), F.when(F.col("missed"), F.lit("missed"))))
-    return _settled(spark, folder).select("machine", F.col("date").cast("string").alias("date"), F.explode(outcomes).alias("outcome"))
+    return _replayed(spark, folder).settled().select(F.col("source").alias("machine"), F.col("day").cast("string").alias("date"), F.explode(outcomes).alias("outcome"))
 
 
 def p2_date_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Each date's totals as they stand after every export in time."""
-    s = _settled(spark, folder)
+    """Each date's totals as they stand after every export in time, and when the date closed for the whole fleet."""
+    r = _replayed(spark, folder)
     sums = [F.sum(F.coalesce(F.col(f"last_value.{f}"), F.lit(0))).cast("long").alias(f) for f in TOKEN_FIELDS]
-    return s.groupBy(F.col("date").cast("string").alias("date")).agg(
+    totals = r.settled().groupBy("day").agg(
         F.count(F.when(F.col("n_in_time") > 0, 1)).alias("machines"),
         *[F.coalesce(x, F.lit(0).cast("long")).alias(f) for x, f in zip(sums, TOKEN_FIELDS)],
         F.count(F.when(F.col("corrected"), 1)).alias("corrected"),
         F.count(F.when(F.col("missed"), 1)).alias("missed"),
         F.sum("n_late").cast("long").alias("late_records"),
     )
+    return totals.join(r.closings().select("day", F.unix_micros("closed_at").alias("closed_us")), "day", "left").withColumn("date", F.col("day").cast("string")).drop("day")
 
 
 def p2_closings(spark: SparkSession, folder: str) -> DataFrame:
     """When each date closes for the whole fleet, and how many machines were idle by then."""
-    e = exports(spark, folder).select("machine", "stamp", "date")
-    ends = e.agg(F.unix_date(F.min("date")), F.unix_date(F.max("date"))).first()
-    if ends[0] is None:
-        return literal(spark, [], "day string, closed_us long, n_passed long, n_idle long")
-    c = late.closings(e, "machine", "stamp", ends[0], ends[1])
-    return c.select(F.col("day").cast("string").alias("day"), F.unix_micros("closed_at").alias("closed_us"), "n_passed", "n_idle")
+    return _replayed(spark, folder).closings().select(F.col("day").cast("string").alias("day"), F.unix_micros("closed_at").alias("closed_us"), "n_passed", "n_idle")
+
+
+def p2_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The exports run through the stream of late records: first and last totals in time of each machine and date."""
+    from ..streaming.daily import file_stream
+    from ..streaming.late import LateTotals
+
+    out = fresh_folder(spark, "late")
+    e = _exports(file_stream(spark, f"{folder}/dailies.parquet", 1_000_000))
+    batch = e.select(F.col("machine").alias("source"), F.col("date").alias("period"), "stamp", F.col("totals").alias("value"), F.col("record_id").alias("order"))
+    s = LateTotals(spark, f"{out}/state", e.schema["totals"].dataType.simpleString())
+    s.start(batch, f"{out}/checkpoint").awaitTermination()
+    standing = s.open(0).unionByName(s.final())
+    total = lambda c: sum((F.coalesce(F.col(f"{c}.{f}"), F.lit(0)) for f in TOKEN_FIELDS), F.lit(0).cast("long"))
+    return standing.select(F.col("source").alias("machine"), F.col("period").cast("string").alias("date"), F.col("n").alias("in_time"), total("f").alias("first_total"), total("l").alias("last_total"))
 
 
 _STAMP_SQL = r"""CASE WHEN regexp_full_match(trim({c}), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]+)?)?(Z|[+-][0-9]{{2}}:?[0-9]{{2}})?')
@@ -82,19 +97,23 @@ P2_FOUND_SQL = f"""WITH {_EXPORTS_SQL}
 SELECT machine, strftime(date, '%Y-%m-%d') AS date, 'corrected' AS outcome FROM settled WHERE corrected
 UNION ALL SELECT machine, strftime(date, '%Y-%m-%d'), 'missed' FROM settled WHERE missed"""
 
-P2_DATE_TOTALS_SQL = f"""WITH {_EXPORTS_SQL}
-SELECT strftime(date, '%Y-%m-%d') AS date, count(*) FILTER (n_in > 0) AS machines,
+_CLOSINGS_SQL = """e AS (SELECT machine AS s, date, stamp FROM exports WHERE date IS NOT NULL AND stamp IS NOT NULL),
+ days AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM e),
+ pairs AS (SELECT d, s, d + INTERVAL 4 DAY AS bound, min(stamp) FILTER (stamp > d + INTERVAL 4 DAY) AS nxt, max(stamp) FILTER (stamp <= d + INTERVAL 4 DAY) AS before FROM days, e GROUP BY 1, 2),
+ timeouts AS (SELECT *, greatest(bound, before + INTERVAL 7 DAY) AS timeout FROM pairs WHERE before IS NOT NULL),
+ told AS (SELECT *, nxt IS NULL OR nxt > timeout AS idle FROM timeouts),
+ closings AS (SELECT strftime(d, '%Y-%m-%d') AS day, epoch_us(max(CASE WHEN idle THEN timeout ELSE nxt END)) AS closed_us, count(*) FILTER (NOT idle) AS n_passed, count(*) FILTER (idle) AS n_idle FROM told GROUP BY 1)"""
+
+P2_DATE_TOTALS_SQL = f"""WITH {_EXPORTS_SQL}, {_CLOSINGS_SQL},
+ t AS (SELECT strftime(date, '%Y-%m-%d') AS date, count(*) FILTER (n_in > 0) AS machines,
 {", ".join(f"CAST(coalesce(sum(coalesce(l.{f}, 0)), 0) AS BIGINT) AS {f}" for f in TOKEN_FIELDS)},
 count(*) FILTER (corrected) AS corrected, count(*) FILTER (missed) AS missed, CAST(sum(n_late) AS BIGINT) AS late_records
-FROM settled GROUP BY 1"""
+FROM settled GROUP BY 1) SELECT t.*, closed_us FROM t LEFT JOIN closings ON day = t.date"""
 
+P2_CLOSINGS_SQL = f"WITH {_EXPORTS_SQL.partition(' timed AS')[0].rstrip(', ' + chr(10))}, {_CLOSINGS_SQL} SELECT * FROM closings"
 
-P2_CLOSINGS_SQL = f"""WITH {_EXPORTS_SQL.partition(" timed AS")[0].rstrip(", \n")}, e AS (SELECT machine AS s, date, stamp FROM exports WHERE date IS NOT NULL AND stamp IS NOT NULL),
- days AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM e),
- pairs AS (SELECT d, s, d + INTERVAL 4 DAY AS bound, min(stamp) FILTER (stamp > d + INTERVAL 4 DAY) AS nxt, max(stamp) FILTER (stamp <= d + INTERVAL 4 DAY) AS before FROM days, e GROUP BY 1, 2),
- timeouts AS (SELECT *, greatest(bound, before + INTERVAL 7 DAY) AS timeout FROM pairs WHERE before IS NOT NULL),
- told AS (SELECT *, nxt IS NULL OR nxt > timeout AS idle FROM timeouts)
-SELECT strftime(d, '%Y-%m-%d') AS day, epoch_us(max(CASE WHEN idle THEN timeout ELSE nxt END)) AS closed_us, count(*) FILTER (NOT idle) AS n_passed, count(*) FILTER (idle) AS n_idle FROM told GROUP BY 1"""
+P2_STREAM_SQL = f"""WITH {_EXPORTS_SQL} SELECT machine, strftime(date, '%Y-%m-%d') AS date, n_in AS in_time, {", ".join(f"CAST({' + '.join(f'coalesce({c}.{f}, 0)' for f in TOKEN_FIELDS)} AS BIGINT) AS {n}" for c, n in (("f", "first_total"), ("l", "last_total")))}
+FROM settled WHERE n_in > 0"""
 
 
 # ---- 3: rolling totals
@@ -206,5 +225,5 @@ message.usage.input_tokens AS input_tokens, message.usage.output_tokens AS outpu
 message.usage.cache_read_input_tokens AS cache_read_input_tokens FROM transcripts t JOIN ranked r ON t.row_id = r.row_id WHERE r.n = 1"""
 
 
-QUERIES = {"p2_found": p2_found, "p2_date_totals": p2_date_totals, "p2_closings": p2_closings, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_schema": p4_schema, "p4_table": p4_table, "p5_found": p5_found, "p5_messages": p5_messages}
-SQL = {"p2_found": P2_FOUND_SQL, "p2_date_totals": P2_DATE_TOTALS_SQL, "p2_closings": P2_CLOSINGS_SQL, "p3_found": P3_FOUND_SQL, "p3_rolling": P3_ROLLING_SQL, "p5_found": P5_FOUND_SQL, "p5_messages": P5_MESSAGES_SQL}
+QUERIES = {"p2_found": p2_found, "p2_date_totals": p2_date_totals, "p2_closings": p2_closings, "p2_stream": p2_stream, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_schema": p4_schema, "p4_table": p4_table, "p5_found": p5_found, "p5_messages": p5_messages}
+SQL = {"p2_found": P2_FOUND_SQL, "p2_date_totals": P2_DATE_TOTALS_SQL, "p2_closings": P2_CLOSINGS_SQL, "p2_stream": P2_STREAM_SQL, "p3_found": P3_FOUND_SQL, "p3_rolling": P3_ROLLING_SQL, "p5_found": P5_FOUND_SQL, "p5_messages": P5_MESSAGES_SQL}

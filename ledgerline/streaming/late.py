@@ -6,8 +6,12 @@ the newest stamp of all by more than the idle timeout is idle and waited for no
 period after its bound, or after it closed, is diverted and changes nothing.
 
 State lies in the shared folder, a version per batch: watermarks (a row per source), standing values (a
-row per source and open period, the closed ones leave), and closed periods. A batch reads the version
-before its own and writes its own, so one that runs again after a failure gives the same again.
+row per source and open period, the closed ones leave), and the frontier (one number: as watermarks only rise, all
+periods up to it are closed). A batch reads the version before its own and writes its own, so one that runs
+again after a failure gives the same again.
+
+Sources fall idle by event time alone: silence of all sources closes nothing. Watermarks move between batches,
+not within one; where a batch ends therefore decides what an idle source may still bring in.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from ..operators.late import DAY, HOUR, diverted
 
 _EMPTY = {
     "marks": "source string, high timestamp",
-    "closed": "period date, closed_by timestamp, batch long",
+    "frontier": "low long",
 }
 
 
@@ -38,11 +42,13 @@ class LateTotals:
     def merge(self, batch: DataFrame, nth: int) -> None:
         """For foreachBatch."""
         last = nth - 1
-        marks, standing, closed = (self._version(n, last) for n in ("marks", "standing", "closed"))
+        marks, standing, frontier = (self._version(n, last) for n in ("marks", "standing", "frontier"))
         b = batch.filter("stamp is not null and period is not null")
         ends = (F.unix_date("period") + 1).cast("long") * F.lit(DAY)
-        told = b.join(closed.select("period", F.lit(True).alias("shut")), "period", "left").withColumn("late", diverted(F.col("stamp"), ends, self.lateness) | F.coalesce("shut", F.lit(False)))
-        told.filter("late").drop("shut", "late").write.mode("overwrite").parquet(f"{self.folder}/diverted/v={nth}")
+        # one row beside the batch
+        before = frontier.agg(F.max("low").alias("low"))
+        told = b.join(F.broadcast(before), F.lit(True)).withColumn("late", diverted(F.col("stamp"), ends, self.lateness) | F.coalesce(F.col("low") - F.lit(self.lateness) > ends, F.lit(False)))
+        told.filter("late").drop("low", "late").write.mode("overwrite").parquet(f"{self.folder}/diverted/v={nth}")
 
         at = F.struct(F.col("stamp").alias("t"), F.col("order").alias("o"))
         fresh = told.filter("not late").select("source", "period", F.col("value").alias("f"), at.alias("f_at"), F.col("value").alias("l"), at.alias("l_at"), F.lit(1).cast("long").alias("n"))
@@ -55,13 +61,13 @@ class LateTotals:
         newest = now.agg(F.max("us").alias("newest"))
         # one row against the sources; then the least watermark of those that are not idle
         low = now.join(F.broadcast(newest), F.lit(True)).filter(F.col("us") >= F.col("newest") - F.lit(self.idle)).agg(F.min("us").alias("low"))
+        low.unionByName(frontier).agg(F.max("low").alias("low")).write.mode("overwrite").parquet(f"{self.folder}/frontier/v={nth}")
+        low = self._version("frontier", nth)
         both = merged.join(F.broadcast(low), F.lit(True)).withColumn("shut", F.col("low") - F.lit(self.lateness) > ends)
         both.write.mode("overwrite").parquet(f"{self.folder}/merged/v={nth}")
         both = self.spark.read.parquet(f"{self.folder}/merged/v={nth}")
-        both.filter("shut").drop("shut", "low").write.mode("overwrite").parquet(f"{self.folder}/final/v={nth}")
+        both.filter("shut").drop("shut").withColumnRenamed("low", "closed_by").write.mode("overwrite").parquet(f"{self.folder}/final/v={nth}")
         both.filter("not shut").drop("shut", "low").write.mode("overwrite").parquet(f"{self.folder}/standing/v={nth}")
-        newly = both.filter("shut").groupBy("period").agg(F.timestamp_micros(F.max("low")).alias("closed_by")).withColumn("batch", F.lit(nth).cast("long"))
-        closed.unionByName(newly).write.mode("overwrite").parquet(f"{self.folder}/closed/v={nth}")
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -74,7 +80,9 @@ class LateTotals:
         return self._version("standing", nth)
 
     def closed(self, nth: int) -> DataFrame:
-        return self._version("closed", nth)
+        """(period, closed_by, batch): periods with anything in time that closed up to this batch, and the least watermark that closed them."""
+        f = self.spark.read.schema(self.schemas["standing"] + ", closed_by long, v long").parquet(f"{self.folder}/final")
+        return f.filter(F.col("v") <= nth).groupBy("period").agg(F.timestamp_micros(F.min("closed_by")).alias("closed_by"), F.min("v").alias("batch"))
 
     def diverted(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/diverted").drop("v")

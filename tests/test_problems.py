@@ -64,19 +64,21 @@ def test_late_records_against_replay(spark):
     for k in range(900):
         d = date(2026, 1, 1) + timedelta(days=rnd.randint(0, 6))
         at = datetime(d.year, d.month, d.day, tzinfo=timezone.utc) + timedelta(hours=rnd.choice([1, 24, 95, 96, 97, 300]), seconds=rnd.choice([0, 0, 1]))
-        rows.append((rnd.choice(["a", "b", "hot", "hot"]), d if k % 50 else None, at if k % 41 else None, rnd.choice([None, 1, 1, 1, 2]), k))
+        rows.append((rnd.choice(["a", "b", "hot", "hot", None]), d if k % 50 else None, at if k % 41 else None, rnd.choice([None, 1, 1, 1, 2]), k))
     df = spark.createDataFrame(rows, "m string, d date, t timestamp, v long, id long")
-    s = late.settle(df, "m", "d", times.end_of(F.col("d")), "t", "v", "id")
-    assert {(r.m, r.d): (r.corrected, r.missed) for r in s.collect()} == brute_settle(rows)
-    assert late.settle(df.limit(0), "m", "d", times.end_of(F.col("d")), "t", "v", "id").count() == 0
+    for idle in (7 * late.DAY, late.HOUR, 0):  # the timeout closes days for all; it never turns a record in time away
+        s = late.replay(df, "m", "d", "t", "v", "id", idle=idle).settled()
+        assert {(r.source, r.day): (r.corrected, r.missed) for r in s.collect()} == brute_settle(rows)
+    none = late.replay(df.limit(0), "m", "d", "t", "v", "id")
+    assert none.settled().count() == none.closings().count() == 0
 
 
 def test_a_day_closes_when_every_source_passed_or_idles(spark):
     at = lambda d, h=0: datetime(2026, 1, d, h, tzinfo=timezone.utc)
     rows = [("a", at(1)), ("a", at(3)), ("a", at(4)), ("a", at(30)), ("b", at(1, 5)), ("b", at(4, 7))]
-    df = spark.createDataFrame(rows, "s string, t timestamp")
-    day = lambda d: (date(2026, 1, d) - date(1970, 1, 1)).days
-    got = {str(r.day): (r.closed_at.replace(tzinfo=timezone.utc) if r.closed_at.tzinfo is None else r.closed_at, r.n_passed, r.n_idle) for r in late.closings(df, "s", "t", day(1), day(3), 24 * late.HOUR, 5 * late.DAY).collect()}
+    df = spark.createDataFrame([(*r, date(2026, 1, 1 + 2 * (i % 2)), i) for i, r in enumerate(rows)], "s string, t timestamp, d date, i long")
+    replayed = late.replay(df, "s", "d", "t", "i", "i", 24 * late.HOUR, 5 * late.DAY)
+    got = {str(r.day): (r.closed_at.replace(tzinfo=timezone.utc) if r.closed_at.tzinfo is None else r.closed_at, r.n_passed, r.n_idle) for r in replayed.closings().collect()}
     # day 1 is over at the 2nd, its bound is the 3rd: a passes on the 4th (not at the bound itself), b on the 4th at 7
     assert got["2026-01-01"] == (at(4, 7), 2, 0)
     # the bound of day 2 is the 4th: b passes at 7, a is silent from the 4th on and idles on the 9th

@@ -5,7 +5,6 @@ from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from ledgerline.functions import times
 from ledgerline.operators import late
 from ledgerline.streaming import daily, messages
 from ledgerline.streaming.late import LateTotals
@@ -93,7 +92,7 @@ def test_a_stream_without_closing_stands_as_the_batch(spark, tmp_path):
     r.repartition(6).write.parquet(str(tmp_path / "in"))
     t = LateTotals(spark, str(tmp_path / "state"), "long", lateness=72 * late.HOUR)
     t.start(spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 50).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
-    batch = late.settle(r, "source", "period", times.end_of(F.col("period")), "stamp", "value", "order").filter("n_in_time > 0")
-    want = {(x.source, x.period): (x.first_value, x.last_value, x.n_in_time) for x in batch.collect()}
+    batch = late.replay(r, "source", "period", "stamp", "value", "order").settled().filter("n_in_time > 0")
+    want = {(x.source, x.day): (x.first_value, x.last_value, x.n_in_time) for x in batch.collect()}
     got = {(x.source, x.period): (x.f, x.l, x.n) for x in t.open(0).unionByName(t.final()).collect()}
     assert got == want
