@@ -17,16 +17,34 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with more neighbours than this is a hub. There are at most 2 / HUB as many hubs as edges.
+HUB = 100_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, may_have_hubs: bool) -> DataFrame:
+    """(a, b, m): edges with the least neighbour m of a. ``least`` is (a, m, n), n neighbours.
+
+    The edges of a hub stay where they are, as the few hubs are broadcast; the others meet in a shuffle, HUB to a node at most.
+    """
+    m = least.select("a", "m")
+    if not may_have_hubs:
+        return edges.join(m, "a")
+    hubs = cut(least.filter(F.col("n") > HUB).select("a", F.col("m").alias("hub_m")))
+    told = edges.join(F.broadcast(hubs), "a", "left")
+    rest = told.filter("hub_m is null").select("a", "b").join(least.filter(F.col("n") <= HUB).select("a", "m"), "a")
+    return told.filter("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest)
+
+
+def _large_star(edges: DataFrame, may_have_hubs: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.filter("b > a"), least, may_have_hubs).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, may_have_hubs: bool) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    kept = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    kept = _with_least(down, least, may_have_hubs).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return kept.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -40,7 +58,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        # no node has more neighbours than there are edges
+        hubs = mark[0] > HUB
+        edges = cut(_small_star(cut(_large_star(edges, hubs)) if hubs else _large_star(edges, hubs), hubs))
         now = _mark(edges)
         if now == mark:
             break

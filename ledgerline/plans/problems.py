@@ -188,19 +188,20 @@ def p4_table(spark: SparkSession, folder: str) -> DataFrame:
 _COUNTED = "message.usage is not null"
 
 
+def _vectors(spark: SparkSession, path: str) -> DataFrame:
+    return deliveries.deletion_vectors(spark, path, F.col("requestId"), F.col("uuid"), "row_id", F.expr(_COUNTED))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    t = table(spark, folder, "transcripts").filter(_COUNTED)
-    return deliveries.surplus(t, F.col("requestId"), F.col("uuid"), "row_id").select(F.col("o").alias("row_id"))
+    """The surplus copies, read off the deletion vectors."""
+    path = f"{folder}/transcripts.parquet"
+    return deliveries.read_dropped(spark, path, _vectors(spark, path)).select("row_id")
 
 
 def p5_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Exactly one whole row per call, read under the deletion vectors of the surplus copies."""
     path = f"{folder}/transcripts.parquet"
-    t = spark.read.parquet(path).select("row_id", "requestId", "uuid", F.col("message.usage").isNotNull().alias("counted"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("position"))
-    gone = deliveries.surplus(t.filter("counted"), F.col("requestId"), F.col("uuid"), "row_id")
-    places = t.select("row_id", "file", "position").join(gone.withColumnRenamed("o", "row_id"), "row_id", "left_semi")
-    vectors = cut(deliveries.deletion_vectors(places))
-    kept = deliveries.read_kept(spark, path, vectors).filter(_COUNTED)
+    kept = deliveries.read_kept(spark, path, _vectors(spark, path)).filter(_COUNTED)
     u = "message.usage."
     return kept.select(
         "row_id", "batch_id", "line_no", "machine", "project_name", "timestamp", F.col("message.model").alias("model"),

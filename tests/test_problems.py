@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from ledgerline.functions import names, times
-from ledgerline.operators import deliveries, late, rolling, schema_drift
+from ledgerline.operators import components, deliveries, late, rolling, schema_drift
 from ledgerline.operators.components import connected_components
 from ledgerline.operators.sequences import carry_last, prefix_sum
 
@@ -118,32 +118,45 @@ def test_messages_against_union_find(spark, tmp_path):
             rows.append((k, "hot" if hot and k % 3 == 0 else r, f"chain{k // 3}" if hot and k % 3 == 0 and k % 2 else u))
         # a chain through many ids, and repeated rows
         rows += [(2000 + k, f"c{k // 2}", f"d{(k + 1) // 2}") for k in range(90)] + [(3000 + k, "same", "same") for k in range(20)]
-        df = spark.createDataFrame([(*r, "x" * 50) for r in rows], "id long, q string, u string, payload string")
+        df = spark.createDataFrame([(*r, "x" * 50, "a") for r in rows], "id long, q string, u string, _words string, file string")
         want = brute_messages(rows)
-        assert {x.o for x in deliveries.surplus(df, F.col("q"), F.col("u"), "id").collect()} == want
         path = str(tmp_path / f"t{hot}")
         df.repartition(5).write.parquet(path)
-        t = spark.read.parquet(path).select("id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("position"))
-        vectors = deliveries.deletion_vectors(t.filter(F.col("id").isin(list(want))))
-        for budget in (deliveries.VECTOR_BYTES, 5_000):
+        vectors = deliveries.deletion_vectors(spark, path, F.col("q"), F.col("u"), "id")
+        for budget in (deliveries.VECTOR_BYTES, 5_000, 1):
+            assert {x.id for x in deliveries.read_dropped(spark, path, vectors, budget).collect()} == want
             kept = deliveries.read_kept(spark, path, vectors, budget)
             assert kept.columns == df.columns and sorted(x.id for x in kept.collect()) == sorted(r[0] for r in rows if r[0] not in want)
-    assert deliveries.surplus(df.limit(0), F.col("q"), F.col("u"), "id").count() == 0
+    # no rows; rows that tie in the order; rows that do not count
+    df.limit(0).write.parquet(str(tmp_path / "none"))
+    assert deliveries.deletion_vectors(spark, str(tmp_path / "none"), F.col("q"), F.col("u"), "id").count() == 0
+    spark.createDataFrame([(1, "a", None), (1, "a", None), (1, "a", "b"), (None, "b", None), (1, "b", None), (0, "a", "no")], "id long, q string, u string").write.parquet(str(tmp_path / "ties"))
+    v = deliveries.deletion_vectors(spark, str(tmp_path / "ties"), F.col("q"), F.lit(None).cast("string"), "id", F.expr("u is null or u <> 'no'"))
+    assert sorted((str(r.id), r.q, str(r.u)) for r in deliveries.read_dropped(spark, str(tmp_path / "ties"), v).collect()) in ([("1", "a", "None"), ("1", "a", "None"), ("1", "b", "None")], [("1", "a", "None"), ("1", "a", "b"), ("1", "b", "None")])
 
 
 def test_deletion_vectors_over_many_buckets(spark, tmp_path):
     path = str(tmp_path / "big")
-    spark.range(0, 150_000, 1, 1).write.parquet(path)
-    t = spark.read.parquet(path).select("id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("position"))
-    gone = (F.col("id") % 7 == 0) | F.col("id").between(32_700, 32_900)
-    kept = deliveries.read_kept(spark, path, deliveries.deletion_vectors(t.filter(gone)))
-    assert kept.count() == spark.range(150_000).filter(~gone).count() and kept.filter(gone).count() == 0
+    spark.range(0, 150_000, 1, 1).withColumn("k", F.when((F.col("id") % 7 == 0) | F.col("id").between(32_700, 32_900), "same").otherwise(F.col("id").cast("string"))).write.parquet(path)
+    v = deliveries.deletion_vectors(spark, path, F.col("k"), F.lit(None).cast("string"), "id")
+    kept = deliveries.read_kept(spark, path, v)
+    gone = (F.col("k") == "same") & (F.col("id") > 0)
+    assert kept.count() == spark.read.parquet(path).filter(~gone).count() and kept.filter(gone).count() == 0 and v.count() == 5
 
 
-def test_components_of_chains_and_stars(spark):
+def test_files_are_packed_by_the_size_of_their_vectors():
+    sizes = [(f"f{k:02}", k * 7 % 11) for k in range(30)]
+    groups = deliveries._groups(sizes, 12)
+    assert sorted(f for g in groups for f in g) == sorted(f for f, _ in sizes) and all(sum(dict(sizes)[f] for f in g) <= 12 for g in groups)
+    assert deliveries._groups([("a", 50), ("b", 1)], 10) == [["a"], ["b"]] and deliveries._groups([], 10) == []
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
     edges = [(f"n{k:03}", f"n{k + 1:03}") for k in range(40)] + [("s", f"s{k}") for k in range(50)] + [("x", "x"), (None, "y"), ("a1", "a2"), ("a2", "a1")]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {**{f"n{k:03}": "n000" for k in range(41)}, "s": "s", **{f"s{k}": "s" for k in range(50)}, "a1": "a1", "a2": "a1"}
+    monkeypatch.setattr(components, "HUB", 7)  # the star's middle is a hub then
+    assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()} == got
 
 
 def test_look_backs_in_chunks_equal_whole_windows(spark):
