@@ -15,13 +15,59 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: An identifier in more sets than this is heavy.
 LIGHT_DEGREE = 8
-#: Sets on one side of a block of the dense product.
-BLOCK = 2048
+#: Sets on one side of a block of the dense product, and identifiers that one product takes.
+BLOCK, ROWS = 2048, 4096
+#: Memberships that a worker holds before it multiplies them (some 40 bytes each while it does).
+HELD = 8 << 20
+
+
+def block_counts(rows: list, n_sets: int):
+    """Yields (a, b, n) as arrays: of each pair a <= b of set numbers, how many rows hold both.
+
+    ``rows`` are arrays of set numbers below ``n_sets``. One block of sets is multiplied with another at a time, and one
+    accumulator of 64-bit integers per pair of blocks takes all rows before its counts are given out, so memory
+    does not grow with the number of sets.
+    """
+    import numpy as np
+
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    # memberships by block of sets, in the order of rows
+    order = np.argsort(flat // BLOCK, kind="stable")
+    starts = np.searchsorted((flat // BLOCK)[order], np.arange(-(-n_sets // BLOCK) + 1))
+    blocks = [(row[order[x:y]], flat[order[x:y]] - i * BLOCK) for i, (x, y) in enumerate(zip(starts, starts[1:]))]
+
+    def dense(block, ids):
+        """The 0/1 matrix of these rows (sorted) in one block."""
+        lo, hi = np.searchsorted(block[0], [ids[0], ids[-1] + 1])
+        r, c = block[0][lo:hi], block[1][lo:hi]
+        at = np.searchsorted(ids, r)
+        there = ids[np.minimum(at, len(ids) - 1)] == r
+        m = np.zeros((len(ids), BLOCK), dtype=np.float32)
+        m[at[there], c[there]] = 1
+        return m
+
+    for i, x in enumerate(blocks):
+        for j in range(i, len(blocks)):
+            y = blocks[j]
+            ids = np.intersect1d(x[0], y[0])  # only rows that are in both
+            total = None
+            for k in range(0, len(ids), ROWS):
+                some = ids[k : k + ROWS]
+                left = dense(x, some)
+                # sums of up to 4,096 ones are exact in 32 bits
+                p = (left.T @ (left if i == j else dense(y, some))).astype(np.int64)
+                total = p if total is None else np.add(total, p, out=total)
+            if total is not None:
+                if i == j:
+                    total = np.triu(total)
+                a, b = np.nonzero(total)
+                yield (a + i * BLOCK).astype(np.int32), (b + j * BLOCK).astype(np.int32), total[a, b]
 
 
 def _products(batches: Iterator) -> Iterator:
@@ -29,37 +75,33 @@ def _products(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    def product(group, rows):
-        names = sorted({s for r in rows for s in r})
-        at = {s: i for i, s in enumerate(names)}
-        m = np.zeros((len(rows), len(names)), dtype=np.float32)
-        for i, r in enumerate(rows):
-            m[i, [at[s] for s in r]] = 1
-        out: dict = {"g": [], "a": [], "b": [], "n": []}
-        for i in range(0, len(names), BLOCK):
-            for j in range(i, len(names), BLOCK):
-                # up to 4,096 rows of 0 and 1, so float32 sums are exact
-                p = (m[:, i : i + BLOCK].T @ m[:, j : j + BLOCK]).astype(np.int64)
-                x, y = np.nonzero(p)
-                keep = x + i <= y + j
-                x, y = x[keep], y[keep]
-                out["g"] += [group] * len(x)
-                out["a"] += [names[k + i] for k in x]
-                out["b"] += [names[k + j] for k in y]
-                out["n"] += p[x, y].tolist()
-        return pa.RecordBatch.from_pydict(out, schema=schema)
-
     schema = pa.schema([("g", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
-    group, rows = None, []
+    group, rows, numbers, held = None, [], {}, 0
+
+    def counted():
+        names = sorted(numbers)
+        place = np.empty(len(names), dtype=np.int32)
+        for i, s in enumerate(names):
+            place[numbers[s]] = i
+        texts = pa.array(names, pa.string())
+        for a, b, n in block_counts([place[r] for r in rows], len(names)):
+            for k in range(0, len(n), 1 << 20):
+                x, y, z = (pa.array(v[k : k + (1 << 20)]) for v in (a, b, n))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(group, pa.string()), len(z)), texts.take(x), texts.take(y), z], schema=schema)
+
     for batch in batches:
-        for g, sets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if rows and (g != group or len(rows) >= 4096):
-                yield product(group, rows)
-                rows = []
+        sets = batch.column(1)
+        values, ends = sets.flatten().to_pylist(), np.cumsum([0, *map(len, sets)])
+        for i, g in enumerate(batch.column(0).to_pylist()):
+            if rows and (g != group or held >= HELD):
+                yield from counted()
+                rows, numbers, held = [], {}, 0
             group = g
-            rows.append(sets)
+            r = np.fromiter((numbers.setdefault(s, len(numbers)) for s in values[ends[i] : ends[i + 1]]), dtype=np.int32)
+            rows.append(r)
+            held += len(r)
     if rows:
-        yield product(group, rows)
+        yield from counted()
 
 
 def overlap_counts(members: DataFrame, group: str, set_: str, identifier: str, light: int = LIGHT_DEGREE) -> DataFrame:
@@ -87,11 +129,18 @@ def overlaps(counts: DataFrame) -> DataFrame:
     return full.select("g", "a", "b", "shared", "size_a", "size_b", (F.col("size_a") + F.col("size_b") - F.col("shared")).alias("union"))
 
 
+def _least(h: Column) -> Column:
+    """16 hexadecimal digits as a share of the whole range, by the first 13: exact in a double."""
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
+
+
 def sketch_overlaps(sketches: DataFrame, group: str, set_: str, sketch: str, k: int = 64) -> DataFrame:
     """Estimates from bottom-k sketches (sorted arrays of the least k hashes, 16 hex digits each).
 
-    (g, a, b, in_both, of, jaccard) of each pair a < b of one group whose sketches share a hash: of the
-    least k of the union, how many are in both. Other pairs have the estimate 0 and no row. Pairs come
+    (g, a, b, in_both, of, jaccard, shared) of each pair a < b of one group whose sketches share a hash: of the
+    least k of the union, how many are in both; ``shared`` estimates how many identifiers both have: that share of
+    the union's size, which is (k - 1) over the k-th least hash as a part of the range. With fewer than k
+    hashes in the union nothing is left out of either sketch, and shared is exact. Other pairs have the estimate 0 and no row. Pairs come
     from the shared hashes, through the same counts as above, not from all pairs of sets. A null or
     empty sketch shares nothing; repeated hashes count once; two sketches of one set are united first.
     """
@@ -100,5 +149,8 @@ def sketch_overlaps(sketches: DataFrame, group: str, set_: str, sketch: str, k:
     c = overlap_counts(one.select("g", "s", F.explode("h").alias("h")), "g", "s", "h").filter("a < b").select("g", "a", "b")
     both = c.join(one.select("g", F.col("s").alias("a"), F.col("h").alias("ha")), ["g", "a"]).join(one.select("g", F.col("s").alias("b"), F.col("h").alias("hb")), ["g", "b"])
     least = F.slice(F.array_sort(F.array_union("ha", "hb")), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect("ha", "hb"), "least"))
-    return both.withColumn("least", least).select("g", "a", "b", shared.alias("in_both"), F.size("least").alias("of"), (shared / F.size("least")).alias("jaccard")).filter("in_both > 0")
+    both = both.withColumn("least", least).withColumn("in_both", F.size(F.array_intersect(F.array_intersect("ha", "hb"), "least"))).withColumn("of", F.size("least")).filter("in_both > 0")
+    jaccard = F.col("in_both") / F.col("of")
+    size = F.lit(float(k - 1)) / _least(F.element_at("least", -1))
+    shared = F.when(F.col("of") < k, F.col("in_both")).otherwise(F.round(jaccard * size))
+    return both.select("g", "a", "b", "in_both", "of", jaccard.alias("jaccard"), shared.cast("long").alias("shared"))

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut, literal
 
-#: Buckets in which items of one length are numbered.
-BUCKETS = 256
+#: Buckets in which items of one length are numbered: at least so many, and so many to each shuffle partition.
+BUCKETS, BUCKETS_EACH = 256, 4
 
 
 def plan(histogram: Iterable[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -85,7 +85,9 @@ def packed(sized: DataFrame, id: str, size: str, capacity: int) -> DataFrame:
     spark: SparkSession = sized.sparkSession
     # written once: lengths are dear to compute, and numbering reads them several times
     items = cut(pieces(sized, id, size, capacity).withColumn("row", F.monotonically_increasing_id()))
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(BUCKETS)).cast("int"))
+    # as many more buckets as the session has partitions, so that a length that a third of all items have stays in small tasks
+    buckets = max(BUCKETS, BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     counts = items.groupBy("n", "bucket").agg(F.count(F.lit(1)).alias("c"))
     histogram = [(r[0], r[1]) for r in counts.groupBy("n").agg(F.sum("c")).collect()]  # capacity + 1 rows at most
     segments, containers = plan(histogram, capacity)

@@ -32,12 +32,25 @@ def p1_shared(spark: SparkSession, folder: str) -> DataFrame:
     return _named(overlap.overlaps(cut(_counts(spark, folder))))
 
 
-def p1_sketched(spark: SparkSession, folder: str) -> DataFrame:
-    """Estimated overlaps from the sketches of the exports, the newest readable one per machine and date."""
+def _newest_sketches(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "dailies").filter("schema = 3")
     d = d.select("record_id", names.slug(F.col("machine")).alias("machine"), times.loose_date(F.col("date")).cast("string").alias("date"), times.instant(F.col("generated_at")).alias("stamp"), "sketch")
-    newest = d.filter("date is not null and stamp is not null").groupBy("machine", "date").agg(F.max_by("sketch", F.struct("stamp", "record_id")).alias("sketch"))
-    return _named(overlap.sketch_overlaps(newest, "date", "machine", "sketch")).withColumn("jaccard", F.round("jaccard", 6))
+    return d.filter("date is not null and stamp is not null").groupBy("machine", "date").agg(F.max_by("sketch", F.struct("stamp", "record_id")).alias("sketch"))
+
+
+def p1_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimated overlaps, and how many calls are shared, from the sketches of the exports, the newest readable one per machine and date."""
+    return _named(overlap.sketch_overlaps(_newest_sketches(spark, folder), "date", "machine", "sketch")).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def p1_sketch_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: of the pairs that share at least a tenth of their calls by the exact counts, how many the sketches find, and how far their estimates of the number shared are off in the middle."""
+    exact = overlap.overlaps(cut(_counts(spark, folder))).filter("shared * 10 >= union")
+    exact = exact.select(F.col("g").alias("date"), F.least(names.slug(F.col("a")), names.slug(F.col("b"))).alias("x"), F.greatest(names.slug(F.col("a")), names.slug(F.col("b"))).alias("y"), F.col("shared").alias("true_shared"))
+    told = overlap.sketch_overlaps(_newest_sketches(spark, folder), "date", "machine", "sketch").select(F.col("g").alias("date"), F.col("a").alias("x"), F.col("b").alias("y"), "shared")
+    j = exact.join(told, ["date", "x", "y"], "left")
+    off = F.abs(F.col("shared") - F.col("true_shared")) / F.col("true_shared")
+    return j.agg(F.count(F.lit(1)).alias("pairs"), F.count("shared").alias("found"), F.round(F.try_divide(F.count("shared").cast("double"), F.count(F.lit(1))), 6).alias("recall"), F.round(F.percentile(off, F.lit(0.5)), 4).alias("middle_error"))
 
 
 _PAIRS_SQL = """m AS (SELECT DISTINCT strftime("timestamp" AT TIME ZONE 'UTC', '%Y-%m-%d') AS date, machine, fingerprint FROM invocations WHERE machine IS NOT NULL AND fingerprint IS NOT NULL AND "timestamp" IS NOT NULL),
@@ -92,16 +105,24 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("source", "documents", "truncated", F.round(F.col("truncated") / F.col("documents"), 6).alias("share"))
 
 
-P1_SKETCHED_SQL = rf"""WITH e AS (SELECT record_id, trim(regexp_replace(lower(machine), '[^a-z0-9]+', '-', 'g'), '-') AS machine, strftime(try_strptime(replace(replace(trim(date), '-', ''), '/', ''), '%Y%m%d'), '%Y-%m-%d') AS date, {stamp_sql("generated_at")} AS stamp, sketch
+_SKETCHED_SQL = rf"""e AS (SELECT record_id, trim(regexp_replace(lower(machine), '[^a-z0-9]+', '-', 'g'), '-') AS machine, strftime(try_strptime(replace(replace(trim(date), '-', ''), '/', ''), '%Y%m%d'), '%Y-%m-%d') AS date, {stamp_sql("generated_at")} AS stamp, sketch
  FROM dailies WHERE schema = 3), w AS (SELECT machine, date, list_sort(list_distinct(sketch)) AS sk FROM (SELECT * FROM e WHERE date IS NOT NULL AND stamp IS NOT NULL QUALIFY row_number() OVER (PARTITION BY machine, date ORDER BY stamp DESC, record_id DESC) = 1) WHERE sketch IS NOT NULL),
  p AS (SELECT a.date, a.machine AS machine_a, b.machine AS machine_b, list_slice(list_sort(list_distinct(list_concat(a.sk, b.sk))), 1, 64) AS u, a.sk AS x, b.sk AS y FROM w a JOIN w b ON a.date = b.date AND a.machine < b.machine),
- n AS (SELECT *, len(list_intersect(list_intersect(x, y), u)) AS k FROM p) SELECT date, machine_a, machine_b, CAST(k AS INTEGER) AS in_both, CAST(len(u) AS INTEGER) AS "of", round(k / len(u), 6) AS jaccard FROM n WHERE k > 0"""
+ n AS (SELECT *, len(list_intersect(list_intersect(x, y), u)) AS k FROM p),
+ sketched AS (SELECT date, machine_a, machine_b, CAST(k AS INTEGER) AS in_both, CAST(len(u) AS INTEGER) AS "of", k / len(u) AS jaccard,
+  CAST(CASE WHEN len(u) < 64 THEN k ELSE round((k / len(u)) * (63.0::DOUBLE / ((CAST(CAST('0x' || left(u[-1], 13) AS BIGINT) AS DOUBLE) + 1) / 4503599627370496.0::DOUBLE))) END AS BIGINT) AS shared FROM n WHERE k > 0)"""
+P1_SKETCHED_SQL = f"WITH {_SKETCHED_SQL} SELECT * REPLACE (round(jaccard, 6) AS jaccard) FROM sketched"
+_SLUG_SQL = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-')"
+P1_SKETCH_RECALL_SQL = f"""WITH {_PAIRS_SQL}, {_SKETCHED_SQL},
+ t AS (SELECT date, least({_SLUG_SQL.format(c="machine_a")}, {_SLUG_SQL.format(c="machine_b")}) AS x, greatest({_SLUG_SQL.format(c="machine_a")}, {_SLUG_SQL.format(c="machine_b")}) AS y, shared AS true_shared FROM pairs WHERE shared * 10 >= "union"),
+ j AS (SELECT t.*, s.shared AS shared FROM t LEFT JOIN sketched s ON s.date = t.date AND s.machine_a = x AND s.machine_b = y)
+SELECT count(*) AS pairs, count(shared) AS found, round(count(shared) / count(*), 6) AS recall, round(quantile_cont(abs(shared - true_shared) / true_shared, 0.5), 4) AS middle_error FROM j"""
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_shared": p1_shared, "p1_sketched": p1_sketched,
+    "p1_found": p1_found, "p1_shared": p1_shared, "p1_sketched": p1_sketched, "p1_sketch_recall": p1_sketch_recall,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_sources": p8_sources,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p1_sketched": P1_SKETCHED_SQL, "p1_shared": P1_SHARED_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_sketched": P1_SKETCHED_SQL, "p1_sketch_recall": P1_SKETCH_RECALL_SQL, "p1_shared": P1_SHARED_SQL}

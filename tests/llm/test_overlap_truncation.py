@@ -57,6 +57,41 @@ def test_sketches_estimate_what_is_shared(spark):
     rows = [("d", "a", x), ("d", "b", x[32:]), ("d", "c", ["f" * 16]), ("d", "n", None), ("d", "e", []), ("d", "a", x[:3]), ("z", "a", x)]
     got = overlap.sketch_overlaps(spark.createDataFrame(rows, "g string, s string, k array<string>"), "g", "s", "k").collect()
     assert [(r.g, r.a, r.b, r.in_both, r.of, r.jaccard) for r in got] == [("d", "a", "b", 32, 64, 0.5)]
+    few = overlap.sketch_overlaps(spark.createDataFrame([("d", "a", x[:9]), ("d", "b", x[4:20])], "g string, s string, k array<string>"), "g", "s", "k").collect()
+    assert [(r.in_both, r.of, r.shared) for r in few] == [(5, 20, 5)]  # nothing was left out: exact
+
+
+def test_the_number_shared_is_estimated_from_sketches(spark):
+    rnd = random.Random(3)
+    h = [f"{rnd.getrandbits(64):016x}" for _ in range(40_000)]
+    sets = {"a": h[:30_000], "b": h[15_000:], "c": h[29_000:]}
+    df = spark.createDataFrame([("d", s, sorted(v)[:64]) for s, v in sets.items()], "g string, s string, k array<string>")
+    got = {(r.a, r.b): r.shared for r in overlap.sketch_overlaps(df, "g", "s", "k").collect()}
+    assert abs(got["a", "b"] - 15_000) < 6_000 and abs(got["b", "c"] - 11_000) < 6_000
+
+
+def test_fifty_thousand_sets_fit_into_a_worker():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, pyarrow as pa
+from ledgerline.llm import overlap
+rnd = random.Random(5)
+rows = [rnd.sample(range(50_000), 400) for _ in range(40)]
+batch = pa.RecordBatch.from_pydict({"g": ["d"] * 80, "s": [[f"set-{k:05}" for k in r] for r in rows] * 2})
+pairs = total = 0
+for b in overlap._products(iter([batch])):
+    pairs, total = pairs + b.num_rows, total + sum(b.column("n").to_pylist())
+assert total == 80 * 400 * 401 // 2, total
+print(pairs, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=Path(overlap.__file__).parents[2])
+    assert not out.returncode, out.stderr
+    pairs, mb = map(int, out.stdout.split())
+    assert pairs <= 40 * 400 * 401 // 2 and mb < 1000
 
 
 SUBJECTS = ["the ledger", "the watcher", "a second box", "the nightly export", "the retry loop", "the price table"]
