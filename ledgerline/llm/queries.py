@@ -111,6 +111,12 @@ _SKETCHED_SQL = rf"""e AS (SELECT record_id, trim(regexp_replace(lower(machine),
  n AS (SELECT *, len(list_intersect(list_intersect(x, y), u)) AS k FROM p),
  sketched AS (SELECT date, machine_a, machine_b, CAST(k AS INTEGER) AS in_both, CAST(len(u) AS INTEGER) AS "of", k / len(u) AS jaccard,
   CAST(CASE WHEN len(u) < 64 THEN k ELSE round((k / len(u)) * (63.0::DOUBLE / ((CAST(CAST('0x' || left(u[-1], 13) AS BIGINT) AS DOUBLE) + 1) / 4503599627370496.0::DOUBLE))) END AS BIGINT) AS shared FROM n WHERE k > 0)"""
+def p8_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the documents that lost their end each rule told."""
+    t = truncation.truncated(table(spark, folder, "documents")).filter("cut")
+    return t.groupBy("rule").agg(F.count(F.lit(1)).alias("documents"))
+
+
 P1_SKETCHED_SQL = f"WITH {_SKETCHED_SQL} SELECT * REPLACE (round(jaccard, 6) AS jaccard) FROM sketched"
 _SLUG_SQL = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-')"
 P1_SKETCH_RECALL_SQL = f"""WITH {_PAIRS_SQL}, {_SKETCHED_SQL},
@@ -123,6 +129,6 @@ QUERIES = {
     "p1_found": p1_found, "p1_shared": p1_shared, "p1_sketched": p1_sketched, "p1_sketch_recall": p1_sketch_recall,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers, "p7_fill": p7_fill,
-    "p8_found": p8_found, "p8_sources": p8_sources,
+    "p8_found": p8_found, "p8_sources": p8_sources, "p8_rules": p8_rules,
 }
 SQL = {"p1_found": P1_FOUND_SQL, "p1_sketched": P1_SKETCHED_SQL, "p1_sketch_recall": P1_SKETCH_RECALL_SQL, "p1_shared": P1_SHARED_SQL}
