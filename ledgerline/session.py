@@ -96,5 +96,5 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     spark = df.sparkSession
     least = least or spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     return df.repartition(2 * least) if max(len(df.inputFiles()), size // split) < least else df

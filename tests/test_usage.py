@@ -229,3 +229,18 @@ def test_the_bench_times_every_query(monkeypatch, capsys):
     monkeypatch.setattr(bench.entry, "queries", lambda: {n: MagicMock() for n in names})
     bench.main([])
     assert set(json.loads(capsys.readouterr().out)["queries"]) == set(names)
+
+
+def test_inputs_of_few_splits_are_spread_and_others_left(spark, tmp_path):
+    from ledgerline.session import cut, spread
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.range(1000).repartition(6).write.parquet(str(tmp_path / "six"))
+        six = spark.read.parquet(str(tmp_path / "six"))
+        assert "Exchange" in spread(six, 7)._jdf.queryExecution().executedPlan().toString() and "Exchange" not in spread(six, 6)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert "Exchange" not in spread(six, 7)._jdf.queryExecution().executedPlan().toString()
+        assert cut(six.filter("id < 0")).schema == six.schema
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
