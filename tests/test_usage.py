@@ -239,7 +239,10 @@ def test_inputs_of_few_splits_are_spread_and_others_left(spark, tmp_path):
         spark.range(1000).repartition(6).write.parquet(str(tmp_path / "six"))
         six = spark.read.parquet(str(tmp_path / "six"))
         assert "Exchange" in spread(six, 7)._jdf.queryExecution().executedPlan().toString() and "Exchange" not in spread(six, 6)._jdf.queryExecution().executedPlan().toString()
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # read in any unit
+        six = spark.range(100_000).repartition(1)
+        six.write.parquet(str(tmp_path / "one"))
+        six = spark.read.parquet(str(tmp_path / "one"))
         assert "Exchange" not in spread(six, 7)._jdf.queryExecution().executedPlan().toString()
         assert cut(six.filter("id < 0")).schema == six.schema
     finally:
