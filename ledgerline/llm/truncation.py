@@ -55,7 +55,7 @@ PILED, NEAR = 0.5, 8
 ONE, ONE_ALONE = 0.5, 0.79
 
 #: Characters of sentences that a worker holds before it takes them apart and hands their counts on.
-HELD = 24 << 20
+HELD = 12 << 20
 #: Bits of the filter that says in which contexts some text stops: 16 MB, whatever the corpus.
 FILTER_BITS = 1 << 27
 #: Parts in which the words of a context that holds a large share of all words are joined.
@@ -187,7 +187,7 @@ def endings(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            bodies = [body(t.as_py() or "") for t in batch.column("t")]
+            bodies = [body(t or "") for t in batch.column("t").to_pylist()]
             last = [(parts(b[b.rfind("\n") + 1 :])[-1:] or [""])[0] for b in bodies]
             laid = Laid(last)
             # a last line of nothing but invisible signs has no token and no evidence
@@ -270,8 +270,8 @@ def goings_on(docs: DataFrame, text: str, filter_: bytes) -> DataFrame:
 
         held = 0
         for batch in batches:
-            for t in batch.column(0):
-                found = parts(body(t.as_py() or ""))
+            for t in batch.column(0).to_pylist():
+                found = parts(body(t or ""))
                 if found:
                     end = found.pop()
                     last[end] = last.get(end, 0) + 1
@@ -291,7 +291,7 @@ def goings_on(docs: DataFrame, text: str, filter_: bytes) -> DataFrame:
 def _nodes(grams: DataFrame, finals: DataFrame) -> DataFrame:
     """(words, c, tok, stops, below, stopped, goes, ends, ctx_goes, ctx_ends, ctx_stops): the node of each last token under each length of context."""
     key = ["words", "c", "tok"]
-    stops = _leveled(finals).select(*key, "hash").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("stops"))
+    stops = _leveled(finals).groupBy(*key).agg(F.count(F.lit(1)).alias("stops"))
     depths = stops.groupBy("words", "c").agg(F.collect_set(F.length("tok")).alias("depths"), F.sum("stops").alias("ctx_stops"))
     g = grams.groupBy(*key).agg(F.sum("goes").alias("goes"), F.sum("ends").alias("ends"))
     # the bare trie and the beginnings of lines hold a large share of all words: their words are joined in parts
@@ -327,7 +327,7 @@ def _high(k: Column, n: Column) -> Column:
 def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
     """(c4, tok, verdict, prefix, broken_word, recurs, share, words, lacks): of each distinct ending 'cut', 'whole' or 'unsure'.
 
-    ``prefix`` says that the trie alone decided, ``broken_word`` whether the token is an unknown prefix of words,
+    ``finals`` has each text once. ``prefix`` says that the trie alone decided, ``broken_word`` whether the token is an unknown prefix of words,
     ``recurs`` whether it is whole only by texts that stop there; ``share`` of the texts end there, by a context of so many words.
     """
     finals = finals.filter("tok is not null")
@@ -394,8 +394,9 @@ def truncated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: s
     copies = finals.join(finals.groupBy(*same).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), same).filter("id > first").select(F.col("id").alias("copy"))
     copies = cut(copies)
     few = copies.count() <= COPIES
-    grams = cut(goings_on(docs.join(F.broadcast(copies) if few else copies, F.col(id) == F.col("copy"), "left_anti"), text, asked(finals)))
-    verdicts = judged(grams, finals)
+    without = lambda df, own: df.join(F.broadcast(copies) if few else copies, F.col(own) == F.col("copy"), "left_anti")
+    grams = cut(goings_on(without(docs, id), text, asked(finals)))
+    verdicts = judged(grams, without(finals, "id"))
     src = F.coalesce("source", F.lit(""))
     no = F.lit(False)
     seen = cut(finals.withColumn("s", src).join(verdicts, ["c4", "tok"], "left").withColumns({"verdict": F.coalesce("verdict", F.lit("unsure")), **{c: F.coalesce(c, no) for c in ("prefix", "broken_word", "recurs")}}))
