@@ -6,11 +6,13 @@ of the text is the order of the unsigned numbers. Empty inputs give no rows unle
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
 from ..schema import TOKEN_FIELDS
+from . import rates
 
 SKETCH = 64
 SALTS = 32
@@ -21,6 +23,21 @@ def fingerprint(*columns: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])), 1, 16)
 
 
+def published_fingerprint(*columns: Column) -> Column:
+    """16 hexadecimal digits of the BLAKE2b (8 bytes) of the columns' text, joined by unit separators; nulls are ``None``.
+
+    For sketches that have to be compared with records already published under that digest, which the JVM does not have: it runs
+    in Python, on Arrow batches. New data take ``fingerprint``.
+    """
+    @F.pandas_udf("string")
+    def digest(text: pd.Series) -> pd.Series:
+        from hashlib import blake2b
+
+        return text.map(lambda t: blake2b(t.encode(), digest_size=8).hexdigest())
+
+    return digest(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("None")) for c in columns]))
+
+
 def bottom_k(rows: DataFrame, by: list[str], hash_: str, k: int = SKETCH) -> DataFrame:
     """The least k distinct hashes of each group as a sorted array ``sketch``; null hashes are left out.
 
@@ -40,8 +57,8 @@ def jaccard(a: Column, b: Column, k: int = SKETCH) -> Column:
     return F.coalesce(F.try_divide(both.cast("double"), F.size(least)), F.lit(0.0))
 
 
-def overlaps(sketches: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(day, machine_a, machine_b, jaccard) of machines of one day at least so alike, most alike first.
+def overlaps(sketches: DataFrame, threshold: float = 0.5, top: int | None = None) -> DataFrame:
+    """(day, machine_a, machine_b, jaccard) of machines of one day at least so alike; with ``top`` only the most alike, in order.
 
     Only machines that share a hash are compared: pairs come from the shared hashes.
     """
@@ -50,7 +67,8 @@ def overlaps(sketches: DataFrame, threshold: float = 0.5) -> DataFrame:
     pairs = x.join(y, ["day", "h"]).filter("machine_a < machine_b").select("day", "machine_a", "machine_b").distinct()
     s = lambda n: sketches.select("day", F.col("machine").alias(f"machine_{n}"), F.col("sketch").alias(n))
     j = pairs.join(s("a"), ["day", "machine_a"]).join(s("b"), ["day", "machine_b"])
-    return j.select("day", "machine_a", "machine_b", jaccard(F.col("a"), F.col("b")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    found = j.select("day", "machine_a", "machine_b", jaccard(F.col("a"), F.col("b")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return found.orderBy(F.desc("jaccard"), "day", "machine_a", "machine_b").limit(top) if top else found
 
 
 def rollup_long(ledger: DataFrame) -> DataFrame:
@@ -120,6 +138,64 @@ def map_breakdown(records: DataFrame, column: str) -> DataFrame:
     return e.groupBy("name").agg(F.count(F.lit(1)).alias("records"), *[F.coalesce(F.sum(f"t.{f}"), F.lit(0).cast("long")).alias(f) for f in TOKEN_FIELDS])
 
 
+def model_days(records: DataFrame) -> DataFrame:
+    """(machine, day, model, five fields, total) of the maps of models of daily records, null maps and values left out; null counts are 0."""
+    e = records.select("machine", F.col("date").alias("day"), F.explode("models").alias("model", "t")).filter("t is not null")
+    z = [F.coalesce(F.col(f"t.{f}"), F.lit(0).cast("long")).alias(f) for f in TOKEN_FIELDS]
+    return e.select("machine", "day", "model", *z).withColumn("total", sum((F.col(f) for f in TOKEN_FIELDS), F.lit(0).cast("long")))
+
+
+def priced(records: DataFrame, rates_: DataFrame, dated: DataFrame, default: tuple[int, int, int], free: Column | None = None, by_date: bool = True) -> DataFrame:
+    """``model_days`` with cost and cold (see ``rates.billed``), each day at the rate in force then, or all at the undated rates.
+
+    Records hold tokens only: a corrected rate corrects every day ever exported.
+    """
+    m = model_days(records)
+    keys = m.select("model", F.col("day") if by_date else F.lit(None).cast("string").alias("day")).distinct()
+    r = rates.resolved(keys, rates_, dated, default, free)
+    if by_date:
+        return rates.billed(m, r)
+    return rates.billed(m.withColumnRenamed("day", "_on").withColumn("day", F.lit("")), r.withColumn("day", F.lit(""))).withColumn("day", F.col("_on")).drop("_on")
+
+
+def spend(priced_days: DataFrame, *by: str) -> DataFrame:
+    """(by..., total, cache_read, cost), or one row; cost stays a decimal, ``rates.money`` turns it into currency."""
+    return priced_days.groupBy(*by).agg(F.coalesce(F.sum("total"), F.lit(0).cast("long")).alias("total"), F.coalesce(F.sum("cache_read"), F.lit(0).cast("long")).alias("cache_read"), F.coalesce(F.sum("cost"), F.lit(0).cast("decimal(38,0)")).alias("cost"))
+
+
+def machine_costs(records: DataFrame, priced_days: DataFrame) -> DataFrame:
+    """(machine, days, calls, total, cache_read, cost, top_model): what each machine's records say it cost; top_model is the dearest, ties to the greatest name."""
+    calls = records.groupBy("machine").agg(F.count_distinct("date").alias("days"), F.coalesce(F.sum("invocations"), F.lit(0).cast("long")).alias("calls"))
+    by_model = spend(priced_days, "machine", "model")
+    cost = by_model.groupBy("machine").agg(*[F.sum(c).alias(c) for c in ("total", "cache_read")], F.sum("cost").cast("decimal(38,0)").alias("cost"), F.max_by("model", F.struct("cost", "model")).alias("top_model"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,0)" if c == "cost" else "long").alias(c)
+    return calls.join(cost, "machine", "left").select("machine", "days", "calls", *[zero(c) for c in ("total", "cache_read", "cost")], "top_model")
+
+
+def cost_bars(costs: DataFrame, least_width: float = 0.6) -> DataFrame:
+    """(machine, cost, share_of_peak, width): bars against the dearest machine, none narrower than ``least_width`` percent."""
+    peak = costs.agg(F.max("cost").alias("peak"))
+    # one row beside one per machine
+    share = F.coalesce(F.try_divide(F.col("cost").cast("double"), F.col("peak").cast("double")), F.lit(0.0))
+    return costs.join(F.broadcast(peak), F.lit(True)).select("machine", "cost", share.alias("share_of_peak"), F.greatest(F.lit(least_width), share * 100).alias("width"))
+
+
+def flags(machine_costs_: DataFrame, freshness_: DataFrame, identical: DataFrame, confidence_: DataFrame, threshold: int = 0) -> DataFrame:
+    """(level, flag, subject, value): spend (the decimal of ``rates.billed``) at or over a threshold (0: none), a row per pair of machines with identical counts on a date, stale machines, a share not measured; else one ``ok``.
+
+    ``identical`` is (date, machine_a, machine_b, ...), ``confidence_`` one row (exact, estimated): no tokens at all, no flag.
+    """
+    row = lambda level, flag, subject, value: [F.lit(level).alias("level"), F.lit(flag).alias("flag"), subject.alias("subject"), value.cast("double").alias("value")]
+    none = F.lit("")
+    cost = machine_costs_.agg(F.sum("cost").alias("c")).filter((F.lit(threshold) > 0) & (F.col("c") >= F.lit(threshold))).select(*row("alert", "spend", none, rates.money(F.col("c"))))
+    twice = identical.groupBy("date", "machine_a", "machine_b").agg(F.count(F.lit(1)).alias("n")).select(*row("alert", "counted twice", F.concat_ws(" ", "date", "machine_a", "machine_b"), F.col("n")))
+    stale = freshness_.filter("stale").agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(*row("warn", "stale machines", none, F.col("n")))
+    unsure = confidence_.select((F.col("exact") / F.nullif(F.col("exact") + F.col("estimated"), F.lit(0))).alias("c")).filter("c < 0.999").select(*row("note", "estimated share", none, F.round(F.col("c"), 6)))
+    found = cost.unionByName(twice).unionByName(stale).unionByName(unsure)
+    ok = found.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(*row("ok", "nothing to report", none, F.lit(0)))
+    return found.unionByName(ok)
+
+
 def cohorts(records: DataFrame, reproducible: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
     """Counting versions: (counter, records, newest, current, stale). Current is the reproducible, then the most used, then the newest.
 
@@ -158,11 +234,11 @@ def identical_buckets(records: DataFrame) -> DataFrame:
     return second.groupBy("date", "model", *TOKEN_FIELDS, "machines", "machine_a").agg(F.min("machine").alias("machine_b"))
 
 
-def anomalies(daily: DataFrame, least_days: int = 7, threshold: float = 3.5, day: str = "day", value: str = "total") -> DataFrame:
+def anomalies(daily: DataFrame, least_days: int = 7, threshold: float = 3.5, day: str = "day", value: str = "total", top: int | None = None) -> DataFrame:
     """(day, value, z, ratio) of days whose log10(total + 1) has a modified z score of at least the threshold.
 
     z = 0.6745 (x - median) / MAD; where the MAD is 0, the mean absolute deviation over 0.7979 takes its
-    place. ``daily`` has one row a day. Fewer days than ``least_days``, or all alike: no rows.
+    place. ``daily`` has one row a day. Fewer days than ``least_days``, or all alike: no rows. With ``top`` only the farthest off, in order.
     """
     x = daily.select(day, value, F.log10(F.col(value) + F.lit(1.0)).alias("x"))
     m = x.agg(F.percentile("x", F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_days)
@@ -171,4 +247,7 @@ def anomalies(daily: DataFrame, least_days: int = 7, threshold: float = 3.5, day
     scale = F.when(F.col("mad") > 0, F.col("mad") / F.lit(0.6745)).otherwise(F.col("aad") / F.lit(0.7979))
     z = d.join(F.broadcast(s), F.lit(True)).withColumn("s", scale).filter("s > 0").withColumn("z", (F.col("x") - F.col("m")) / F.col("s"))
     typical = F.pow(F.lit(10.0), F.col("m")) - 1
-    return z.filter(F.abs("z") >= threshold).select(day, value, F.bround("z", 1).alias("z"), F.bround(F.try_divide(F.col(value).cast("double"), typical), 2).alias("ratio"))
+    z = z.filter(F.abs("z") >= threshold)
+    if top:
+        z = z.orderBy(F.desc(F.abs("z")), day).limit(top)
+    return z.select(day, value, F.bround("z", 1).alias("z"), F.bround(F.try_divide(F.col(value).cast("double"), typical), 2).alias("ratio"))

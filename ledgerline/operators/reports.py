@@ -128,6 +128,32 @@ def buckets(ledger: DataFrame, classes: Sequence[tuple[str, str]], other: str =
     return j.select("bucket", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("calls", "total")])
 
 
+def class_of(model: Column, classes: Sequence[tuple], other: Column) -> Column:
+    """The class of the first rule whose part occurs in the model's name; a rule is (part, class) or (part, rules), and rules that say nothing leave it to ``other``."""
+    out = other
+    for part, what in reversed(classes):
+        out = F.when(F.contains(F.lower(model), F.lit(part)), F.lit(what) if isinstance(what, str) else class_of(model, what, other)).otherwise(out)
+    return out
+
+
+def _names(classes: Sequence[tuple]) -> list[str]:
+    return [n for _, what in classes for n in ([what] if isinstance(what, str) else _names(what))]
+
+
+def class_costs(bill: DataFrame, classes: Sequence[tuple], by_rate: Sequence[tuple[int, str]] = (), other: str = "other") -> DataFrame:
+    """Calls, total and cost (a decimal) of classes, zeros too, over a bill by model (see ``rates.billed``).
+
+    Models that no name tells take the class of the first threshold that their input rate reaches; without any, ``other``.
+    """
+    rest = F.lit(other)
+    for least, name in reversed(by_rate):
+        rest = F.when(F.col("input") >= F.lit(least), F.lit(name)).otherwise(rest)
+    every = literal(bill.sparkSession, [(n,) for n in dict.fromkeys([*_names(classes), *(n for _, n in by_rate), other])], "bucket string")
+    sums = bill.groupBy(class_of(F.col("model"), classes, rest).alias("bucket")).agg(F.sum("calls").alias("calls"), F.sum("total").alias("total"), F.sum("cost").alias("cost"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,0)" if c == "cost" else "long").alias(c)
+    return every.join(sums, "bucket", "left").select("bucket", *[zero(c) for c in ("calls", "total", "cost")])
+
+
 def delta_text(now: Column, before: Column) -> Column:
     """Change in percent with its sign; ``new`` from nothing, ``-`` from nothing to nothing."""
     pct = F.round(F.try_divide((now - before) * 100.0, before), 1) + F.lit(0.0)

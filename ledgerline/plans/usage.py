@@ -152,11 +152,10 @@ _K2 = _STRIP.format(_K1)
 _K3 = _STRIP.format(_K2)
 
 
-def _billed_sql(by_day: bool) -> str:
-    day = "day" if by_day else "''"
-    return f"""{L}, rate(model, input, output, cached) AS (VALUES {_VALUES(RATES)}), dated(model, first_day, last_day, input, output, cached) AS (VALUES {_VALUES(DATED)}),
- sums AS (SELECT model, {day} AS day, count(*) AS calls, {SUMS} FROM l GROUP BY 1, 2),
- k AS (SELECT *, {_K0} AS k0, {_K1} AS k1, {_K2} AS k2, {_K3} AS k3 FROM sums),
+def rated_sql(by_day: bool, sums: str = "sums") -> str:
+    """CTEs rate, dated, k, r and bill over a CTE ``sums`` with model, day and the five fields."""
+    return f"""rate(model, input, output, cached) AS (VALUES {_VALUES(RATES)}), dated(model, first_day, last_day, input, output, cached) AS (VALUES {_VALUES(DATED)}),
+ k AS (SELECT *, {_K0} AS k0, {_K1} AS k1, {_K2} AS k2, {_K3} AS k3 FROM {sums}),
  r AS (SELECT k.*, ends_with(k0, ':free') OR ends_with(k0, '-free') AS fr, d.model IS NOT NULL AS is_dated, r0.model IS NOT NULL AS is_exact, coalesce(r1.model, r2.model, r3.model) IS NOT NULL AS is_family,
   {", ".join(f"CASE WHEN ends_with(k0, ':free') OR ends_with(k0, '-free') THEN 0 ELSE coalesce(d.{c}, r0.{c}, r1.{c}, r2.{c}, r3.{c}, {v}) END AS {c}" for c, v in zip(("input", "output", "cached"), DEFAULT))}
   FROM k LEFT JOIN dated d ON {str(by_day).lower()} AND d.model = k0 AND day >= d.first_day AND (d.last_day IS NULL OR day <= d.last_day)
@@ -166,6 +165,11 @@ def _billed_sql(by_day: bool) -> str:
   CAST(input_tokens + cache_creation + cache_read AS DECIMAL(38,0)) * 100 * input + CAST(output_tokens + reasoning AS DECIMAL(38,0)) * 100 * output AS cold FROM r)"""
 
 
+def _billed_sql(by_day: bool) -> str:
+    day = "day" if by_day else "''"
+    return f"{L}, sums AS (SELECT model, {day} AS day, count(*) AS calls, {SUMS} FROM l GROUP BY 1, 2), {rated_sql(by_day)}"
+
+
 @query(f"WITH {_billed_sql(False)} SELECT model, calls, total, how, CAST(cost AS DOUBLE) / 1e16 AS cost, CAST(cold AS DOUBLE) / 1e16 AS cold FROM bill")
 def q_model_bill(spark, folder):
     return _billed(spark, folder, False).select("model", "calls", "total", "how", rates.money(F.col("cost")).alias("cost"), rates.money(F.col("cold")).alias("cold"))
@@ -186,6 +190,19 @@ def q_shadow_bill(spark, folder):
     )
 
 
+#: Nested classes, and classes by the input rate for models that no name tells; parameters.
+NESTED = (("sable", (("mini", "cheap"), ("large", "premium"))), ("flash", "cheap"), ("9b", "local"))
+BY_RATE = ((300_000_000, "premium"), (100_000_000, "standard"), (1, "cheap"), (0, "local"))
+_NESTED_CASE = "CASE WHEN contains(lower(model), 'sable') AND contains(lower(model), 'mini') THEN 'cheap' WHEN contains(lower(model), 'sable') AND contains(lower(model), 'large') THEN 'premium' WHEN NOT contains(lower(model), 'sable') AND contains(lower(model), 'flash') THEN 'cheap' WHEN NOT contains(lower(model), 'sable') AND NOT contains(lower(model), 'flash') AND contains(lower(model), '9b') THEN 'local' WHEN input >= 300000000 THEN 'premium' WHEN input >= 100000000 THEN 'standard' WHEN input >= 1 THEN 'cheap' WHEN input >= 0 THEN 'local' ELSE 'other' END"
+
+
+@query(f"""WITH {_billed_sql(False)}, b AS (SELECT {_NESTED_CASE} AS bucket, sum(calls) AS calls, sum(total) AS total, sum(cost) AS cost FROM bill GROUP BY 1)
+SELECT e.bucket, CAST(coalesce(calls, 0) AS BIGINT) AS calls, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(cost, 0) AS DOUBLE) / 1e16 AS cost FROM (SELECT unnest(['cheap', 'premium', 'local', 'standard', 'other']) AS bucket) e LEFT JOIN b ON e.bucket = b.bucket""")
+def q_class_costs(spark, folder):
+    """Classes by nested parts of the name, else by the model's rate, with their cost."""
+    return reports.class_costs(_billed(spark, folder, False), NESTED, BY_RATE).withColumn("cost", rates.money(F.col("cost")))
+
+
 # ---- periods, records, streaks
 
 

@@ -147,6 +147,88 @@ def test_freshness_double_counts_and_summary(spark):
     assert "&lt;x&gt;" in p and "http" not in p and 'class="days"' not in p
 
 
+def test_a_summary_with_rates_goes_by_cost(spark):
+    million = lambda out: Z | {"output_tokens": out * 10**6}
+    r = records(spark, [{"machine": "boxa", "models": {"m-5": million(1)}, "totals": million(1), "exact": million(1), "invocations": 3}, {"machine": "boxb", "models": {"m-5-high": million(2)}, "totals": million(2), "exact": million(2), "date": "2026-08-02"}, {"machine": "none", "models": None}])
+    rate = spark.createDataFrame([("m-5", 10**8, 10 * 10**8, 10**7)], "model string, input long, output long, cached long")
+    dated = spark.createDataFrame([("m-5", "2026-08-02", None, 10**8, 5 * 10**8, 10**7)], "model string, first_day string, last_day string, input long, output long, cached long")
+    price = lambda by_date: lambda x: fleet.priced(x, rate, dated, (1, 4, 1), by_date=by_date)
+    assert {x.machine: float(x.cost) / 1e16 for x in fleet.spend(price(False)(r), "machine").collect()} == {"boxa": 10.0, "boxb": 20.0}
+    now = datetime(2026, 8, 3, tzinfo=timezone.utc)
+    s = views.fleet_summary(r, now, price=price(True))
+    assert [(m["machine"], m["cost"], m["top_model"], m["calls"]) for m in s.machines] == [("boxb", 20.0, "m-5-high", 1), ("boxa", 10.0, "m-5", 3), ("none", 0.0, None, 1)]
+    assert s.busiest_day == ("2026-08-02", 20.0) and s.amount == 30.0
+    assert views.flags(s, 25)[0] == ("alert", "$30.00 reach the threshold of $25.00") and views.flags(s, 31)[0][0] != "alert"
+    p = views.page(s, threshold=25, local="boxa")
+    assert "$20.00" in p and 'class="days"' in p and "this machine" in p
+    assert views.fleet_token_usage(r, price=price(True)).filter("machine = 'boxb'").first().cost == 20.0
+    assert fleet.spend(price(True)(r.limit(0))).first().cost == 0 and fleet.machine_costs(r.limit(0), price(True)(r.limit(0))).count() == 0
+    bars = {x.machine: (x.share_of_peak, x.width) for x in fleet.cost_bars(fleet.machine_costs(r, price(True)(r))).collect()}
+    assert bars == {"boxb": (1.0, 100.0), "boxa": (0.5, 50.0), "none": (0.0, 0.6)}
+
+
+def test_flags_as_rows(spark):
+    c = spark.createDataFrame([("a", 30), ("b", 12)], "machine string, cost long").withColumn("cost", F.col("cost").cast("decimal(38,0)"))
+    f = spark.createDataFrame([("a", False), ("b", True)], "machine string, stale boolean")
+    i = spark.createDataFrame([("d", "a", "b"), ("d", "a", "b")], "date string, machine_a string, machine_b string")
+    sure = lambda x, y: spark.createDataFrame([(x, y)], "exact long, estimated long")
+    got = lambda *a: sorted((r.level, r.flag, r.subject, r.value) for r in fleet.flags(*a).collect())
+    assert got(c, f, i, sure(1, 3), 42) == [("alert", "counted twice", "d a b", 2.0), ("alert", "spend", "", 42 / 1e16), ("note", "estimated share", "", 0.25), ("warn", "stale machines", "", 1.0)]
+    assert got(c, f.filter("not stale"), i.limit(0), sure(0, 0), 43) == [("ok", "nothing to report", "", 0.0)] == got(c, f.limit(0), i.limit(0), sure(None, None))
+
+
+def test_audits_stamps_and_labels(spark, tmp_path):
+    from ledgerline.operators import audit
+
+    d = spark.createDataFrame([("a", 1), ("a", None), ("b", 2)], "m string, v int")
+    assert {r.m: (r.n, r.there, r.score) for r in audit.scores(d, ["m"], {"there": F.col("v").isNotNull()}).collect()} == {"a": (2, 1, 0), "b": (1, 1, 1)}
+    for k, text in enumerate(['{"servers": {"x": {"p": 1}, "y": 2}}', "broken", '{"servers": {"y": 3}}', '{"servers": 5}']):
+        (tmp_path / f"{k}.json").write_text(text)
+    got = audit.merged_maps(spark, [str(tmp_path / f"{k}.json") for k in (0, 1, 2, 3, 9)], "servers")
+    assert {r.name: r.value for r in got.collect()} == {"x": '{"p":1}', "y": "3"}
+    audit.log(d, str(tmp_path / "log"))
+    audit.log(d, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 6
+
+    def one(x):
+        """Says one thing."""
+        return x + 1  # and that
+
+    def same(x):
+        return x + 1
+
+    def other(x):
+        return x + 2
+
+    same.__name__ = "one"
+    assert len(audit.counter_stamp(one)) == 12 and audit.counter_stamp(one, dirty=True) == audit.counter_stamp(one) + "+dirty" and audit.counter_stamp(one) != audit.counter_stamp(other)
+    assert views.thinned([str(k) for k in range(20)]) == [str(k) if k % 3 == 0 or k == 19 else "" for k in range(20)] and views.thinned([]) == []
+
+
+def test_digests_of_published_sketches_and_batches_of_texts(spark):
+    from hashlib import blake2b
+
+    d = spark.createDataFrame([("2026-08-01", None, 5)], "t string, m string, n long")
+    want = blake2b("2026-08-01\x1fNone\x1f5".encode(), digest_size=8).hexdigest()
+    assert d.select(fleet.published_fingerprint(F.col("t"), F.col("m"), F.col("n"))).first()[0] == want
+
+    def counts(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad")
+        return [len(t) for t in texts]
+
+    t = spark.createDataFrame([("ab",), ("bad",), (None,), ("",), ("abcd",)], "t string")
+    r = textstats.length_stats(t, "t", counter=textstats.batch_counter(counts, 2)).first()
+    assert (r.docs, r.nulls, r.tokens) == (5, 1, 6)
+
+
+def test_classes_nest_and_fall_back_to_rates(spark):
+    b = spark.createDataFrame([("X-Pro-mini", 5, 1, 10, 1), ("x-zzz", 5, 2, 20, 2), ("q", 300, 3, 30, 3), ("free", 0, 4, 40, 4)], "model string, input long, calls long, total long, cost long").withColumn("cost", F.col("cost").cast("decimal(38,0)"))
+    rules = (("x", (("mini", "small"), ("max", "big"))), ("never", "none"))
+    got = {r.bucket: (r.calls, r.total, int(r.cost)) for r in reports.class_costs(b, rules, ((100, "dear"), (1, "cheap"))).collect()}
+    assert got == {"small": (1, 10, 1), "big": (0, 0, 0), "none": (0, 0, 0), "dear": (3, 30, 3), "cheap": (2, 20, 2), "other": (4, 40, 4)}
+
+
 def test_text_report_and_tools(spark):
     l = reports.normalized(calls(spark, [{"input_tokens": 5, "timestamp": at(2)}, {"input_tokens": 7, "source": "Fleet:X", "timestamp": at(1)}]))
     text = views.text_report(l)
