@@ -141,13 +141,14 @@ def text_report(ledger: DataFrame, price: Callable[[DataFrame], DataFrame] | Non
     ``price`` turns sums by model and day (day null) into ``rates.billed`` rows.
     """
     by_model = reports.breakdown(ledger, "model")
+    label = reports.provider_label(F.col("source"))
     tables = {
         "BY PROVIDER": reports.provider_rollup(ledger).orderBy(F.col("provider") == "TOTAL", F.desc("total"), "provider"),
         "BY MODEL": by_model.select("model", "calls", "total").orderBy(F.desc("total"), "model"),
         "MEASURED": reports.exact_split(ledger),
         "CACHE HEALTH BY MODEL": reports.cache_health(ledger).orderBy(F.desc("total"), "model"),
-        "CACHE HEALTH BY SESSION": reports.session_health(ledger),
-        "LARGEST CALLS": reports.top_calls(ledger),
+        "CACHE HEALTH BY SESSION": reports.session_health(ledger).withColumn("source", label),
+        "LARGEST CALLS": reports.top_calls(ledger).withColumns({"at": F.timestamp_micros("at").cast("string"), "source": label}),
     }
     if classes:
         tables["CLASSES OF MODELS"] = reports.buckets(ledger, classes)

@@ -233,6 +233,13 @@ def test_text_report_and_tools(spark):
     l = reports.normalized(calls(spark, [{"input_tokens": 5, "timestamp": at(2)}, {"input_tokens": 7, "source": "Fleet:X", "timestamp": at(1)}]))
     text = views.text_report(l)
     assert "TOTAL" in text and "BY MODEL" in text and "Fleet" not in text
+    assert "LARGEST CALLS" in text and "CACHE HEALTH" in text and "BILL" not in text and "CROSS CHECK" not in text
+    rate = spark.createDataFrame([("m", 10**8, 10**9, 10**7)], "model string, input long, output long, cached long")
+    none = spark.createDataFrame([], "model string, first_day string, last_day string, input long, output long, cached long")
+    price = lambda sums: rates.billed(sums.drop("day").withColumn("day", F.lit("")), rates.resolved(sums.select("model", "day"), rate, none, (1, 1, 1)).withColumn("day", F.lit("")))
+    native = spark.createDataFrame([(2, 24)], "threads long, tokens long")
+    text = views.text_report(l, price, [("m", "all of m")], native)
+    assert "BILL" in text and "all of m" in text and "WITHOUT CACHES" in text and "CROSS CHECK" in text
     assert views.my_token_usage(l, "box", at(2), 1).count() == 2 and views.machine_token_usage(l, at(3), 1).first().total == 5
     for bad in (0, 3651, True, "7"):
         with pytest.raises(ValueError):
