@@ -1,8 +1,8 @@
 """Readers of raw agent logs into the invocation schema.
 
 Lines are read as text, so one bad line costs that line and no more; JSON is parsed on the JVM into
-VARIANT and every field is taken with a try, whatever its type. Logs of one session are read whole, as
-their line order counts; a table of many sessions is as parallel as it has files.
+VARIANT and every field is taken with a try, whatever its type. Files of lines are read split by split and
+their lines ordered by split and place; only files that are one JSON document are read whole.
 
 Defined cases: blank and malformed lines are skipped (for sessions, see there); a missing or empty usage
 has no row; counts that are missing or no integers are 0; an unreadable stamp is null and in no window.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
@@ -22,10 +22,30 @@ from ..schema import LEDGER
 _STAMPS = ("timestamp", "created_at", "startTime", "start_time")
 
 
-def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file, nth, line, v): every line with its place; v is its JSON or null."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("nth", "line"))
-    return whole.filter(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
+def placed_lines(spark: SparkSession, path: str, glob: str | None = None, keep: Column | None = None) -> DataFrame:
+    """(file, block, mid, line): every line; (file, block, mid) orders the lines of a file.
+
+    A file is read in as many blocks as it has splits, whatever its size. ``mid`` goes up by one per line within a block; it is
+    the same in every scan of the same files. ``keep`` is a condition on ``_metadata`` and drops whole files.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path, recursiveFileLookup=True, pathGlobFilter=glob)
+    raw = raw if keep is None else raw.filter(keep)
+    line = F.when(F.endswith("value", F.lit("\r")), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), line.alias("line"))
+
+
+def lines(spark: SparkSession, path: str, glob: str | None = None, keep: Column | None = None) -> DataFrame:
+    """(file, nth, line, v): every line that is not blank, with its number in the file from 0; v is its JSON or null.
+
+    Lines are numbered within blocks, and blocks by how many lines stand before them: one row per split, which is
+    no more than the driver holds to plan the scan, so it is broadcast.
+    """
+    raw = placed_lines(spark, path, glob, keep)
+    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", "first", before.alias("before"))
+    d = raw.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("before") + F.col("mid") - F.col("first")).cast("int").alias("nth"), "line")
+    return d.filter(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
 
 
 def text_of(v: Column | str, path: str) -> Column:
@@ -62,7 +82,7 @@ def transcripts(spark: SparkSession, path: str, lower=None, upper=None) -> DataF
 
     The window is applied before repeats are told.
     """
-    d = lines(spark, path, "*.jsonl")
+    d = placed_lines(spark, path, "*.jsonl").withColumn("v", F.try_parse_json("line"))
     usage = F.coalesce(*[F.when(is_object(F.try_variant_get("v", p, "variant")), F.try_variant_get("v", p, "variant")) for p in ("$.message.usage", "$.usage")])
     d = d.withColumn("at", stamp_of("v")).filter(_between(F.col("at"), lower, upper)).withColumn("u", usage).filter("u is not null")
     key = F.coalesce(*[F.nullif(text_of("v", f"$.{k}"), F.lit("")) for k in ("requestId", "request_id", "uuid")])
@@ -71,7 +91,7 @@ def transcripts(spark: SparkSession, path: str, lower=None, upper=None) -> DataF
         F.col("at").alias("timestamp"), F.lit("Transcripts").alias("source"), F.coalesce(*[F.nullif(text_of("v", p), F.lit("")) for p in ("$.message.model", "$.model")], F.lit("unknown")).alias("model"),
         long_of("u", "$.input_tokens").alias("input_tokens"), long_of("u", "$.output_tokens").alias("output_tokens"), long_of("u", "$.cache_creation_input_tokens").alias("cache_creation"), long_of("u", "$.cache_read_input_tokens").alias("cache_read"),
         long_of("u", "$.reasoning_tokens").alias("reasoning"), F.lit(True).alias("exact"), F.coalesce(F.nullif(text_of("v", "$.project_name"), F.lit("")), parent).alias("session_id"), F.col("file").alias("source_file"), key.alias("_key"),
-        F.concat(F.col("file"), F.lit("\x00"), F.lpad(F.col("nth").cast("string"), 12, "0")).alias("_order"),
+        F.struct("file", "block", "mid").alias("_order"),
     )
     return ordered.first_wins(rows, F.col("_key"), "_order").drop("_key", "_order")
 
@@ -106,7 +126,7 @@ def rollouts(spark: SparkSession, threads: DataFrame, path: str, lower=None, upp
 
     Cached input is part of the input there, and is taken out of it.
     """
-    d = lines(spark, path, "*.jsonl").filter((text_of("v", "$.type") == "event_msg") & (text_of("v", "$.payload.type") == "token_count"))
+    d = placed_lines(spark, path, "*.jsonl").withColumn("v", F.try_parse_json("line")).filter((text_of("v", "$.type") == "event_msg") & (text_of("v", "$.payload.type") == "token_count"))
     d = d.withColumn("u", F.try_variant_get("v", "$.payload.info.last_token_usage", "variant")).withColumn("at", stamp_of("v")).filter(is_object(F.col("u")) & _between(F.col("at"), lower, upper))
     t = threads.filter("rollout_path is not null").select(F.col("model").alias("_model"), F.regexp_replace("rollout_path", "^file:/*", "/").alias("_path"))
     j = d.join(t, F.regexp_replace(F.url_decode("file"), "^file:/*", "/") == F.col("_path"))
@@ -153,18 +173,18 @@ def sessions(spark: SparkSession, path: str, first_day: str | None = None, last_
     last values at the first place; messages are ordered by stamp, those without first, then by place.
     Columns: file, id, nth, at, role, text, thoughts (characters), model, tokens (input, output, cached, thoughts; null if not measured).
     """
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     named = F.regexp_extract(F.col("_metadata.file_name"), r"session-([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
+    keep = F.lit(True)
     if first_day:
-        raw = raw.filter((named == "") | (named >= F.date_sub(F.lit(first_day).cast("date"), 1).cast("string")))
+        keep &= (named == "") | (named >= F.date_sub(F.lit(first_day).cast("date"), 1).cast("string"))
     if last_day:
-        raw = raw.filter((named == "") | (named <= F.date_add(F.lit(last_day).cast("date"), 1).cast("string")))
-    whole = raw.select(F.col("_metadata.file_path").alias("file"), "value")
-    one = F.try_parse_json("value")
-    rows = F.transform(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.try_parse_json(x))
-    is_lines = F.endswith("file", F.lit(".jsonl"))
-    d = whole.select("file", F.when(is_lines, F.when(F.exists(rows, lambda x: x.isNull()), None).otherwise(rows)).otherwise(F.try_variant_get(one, "$.messages", "array<variant>")).alias("m"))
-    d = d.select("file", F.posexplode("m").alias("nth", "v")).withColumn("id", F.nullif(text_of("v", "$.id"), F.lit("")))
+        keep &= (named == "") | (named <= F.date_add(F.lit(last_day).cast("date"), 1).cast("string"))
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").filter(keep).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    d = whole.select("file", F.posexplode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("nth", "v"))
+    one_a_line = lines(spark, path, "*.jsonl", keep)
+    # a few names of files
+    bad = one_a_line.filter("v is null").select("file").distinct()
+    d = d.unionByName(one_a_line.join(bad, "file", "left_anti").select("file", "nth", "v")).withColumn("id", F.nullif(text_of("v", "$.id"), F.lit("")))
     named = d.filter("id is not null")
     last = named.groupBy("file", "id").agg(F.min("nth").alias("nth"), F.max_by(F.to_json("v"), "nth").alias("j")).select("file", "id", "nth", F.parse_json("j").alias("v"))
     m = last.unionByName(d.filter("id is null").select("file", "id", "nth", "v"))
@@ -213,7 +233,7 @@ def chosen_model(text: Column, known: Sequence[tuple[str, str]] = ()) -> Column:
     return out
 
 
-def steps(spark: SparkSession, paths: list[str], live: DataFrame | None = None, known: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def steps(spark: SparkSession, paths: list[str], live: DataFrame | None = None, known: Sequence[tuple[str, str]] = (), glob: str = "transcript.jsonl") -> DataFrame:
     """Steps of agent transcripts (``transcript.jsonl`` in a folder per conversation), the first of several folders winning.
 
     Columns: conversation, nth, at, source, type, chars (content, thinking and tool calls as JSON), chosen (a model
@@ -221,7 +241,7 @@ def steps(spark: SparkSession, paths: list[str], live: DataFrame | None = None,
     """
     out = None
     for rank, p in enumerate(paths):
-        d = lines(spark, p, "transcript.jsonl").select(F.lit(rank).alias("rank"), F.url_decode(F.element_at(F.split("file", "/"), -2)).alias("conversation"), "nth", "v")
+        d = lines(spark, p, glob).select(F.lit(rank).alias("rank"), F.url_decode(F.element_at(F.split("file", "/"), -2)).alias("conversation"), "nth", "v")
         out = d if out is None else out.unionByName(d)
     size = lambda p: F.coalesce(F.length(text_of("v", p)), F.length(F.to_json(F.try_variant_get("v", p, "variant"))), F.lit(0))
     d = out.filter("v is not null").select("rank", "conversation", "nth", stamp_of("v").alias("at"), text_of("v", "$.source").alias("source"), text_of("v", "$.type").alias("type"), (size("$.content") + size("$.thinking") + size("$.tool_calls")).cast("long").alias("chars"), chosen_model(text_of("v", "$.content"), known).alias("chosen"))
@@ -267,4 +287,4 @@ def append(rows: DataFrame, path: str) -> None:
     kept.select(*cols).write.mode("append").json(path)
 
 
-__all__ = ["append", "chosen_model", "content_text", "documents", "last_usage", "ledger", "ledger_invocations", "lines", "native_total", "resolved_model", "rollouts", "session_calls", "sessions", "snapshots", "step_calls", "steps", "transcripts"]
+__all__ = ["append", "chosen_model", "content_text", "documents", "last_usage", "ledger", "ledger_invocations", "lines", "native_total", "placed_lines", "resolved_model", "rollouts", "session_calls", "sessions", "snapshots", "step_calls", "steps", "transcripts"]

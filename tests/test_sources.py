@@ -27,6 +27,21 @@ def test_transcripts_count_each_request_once(spark, tmp_path):
     assert sorted(r.model for r in got) == ["m", "m", "m", "unknown"]
 
 
+def test_lines_keep_their_numbers_in_any_split(spark, tmp_path):
+    texts = {f: [json.dumps({"n": k}) if k % 5 else "" for k in range(n)] for f, n in (("a", 700), ("b", 3), ("c", 0), ("d", 1500))}
+    for f, ls in texts.items():
+        (tmp_path / f"{f}.jsonl").write_bytes(("\r\n" if f == "b" else "\n").join(ls).encode() + (b"\n" if f == "a" else b""))
+    want = {(f, k, k) for f, ls in texts.items() for k, x in enumerate(ls) if x}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "2k", "777"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            d = logs.lines(spark, str(tmp_path), "*.jsonl").select(F.regexp_extract("file", "([a-d])[.]jsonl$", 1).alias("f"), "nth", logs.long_of("v", "$.n").alias("n"))
+            assert {tuple(r) for r in d.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_snapshots_take_the_first_name_that_has_a_count(spark, tmp_path):
     put(tmp_path / "s1.json", {"generatorMetadata": [{"chatModel": {"model": "models/MODEL_PLACEHOLDER_M18", "usage": {"inputTokens": "7", "output_tokens": 3, "thinkingOutputTokens": 0, "reasoning": 2}, "chatStartMetadata": {"createdAt": "2026-08-01T00:00:00Z"}}}, {"chatModel": {"usage": {}}}]})
     put(tmp_path / "bad.json", "{")
