@@ -167,6 +167,17 @@ def p4_schema(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.inferred(_layouts(spark, folder))
 
 
+P4_SCHEMA_SQL = r"""WITH RECURSIVE f AS (SELECT file_id, received_at, CAST(body AS JSON) AS j FROM daily_files WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+ w(file_id, received_at, path, v, listed) AS (SELECT file_id, received_at, '', j, false FROM f
+  UNION ALL SELECT file_id, received_at, CASE WHEN is_map THEN path || '.*' WHEN path = '' THEN key ELSE path || '.' || key END, json_extract(v, '$."' || replace(key, '"', '\"') || '"'), NOT is_map
+  FROM (SELECT *, unnest(json_keys(v)) AS key FROM (SELECT *, path <> '' AND listed AND len(json_keys(v)) > 0 AND len(list_filter(json_keys(v), lambda k: json_type(json_extract(v, '$."' || replace(k, '"', '\"') || '"')) <> 'OBJECT')) = 0 AS is_map FROM w WHERE json_type(v) = 'OBJECT')) x),
+ k AS (SELECT file_id, received_at, path, CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'number' WHEN 'NULL' THEN 'null' ELSE 'integer' END AS kind FROM w WHERE listed),
+ t AS (SELECT file_id, received_at, path AS field, coalesce(nullif(array_to_string(list_sort(list(DISTINCT kind) FILTER (kind <> 'null')), '|'), ''), 'null') AS type FROM k GROUP BY ALL),
+ n AS (SELECT field, type, count(*) AS files, arg_min(file_id, received_at) AS first_id FROM t GROUP BY 1, 2),
+ u AS (SELECT field, array_to_string(list_sort(list(DISTINCT type)), '|') AS alternatives FROM n WHERE type <> 'null' GROUP BY 1)
+SELECT n.*, coalesce(alternatives, 'null') AS alternatives FROM n LEFT JOIN u ON u.field = n.field"""
+
+
 #: Names and fields are as many as builds invented, not as files; beyond this many they are no names.
 MOST_NAMES = 100_000
 
@@ -227,4 +238,4 @@ message.usage.cache_read_input_tokens AS cache_read_input_tokens FROM transcript
 
 
 QUERIES = {"p2_found": p2_found, "p2_date_totals": p2_date_totals, "p2_closings": p2_closings, "p2_stream": p2_stream, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_schema": p4_schema, "p4_table": p4_table, "p5_found": p5_found, "p5_messages": p5_messages}
-SQL = {"p2_found": P2_FOUND_SQL, "p2_date_totals": P2_DATE_TOTALS_SQL, "p2_closings": P2_CLOSINGS_SQL, "p2_stream": P2_STREAM_SQL, "p3_found": P3_FOUND_SQL, "p3_rolling": P3_ROLLING_SQL, "p5_found": P5_FOUND_SQL, "p5_messages": P5_MESSAGES_SQL}
+SQL = {"p2_found": P2_FOUND_SQL, "p2_date_totals": P2_DATE_TOTALS_SQL, "p2_closings": P2_CLOSINGS_SQL, "p2_stream": P2_STREAM_SQL, "p3_found": P3_FOUND_SQL, "p3_rolling": P3_ROLLING_SQL, "p4_schema": P4_SCHEMA_SQL, "p5_found": P5_FOUND_SQL, "p5_messages": P5_MESSAGES_SQL}
