@@ -123,7 +123,8 @@ def overlaps(counts: DataFrame) -> DataFrame:
 
     The counts are a few numbers per group and pair; sizes are joined to them by group and set.
     """
-    size = counts.filter("a = b")
+    # as many rows as sets and groups: they are met in a shuffle, not broadcast
+    size = counts.filter("a = b").hint("merge")
     pairs = counts.filter("a < b").select("g", "a", "b", F.col("n").alias("shared"))
     full = pairs.join(size.select("g", "a", F.col("n").alias("size_a")), ["g", "a"]).join(size.select("g", F.col("b"), F.col("n").alias("size_b")), ["g", "b"])
     return full.select("g", "a", "b", "shared", "size_a", "size_b", (F.col("size_a") + F.col("size_b") - F.col("shared")).alias("union"))

@@ -67,7 +67,8 @@ _SIGNS = "\u3001-\u30ff\u3400-\u9fff\uff00-\uffef"
 _SPACE = "\\s\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000"
 _STOPS = "[.!?。！？]"
 _TOKEN = re.compile(f"(?![。！？])[{_SIGNS}][。！？]*|[。！？]+|[^{_SPACE}{_SIGNS}]+")
-_HEX = re.compile("(?<![a-z0-9])(?:0x)?(?=[0a-f]*0)(?=[0a-f]*[a-f])[0a-f]{6,}(?![a-z0-9])")
+_HEX = re.compile("[0a-f]{6,}+(?![a-z0-9])")
+_IN_WORDS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _CLOSING = "[)\\]\"'”»`*_]"
 #: Where a sentence is over: the next word begins a context of its own, as a line does.
 _OVER = re.compile(f"([.!?]{_CLOSING}{{0,2}})[{_SPACE}]+")
@@ -105,10 +106,20 @@ def body(text: str) -> str:
     return _unmarked(t).rstrip(_BLANKS)
 
 
+def _id_sign(m: re.Match) -> str:
+    """# for a hexadecimal id with letters and digits that is no part of a word, ``0x`` before it or not."""
+    run, text, i = m[0], m.string, m.start()
+    if "0" not in run or not run.strip("0"):
+        return run
+    if i and text[i - 1] in _IN_WORDS and not (text[i - 2 : i] == "0x" and (i < 3 or text[i - 3] not in _IN_WORDS)):
+        return run
+    return "#"
+
+
 def parts(text: str) -> list[str]:
     """The sentences and lines of a text, digits and ids made alike."""
     # digits are single bytes, and bytes are translated much faster than text
-    t = _HEX.sub("#", text.encode("utf-8", "replace").translate(_DIGITS).decode("utf-8"))
+    t = _HEX.sub(_id_sign, text.encode("utf-8", "replace").translate(_DIGITS).decode("utf-8")).replace("0x#", "#")
     t = _OVER.sub(r"\1\n", t)
     return [p for p in (t if t.isascii() else _OVER_SIGN.sub(r"\1\n", t)).split("\n") if p]
 
@@ -291,7 +302,7 @@ def goings_on(docs: DataFrame, text: str, filter_: bytes) -> DataFrame:
 def _nodes(grams: DataFrame, finals: DataFrame) -> DataFrame:
     """(words, c, tok, stops, below, stopped, goes, ends, ctx_goes, ctx_ends, ctx_stops): the node of each last token under each length of context."""
     key = ["words", "c", "tok"]
-    stops = _leveled(finals).groupBy(*key).agg(F.count(F.lit(1)).alias("stops"))
+    stops = _leveled(finals).groupBy(*key).agg(F.sum("texts").alias("stops"))
     depths = stops.groupBy("words", "c").agg(F.collect_set(F.length("tok")).alias("depths"), F.sum("stops").alias("ctx_stops"))
     g = grams.groupBy(*key).agg(F.sum("goes").alias("goes"), F.sum("ends").alias("ends"))
     # the bare trie and the beginnings of lines hold a large share of all words: their words are joined in parts
@@ -330,9 +341,10 @@ def judged(grams: DataFrame, finals: DataFrame) -> DataFrame:
     ``finals`` has each text once. ``prefix`` says that the trie alone decided, ``broken_word`` whether the token is an unknown prefix of words,
     ``recurs`` whether it is whole only by texts that stop there; ``share`` of the texts end there, by a context of so many words.
     """
-    finals = finals.filter("tok is not null")
+    # distinct endings are read once for each use, so they are written
+    finals = cut(finals.filter("tok is not null").groupBy("tok", *[f"c{w}" for w in LEVELS]).agg(F.count(F.lit(1)).alias("texts")))
     nodes = _nodes(grams, finals)
-    keys = _leveled(finals.select("tok", *[f"c{w}" for w in LEVELS]).distinct())
+    keys = _leveled(finals.drop("texts"))
     stats = ("stops", "below", "stopped", "goes", "ends", "ctx_goes", "ctx_ends", "ctx_stops")
     at = lambda w: F.max(F.when(F.col("words") == w, F.struct(*stats))).alias(f"l{w}")
     d = keys.join(nodes, ["words", "c", "tok"]).groupBy("c4", "tok").agg(*[at(w) for w in LEVELS])

@@ -175,4 +175,5 @@ def test_marks_and_parts():
     assert body("so it was merged... (31 more)") == "so it was merged" and body("a b\n[+12 chars] ") == "a b" and body("a b [output cut]") == "a b" and body("a b\n<omitted>") == "a b"
     assert body("a " * 500 + "b\n[" + "very " * 100 + "long text omitted]") == ("a " * 500 + "b") and body("a (see b) c … (+1,204 chars cut (off)") == "a (see b) c" and body("wait....") == "wait" and body("x [1] > y") == "x [1] > y"
     assert body("[truncated] is what it prints") == "[truncated] is what it prints" and body(" \n") == ""
+    assert truncation.parts("req_1b2c3d4e at 0xdeadbeef12, faceb00k facade 1234567 deadbeef0g 0abcdef") == ["req_# at #, faceb00k facade 0000000 deadbeef0g #"]
     assert truncation.parts("One. (Two.) 3.14 is\nit. これは。次") == ["One.", "(Two.)", "0.00 is", "it.", "これは。", "次"]
