@@ -29,6 +29,7 @@ import re
 import sys
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import repeat
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -428,11 +429,36 @@ def _as_map(v):
     return None
 
 
-def consistent(files: DataFrame, id: str, source: str, received: str, body: str, fields: list[tuple[str, str]], names: dict[str, str]) -> DataFrame:
+def _siblings(names: dict[str, str]) -> dict[str, str]:
+    """What a name below one object says holds below its siblings, if it says the same everywhere: last name to last name."""
+    says: dict[str, set] = {}
+    for old, new in names.items():
+        if "." in old:
+            says.setdefault(old.rpartition(".")[2], set()).add(new.rpartition(".")[2])
+    return {k: min(v) for k, v in says.items() if len(v) == 1}
+
+
+def named_files(files: DataFrame, id: str, reduced_files: DataFrame, names: DataFrame) -> DataFrame:
+    """``files`` with ``_names`` and ``_alike``: the names (path, canonical) that concern a file's own fields, and those of siblings.
+
+    For more names than a worker should hold: they meet the layouts, which are few, and files by their layout's digest.
+    """
+    last = lambda p: F.substring_index(p, ".", -1)
+    paths = _layouts(reduced_files).select("raw", F.explode("tags").alias("tag")).join(fused(reduced_files).select("tag", "path"), "tag").select("raw", "path").distinct()
+    says = names.filter("path like '%.%'").groupBy(last("path").alias("last")).agg(F.min(last("canonical")).alias("x"), F.max(last("canonical")).alias("y")).filter("x = y").select("last", F.col("x").alias("to"))
+    as_map = lambda k, v, name: F.map_from_entries(F.collect_list(F.struct(k, v))).alias(name)
+    own = paths.join(names, "path").groupBy("raw").agg(as_map("path", "canonical", "_names"))
+    near = paths.select("raw", last("path").alias("last")).distinct().join(says, "last").groupBy("raw").agg(as_map("last", "to", "_alike"))
+    by_file = _files(reduced_files).select(F.col("id").alias("_file"), "raw").join(own, "raw", "left").join(near, "raw", "left").drop("raw").dropDuplicates(["_file"])
+    none = F.create_map().cast("map<string,string>")
+    return files.join(by_file, files[id].cast("long") == by_file["_file"]).drop("_file").withColumns({c: F.coalesce(c, none) for c in ("_names", "_alike")})
+
+
+def consistent(files: DataFrame, id: str, source: str, received: str, body: str, fields: list[tuple[str, str]], names: dict[str, str] | None) -> DataFrame:
     """Every readable file as one row of one schema: id, source, received, a column per field, ``branches``.
 
     ``fields`` are dotted paths with their types, as ``read`` gives them: top-level scalars, arrays, objects of integers, and
-    maps (``m.*.x``) of those. ``names`` leads a path under another name to the wanted one. A value of another
+    maps (``m.*.x``) of those. ``names`` leads a path under another name to the wanted one; without it ``files`` come from ``named_files``. A value of another
     type, or an integer beyond 64 bits, takes the canonical conversion (digits to integers, 0/1 and words to booleans, seconds since 1970 to
     stamps, an object to what names it, separated text to arrays, lists of named objects to maps), or null where
     there is none; either way its JSON text is kept in ``branches``, a map of ``path:type``. So is every field, at any
@@ -450,12 +476,7 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
         struct = "struct<" + ",".join(f"`{x}`:long" for x in under[f]) + ">"
         return f"`{f}` map<string,{struct}>" if f in maps else f"`{f}` {struct}"
 
-    # what a name below one object says holds below its siblings, if it says the same everywhere
-    says: dict[str, set] = {}
-    for old, new in names.items():
-        if "." in old:
-            says.setdefault(old.rpartition(".")[2], set()).add(new.rpartition(".")[2])
-    alike = {k: min(v) for k, v in says.items() if len(v) == 1}
+    for_all = None if names is None else (names, _siblings(names))
 
     ddl_all = ", ".join(["_id long", "_source string", "_received timestamp", *(ddl(f, t) for f, t in tops), "branches map<string,string>"])
     schema = to_arrow_schema(StructType.fromDDL(ddl_all))
@@ -480,13 +501,13 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
             return _as_array(v)
         return _as_number(v)
 
-    def renamed(o: dict, at: str, label: str, branches: dict) -> dict:
+    def renamed(o: dict, at: str, label: str, branches: dict, told: tuple[dict, dict]) -> dict:
         """The object's fields by their wanted names; one that has the wanted name itself wins, the other is kept in branches."""
         out: dict = {}
         came: dict = {}
         for k, v in o.items():
             path = f"{at}.{_clean(k)}" if at else _clean(k)
-            new = names.get(path, alike.get(_clean(k), path) if at else path).rpartition(".")[2]
+            new = told[0].get(path, told[1].get(_clean(k), path) if at else path).rpartition(".")[2]
             if new == path.rpartition(".")[2] or new not in out:
                 if new in out:
                     keep(label + came[new], out[new], branches)
@@ -495,17 +516,17 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
                 keep(label + _clean(k), v, branches)
         return out
 
-    def tokens(o: dict, old: str, f: str, branches: dict, label: str) -> dict:
-        r = renamed(o, old, f"{label}.", branches)
+    def tokens(o: dict, old: str, f: str, branches: dict, label: str, told: tuple[dict, dict]) -> dict:
+        r = renamed(o, old, f"{label}.", branches, told)
         for k, v in r.items():
             if k not in under[f]:
                 keep(f"{label}.{_clean(k)}", v, branches)
         return {x: take(f"{label}.{x}", "integer", r.get(x), branches) for x in under[f]}
 
-    def row(o: dict) -> dict:
+    def row(o: dict, told: tuple[dict, dict]) -> dict:
         branches: dict = {}
-        back = {names[k]: k for k in names if "." not in k and k in o}
-        r = renamed(o, "", "", branches)
+        back = {told[0][k]: k for k in o if k in told[0] and "." not in k}
+        r = renamed(o, "", "", branches, told)
         out = {}
         for f, t in tops:
             v = r.get(f)
@@ -521,9 +542,9 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
                     for k, x in v.items():
                         if not isinstance(x, dict) or m[_clean(k)] is not x:
                             keep(f"{f}.{_clean(k)}", x, branches)
-                out[f] = None if m is None else [(k, tokens(x, f"{old}.*", f, branches, f"{f}.{k}")) for k, x in m.items()]
+                out[f] = None if m is None else [(k, tokens(x, f"{old}.*", f, branches, f"{f}.{k}", told)) for k, x in m.items()]
             else:
-                out[f] = tokens(v, old, f, branches, f) if isinstance(v, dict) else None
+                out[f] = tokens(v, old, f, branches, f, told) if isinstance(v, dict) else None
         wanted = {f for f, _ in tops}
         for k, v in r.items():
             if k not in wanted:
@@ -536,14 +557,15 @@ def consistent(files: DataFrame, id: str, source: str, received: str, body: str,
 
         for batch in batches:
             out = []
-            for i, s, r, b in zip(*(batch.column(n).to_pylist() for n in ("id", "source", "received", "body"))):
+            told = repeat(for_all) if for_all else ((dict(n), dict(a)) for n, a in zip(batch.column("_names").to_pylist(), batch.column("_alike").to_pylist()))
+            for i, s, r, b, t in zip(*(batch.column(n).to_pylist() for n in ("id", "source", "received", "body")), told):
                 o = read_object(b)
                 if o is not None:
                     try:
-                        out.append({"_id": i, "_source": s, "_received": r} | row(o))
+                        out.append({"_id": i, "_source": s, "_received": r} | row(o, t))
                     except RecursionError:  # nested too deeply to be followed
                         continue
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    narrow = files.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), F.col(received).alias("received"), F.col(body).alias("body"))
+    narrow = files.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), F.col(received).alias("received"), F.col(body).alias("body"), *([] if for_all else ["_names", "_alike"]))
     return narrow.mapInArrow(read, ddl_all)

@@ -178,19 +178,22 @@ P4_SCHEMA_SQL = r"""WITH RECURSIVE f AS (SELECT file_id, received_at, CAST(body
 SELECT n.*, coalesce(alternatives, 'null') AS alternatives FROM n LEFT JOIN u ON u.field = n.field"""
 
 
-#: Names and fields are as many as builds invented, not as files; beyond this many they are no names.
+#: So many names of fields go to every worker at most. Beyond that each file comes with the names that concern it.
 MOST_NAMES = 100_000
 
 
 def p4_table(spark: SparkSession, folder: str) -> DataFrame:
     """Every readable file as one row with the fields of daily_fields; values of other types also in branches."""
     files, wanted = table(spark, folder, "daily_files"), table(spark, folder, "daily_fields")
-    found = cut(schema_drift.changes(_layouts(spark, folder)))
-    pairs = schema_drift.aliases(found, wanted).limit(MOST_NAMES + 1).collect()
-    if len(pairs) > MOST_NAMES:
-        raise ValueError("so many names of fields are keys of a map that was not told as one")
-    fields = [(r.field, r.json_type) for r in wanted.collect()]
-    t = schema_drift.consistent(files, "file_id", "machine", "received_at", "body", fields, {r.path: r.canonical for r in pairs})
+    layouts = _layouts(spark, folder)
+    names_ = cut(schema_drift.aliases(cut(schema_drift.changes(layouts)), wanted))
+    fields = [(r.field, r.json_type) for r in wanted.collect()]  # the columns of the result
+    told = None
+    if names_.count() <= MOST_NAMES:
+        told = {r.path: r.canonical for r in names_.collect()}
+    else:
+        files = schema_drift.named_files(files, "file_id", layouts, names_)
+    t = schema_drift.consistent(files, "file_id", "machine", "received_at", "body", fields, told)
     return t.withColumnRenamed("_id", "file_id").drop("_source", "_received")
 
 

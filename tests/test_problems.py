@@ -265,3 +265,14 @@ def test_nulls_keep_the_type_across_files_and_absence(spark):
     # ids without a machine or a time: of a source of their own, and first
     late_ = df.withColumn("m", F.lit(None).cast("string")).withColumn("t", F.when(F.col("id") > 4, F.col("t")))
     assert values(schema_drift.changes(schema_drift.reduced(late_, "id", "m", "t", "body")), "id", "field", "change", "new_field") == got
+
+
+def test_more_names_than_a_worker_holds_give_the_same_table(spark, monkeypatch):
+    from ledgerline.plans import problems
+
+    tables = []
+    for most in (problems.MOST_NAMES, 0):
+        monkeypatch.setattr(problems, "MOST_NAMES", most)
+        rows = problems.p4_table(spark, "/root/testdata/sf0.001").collect()
+        tables.append({r.file_id: json.dumps(r.asDict(True), sort_keys=True) for r in rows})
+    assert tables[0] == tables[1] and len(tables[0]) > 20

@@ -315,6 +315,7 @@ def test_the_bench_times_every_query(monkeypatch, capsys):
 
     names = ["q_day_totals", "p4_table", "p8_sources", "q_daily_roundtrip"]
     monkeypatch.setattr(bench, "build", MagicMock())
+    monkeypatch.setattr(bench, "sweep", MagicMock())
     monkeypatch.setattr(bench.entry, "queries", lambda: {n: MagicMock() for n in names})
     bench.main([])
     assert set(json.loads(capsys.readouterr().out)["queries"]) == set(names)
