@@ -177,3 +177,17 @@ def test_marks_and_parts():
     assert body("[truncated] is what it prints") == "[truncated] is what it prints" and body(" \n") == ""
     assert truncation.parts("req_1b2c3d4e at 0xdeadbeef12, faceb00k facade 1234567 deadbeef0g 0abcdef") == ["req_# at #, faceb00k facade 0000000 deadbeef0g #"]
     assert truncation.parts("One. (Two.) 3.14 is\nit. これは。次") == ["One.", "(Two.)", "0.00 is", "it.", "これは。", "次"]
+
+
+def test_sources_and_rules_add_up_to_what_was_found(spark):
+    from ledgerline.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    found = {r.doc_id for r in queries.p8_found(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source").collect()
+    want = {}
+    for d in docs:
+        n, k = want.get(d.source, (0, 0))
+        want[d.source] = n + 1, k + (d.doc_id in found)
+    assert {r.source: (r.documents, r.truncated) for r in queries.p8_sources(spark, folder).collect()} == want
+    assert sum(r.documents for r in queries.p8_rules(spark, folder).collect()) == len(found) > 0
