@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..functions.formats import humanized
+from ..operators import fleet, ordered
 from ..schema import TOKEN_FIELDS
 from ..session import fresh_folder, table
-from ..sources import logs
+from ..sources import dailies, logs
 from .problems import stamp_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,14 +42,14 @@ def _log(rows: DataFrame, spark: SparkSession, *order: str) -> str:
     return out
 
 
-def _renamed(spark: SparkSession, folder: str) -> None:
-    """Spark names JSON files ``.json``; logs of lines are ``.jsonl``."""
+def _renamed(spark: SparkSession, folder: str, ending: str = ".json") -> None:
+    """Spark names files ``.json`` or ``.txt``; logs of lines are ``.jsonl``."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     for f in fs.listStatus(path(folder)):
         name = f.getPath().getName()
-        if name.endswith(".json"):
-            fs.rename(f.getPath(), path(folder, name + "l"))
+        if name.endswith(ending):
+            fs.rename(f.getPath(), path(folder, name.removesuffix(ending) + ".jsonl"))
 
 
 _READ = f"""e AS (SELECT row_id, coalesce(nullif(requestId, ''), nullif(uuid, '')) AS k, coalesce(nullif(message.model, ''), 'unknown') AS model, CAST({stamp_sql('"timestamp"')} AS DATE) AS d,
@@ -97,3 +99,98 @@ def q_read_steps(spark, folder):
     d.repartitionByRange("machine", "doc_id").sortWithinPartitions("machine", "doc_id").write.partitionBy("machine").json(out)
     s = logs.steps(spark, [out], glob="*.json")
     return s.groupBy(F.substring_index("conversation", "=", -1).alias("machine")).agg(F.count(F.lit(1)).alias("steps"), F.sum("chars").alias("chars"))
+
+
+@query("""SELECT coalesce(role, '') AS role, count(*) AS messages, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM (SELECT text, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role FROM documents) GROUP BY 1""")
+def q_read_sessions(spark, folder):
+    """The documents as messages of chat sessions, one a line, in each of the shapes that content takes."""
+    text, n = F.coalesce("text", F.lit("")), F.col("doc_id") % 3
+    content = F.when(n == 0, F.to_json(F.struct(text.alias("x")))).when(n == 1, F.to_json(F.struct(F.struct(text.alias("text")).alias("x")))).otherwise(F.to_json(F.struct(F.array(F.struct(text.alias("text"))).alias("x"))))
+    kind = F.when(F.col("doc_id") % 2 == 0, "user").otherwise("gemini")
+    line = F.concat(F.lit('{"id":"m'), F.col("doc_id").cast("string"), F.lit('","type":"'), kind, F.lit('","content":'), F.expr("substring(c, 6, length(c) - 6)"), F.lit("}"))
+    out = fresh_folder(spark, "sessions")
+    table(spark, folder, "documents").withColumn("c", content).select(line.alias("value")).write.text(out)
+    _renamed(spark, out, ".txt")
+    m = logs.sessions(spark, out)
+    return m.groupBy("role").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("text").cast("long")).alias("chars"))
+
+
+@query(f"""SELECT CASE WHEN coalesce(model, '') = '' THEN 'unknown' ELSE model END AS model, count(DISTINCT strftime("timestamp" AT TIME ZONE 'UTC', '%Y-%m-%d')) AS calls, {', '.join(f'CAST(sum(coalesce({f}, 0)) AS BIGINT) AS {f}' for f in TOKEN_FIELDS)} FROM invocations WHERE "timestamp" IS NOT NULL GROUP BY 1""")
+def q_read_snapshots(spark, folder):
+    """Sums by model and day as saved answers of a service, a file per model with an entry per day."""
+    z = {f: F.sum(F.coalesce(f, F.lit(0))).alias(f) for f in TOKEN_FIELDS}
+    sums = table(spark, folder, "invocations").filter("timestamp is not null").groupBy(F.coalesce("model", F.lit("")).alias("model"), times.day_text(F.col("timestamp")).alias("day")).agg(*z.values())
+    usage = F.struct(F.col("input_tokens").alias("inputTokens"), F.col("output_tokens").alias("outputTokens"), F.col("cache_creation").alias("cacheWriteTokens"), F.col("cache_read").alias("cacheReadTokens"), F.col("reasoning").alias("thinkingTokens"))
+    chat = F.struct(F.when(F.col("model") != "", F.concat(F.lit("models/"), "model")).alias("model"), F.struct(F.concat("day", F.lit("T00:00:00Z")).alias("createdAt")).alias("chatStartMetadata"), usage.alias("usage"))
+    # as many entries to a file as days
+    files = sums.groupBy("model").agg(F.collect_list(F.struct(chat.alias("chatModel"))).alias("generatorMetadata"))
+    out = fresh_folder(spark, "snapshots")
+    files.withColumn("m", F.col("model")).select("m", "generatorMetadata").repartition("m").write.partitionBy("m").json(out)
+    return _summed(logs.snapshots(spark, out), "model")
+
+
+@query("SELECT count(*) AS docs, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, count(*) FILTER (coalesce(text, '') = '') AS empty FROM documents")
+def q_read_documents(spark, folder):
+    """The documents as JSON lines; a line without the field is an empty text."""
+    out = fresh_folder(spark, "documents")
+    # an object without fields would be left out as a line
+    table(spark, folder, "documents").select("doc_id", "text").write.json(out)
+    d = logs.documents(spark, out)
+    return d.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text").cast("long")).alias("chars"), F.count(F.when(F.col("text") == "", 1)).alias("empty"))
+
+
+_DAYS = """SELECT machine, count(*) AS records, CAST(sum(n) AS BIGINT) AS invocations FROM (SELECT machine, strftime("timestamp" AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n FROM invocations WHERE "timestamp" IS NOT NULL GROUP BY 1, 2) GROUP BY 1"""
+
+
+def _exported(spark, folder) -> str:
+    out = fresh_folder(spark, "dailies-export")
+    dailies.export(fleet.daily_records(table(spark, folder, "invocations")), out, counter="v1")
+    return out
+
+
+@query(_DAYS)
+def q_load_files(spark, folder):
+    """Exported records read as one file each."""
+    f = dailies.load_files(spark, f"{_exported(spark, folder)}/*/*/*.json")
+    # the folders of the export say machine and date
+    machine = F.url_decode(F.regexp_extract("file_path", "/machine=([^/]*)/", 1))
+    return f.groupBy(machine.alias("machine")).agg(F.count(F.lit(1)).alias("records"), F.sum("invocations").alias("invocations"))
+
+
+@query("""SELECT DISTINCT machine FROM invocations WHERE "timestamp" IS NOT NULL""")
+def q_known_machines(spark, folder):
+    return dailies.known_machines(spark, _exported(spark, folder))
+
+
+@query("""SELECT machine, max_by(CAST(input_tokens AS VARCHAR) || ' ' || CAST(output_tokens AS VARCHAR), row_id) AS usage FROM (SELECT row_id, machine, coalesce(message.usage.input_tokens, -1) AS input_tokens, coalesce(message.usage.output_tokens, -1) AS output_tokens FROM transcripts
+ WHERE coalesce(message.usage.input_tokens, message.usage.output_tokens, message.usage.cache_creation_input_tokens, message.usage.cache_read_input_tokens) IS NOT NULL) GROUP BY 1""")
+def q_last_usage(spark, folder):
+    """The usage in the last line that has any, by machine; lines that are no JSON lie between."""
+    t = table(spark, folder, "transcripts").select("machine", "row_id", F.coalesce(F.to_json(F.col("message")), F.lit("noise {")).alias("line"))
+    u = logs.last_usage(t, "machine", "line", "row_id").withColumn("u", F.try_parse_json("usage"))
+    n = lambda k: F.coalesce(F.try_variant_get("u", f"$.{k}", "bigint"), F.lit(-1)).cast("string")
+    return u.select("machine", F.concat_ws(" ", n("input_tokens"), n("output_tokens")).alias("usage"))
+
+
+@query("""WITH m AS (SELECT DISTINCT model FROM invocations), x AS (SELECT unnest([model, 'models/' || model, 'MODEL_PLACEHOLDER_' || model]) AS id FROM m)
+SELECT DISTINCT id, CASE WHEN coalesce(id, '') = '' THEN 'unknown' WHEN starts_with(id, 'MODEL_PLACEHOLDER_') THEN 'gemini-' || lower(split_part(id, '_', -1)) WHEN regexp_replace(id, '^models/', '') = 'sable-4-mini' THEN 'small' ELSE regexp_replace(id, '^models/', '') END AS model FROM x""")
+def q_resolved_models(spark, folder):
+    """Ids of models with prefixes, placeholders and one alias."""
+    m = table(spark, folder, "invocations").select("model").distinct()
+    ids = m.select(F.explode(F.array(F.col("model"), F.concat(F.lit("models/"), "model"), F.concat(F.lit("MODEL_PLACEHOLDER_"), "model"))).alias("id")).distinct()
+    return ids.select("id", logs.resolved_model(F.col("id"), {"sable-4-mini": "small"}).alias("model"))
+
+
+@query("""WITH x AS (SELECT model, coalesce(output_tokens, 0) AS o, coalesce(reasoning, 0) AS t FROM invocations)
+SELECT model, CAST(sum(CASE WHEN t > 0 AND t <= o THEN o - t ELSE o END) AS BIGINT) AS output, CAST(sum(CASE WHEN t > 0 AND t <= o THEN t ELSE 0 END) AS BIGINT) AS reasoning FROM x GROUP BY 1""")
+def q_split_thinking(spark, folder):
+    z = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    s = table(spark, folder, "invocations").select("model", ordered.split_thinking(z("output_tokens"), z("reasoning")).alias("s"))
+    return s.groupBy("model").agg(F.sum("s.output").alias("output"), F.sum("s.reasoning").alias("reasoning"))
+
+
+@query("""WITH x AS (SELECT model, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS n FROM invocations GROUP BY 1)
+SELECT model, n, CASE WHEN n >= 1000000000 THEN format('{:.2f}B', n / 1e9) WHEN n >= 1000000 THEN format('{:.2f}M', n / 1e6) WHEN n >= 1000 THEN format('{:.1f}K', n / 1e3) ELSE CAST(n AS VARCHAR) END AS text FROM x""")
+def q_humanized(spark, folder):
+    s = table(spark, folder, "invocations").groupBy("model").agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("n"))
+    return s.select("model", "n", humanized(F.col("n")).alias("text"))
