@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,29 @@ def text_table(columns: list[str], rows: list[tuple]) -> str:
     right = [all(isinstance(r[i], (int, float)) for r in rows) if rows else False for i in range(len(columns))]
     line = lambda r: "  ".join(x.rjust(w) if k else x.ljust(w) for x, w, k in zip(r, widths, right)).rstrip()
     return "\n".join([line(columns), *map(line, cells)])
+
+
+def parsed_tables(text: str) -> dict[str, list[dict[str, str]]]:
+    """The tables of a printed report by their titles, every cell as text: the way back from ``text_table``.
+
+    Cells are told by where their column stands, so empty ones and blanks inside a cell stay as they are. What is no title with a
+    line of columns below it is passed over.
+    """
+    out: dict[str, list[dict[str, str]]] = {}
+    for block in re.split(r"\n\s*\n", text.strip("\n")):
+        title, *lines = block.split("\n")
+        if not lines or not lines[0].strip():
+            continue
+        header, rows = lines[0], lines[1:]
+        wide = max(map(len, lines))
+        # between columns two blanks stand in every line
+        blank = [all(x[i : i + 1] in ("", " ") for x in lines) for i in range(wide)]
+        spans, start = [], 0
+        for i in range(wide + 1):
+            ends = i == wide or (i + 1 < wide and blank[i] and blank[i + 1] and not blank[i - 1] if i else False)
+            if ends:
+                spans.append((start, i))
+                start = i + 2
+        names = [header[a:b].strip() for a, b in spans]
+        out[title.strip()] = [{n: r[a:b].strip() for n, (a, b) in zip(names, spans)} for r in rows]
+    return out

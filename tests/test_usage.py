@@ -337,3 +337,13 @@ def test_inputs_of_few_splits_are_spread_and_others_left(spark, tmp_path):
         assert cut(six.filter("id < 0")).schema == six.schema
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_printed_report_is_read_back():
+    from ledgerline.functions.formats import parsed_tables, text_table
+
+    rows = [("box one", 16_654, None, True), ("b", 10_888_376_074, "x  y", False), ("", 1, "z", None)]
+    text = "\n\n".join(["FIRST\n" + text_table(["machine", "n", "what", "ok"], rows), "a remark alone", "NONE\n" + text_table(["a", "b"], [])])
+    got = parsed_tables(text)
+    assert list(got) == ["FIRST", "NONE"] and got["NONE"] == []
+    assert [list(r.values()) for r in got["FIRST"]] == [["box one", "16,654", "", "True"], ["b", "10,888,376,074", "x  y", "False"], ["", "1", "z", ""]]
