@@ -193,25 +193,25 @@ _MODEL_DAYS = f"""{_SPELLED}, e AS (SELECT machine, date AS day, unnest(map_entr
  sums AS (SELECT machine, day, e.key AS model, {", ".join(f"coalesce(e.value.{f}, 0) AS {f}" for f in TOKEN_FIELDS)}, {" + ".join(f"coalesce(e.value.{f}, 0)" for f in TOKEN_FIELDS)} AS total FROM e WHERE e.value IS NOT NULL)"""
 _FLAT_BILL = f"{_MODEL_DAYS}, {usage.rated_sql(False)}"
 _DATED_BILL = f"{_MODEL_DAYS}, {usage.rated_sql(True)}"
-_SPEND = "CAST(sum(total) AS BIGINT) AS total, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cost) AS DOUBLE) / 1e16 AS cost"
+_SPEND = "CAST(sum(total) AS BIGINT) AS total, CAST(sum(cache_read) AS BIGINT) AS cache_read, round(CAST(sum(cost) AS DOUBLE) / 1e16, 10) AS cost"
 
 
 @query(f"WITH {_FLAT_BILL} SELECT machine, {_SPEND} FROM bill GROUP BY 1")
 def q_spend_machines(spark, folder):
     """Spend by machine at undated rates."""
-    return fleet.spend(_priced(_spelled(spark, folder), False), "machine").withColumn("cost", rates.money(F.col("cost")))
+    return fleet.spend(_priced(_spelled(spark, folder), False), "machine").withColumn("cost", F.round(rates.money(F.col("cost")), 10))
 
 
 @query(f"WITH {_FLAT_BILL} SELECT model, {_SPEND} FROM bill GROUP BY 1")
 def q_spend_models(spark, folder):
     """Spend by model at undated rates."""
-    return fleet.spend(_priced(_spelled(spark, folder), False), "model").withColumn("cost", rates.money(F.col("cost")))
+    return fleet.spend(_priced(_spelled(spark, folder), False), "model").withColumn("cost", F.round(rates.money(F.col("cost")), 10))
 
 
 @query(f"WITH {_DATED_BILL} SELECT day, model, {_SPEND} FROM bill GROUP BY 1, 2")
 def q_spend_model_days(spark, folder):
     """Spend by day and model, each day at the rate in force then."""
-    return fleet.spend(_priced(_spelled(spark, folder), True), "day", "model").withColumn("cost", rates.money(F.col("cost")))
+    return fleet.spend(_priced(_spelled(spark, folder), True), "day", "model").withColumn("cost", F.round(rates.money(F.col("cost")), 10))
 
 
 _MACHINE_COSTS = f"""{_DATED_BILL}, c AS (SELECT machine, count(DISTINCT date) AS days, CAST(coalesce(sum(invocations), 0) AS BIGINT) AS calls FROM w GROUP BY 1),
@@ -220,41 +220,41 @@ _MACHINE_COSTS = f"""{_DATED_BILL}, c AS (SELECT machine, count(DISTINCT date) A
  costs AS (SELECT c.machine, days, calls, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(cache_read, 0) AS BIGINT) AS cache_read, coalesce(cost, 0) AS cost, top_model FROM c LEFT JOIN b ON b.machine = c.machine LEFT JOIN top ON top.machine = c.machine)"""
 
 
-@query(f"WITH {_MACHINE_COSTS} SELECT * REPLACE (CAST(cost AS DOUBLE) / 1e16 AS cost) FROM costs")
+@query(f"WITH {_MACHINE_COSTS} SELECT * REPLACE (round(CAST(cost AS DOUBLE) / 1e16, 10) AS cost) FROM costs")
 def q_machine_costs(spark, folder):
     """What each machine cost, with its dearest model."""
     w = _spelled(spark, folder)
-    return fleet.machine_costs(w, _priced(w, True)).withColumn("cost", rates.money(F.col("cost")))
+    return fleet.machine_costs(w, _priced(w, True)).withColumn("cost", F.round(rates.money(F.col("cost")), 10))
 
 
-@query(f"WITH {_MACHINE_COSTS} SELECT machine, CAST(cost AS DOUBLE) / 1e16 AS cost, round(coalesce(CAST(cost AS DOUBLE) / nullif(CAST(max(cost) OVER () AS DOUBLE), 0), 0), 6) AS share_of_peak, round(greatest(0.6, coalesce(CAST(cost AS DOUBLE) / nullif(CAST(max(cost) OVER () AS DOUBLE), 0), 0) * 100), 4) AS width FROM costs")
+@query(f"WITH {_MACHINE_COSTS} SELECT machine, round(CAST(cost AS DOUBLE) / 1e16, 10) AS cost, round(coalesce(CAST(cost AS DOUBLE) / nullif(CAST(max(cost) OVER () AS DOUBLE), 0), 0), 6) AS share_of_peak, round(greatest(0.6, coalesce(CAST(cost AS DOUBLE) / nullif(CAST(max(cost) OVER () AS DOUBLE), 0), 0) * 100), 4) AS width FROM costs")
 def q_cost_bars(spark, folder):
     w = _spelled(spark, folder)
-    return fleet.cost_bars(fleet.machine_costs(w, _priced(w, True))).select("machine", rates.money(F.col("cost")).alias("cost"), F.round("share_of_peak", 6).alias("share_of_peak"), F.round("width", 4).alias("width"))
+    return fleet.cost_bars(fleet.machine_costs(w, _priced(w, True))).select("machine", F.round(rates.money(F.col("cost")), 10).alias("cost"), F.round("share_of_peak", 6).alias("share_of_peak"), F.round("width", 4).alias("width"))
 
 
 @query(f"""WITH {_DATED_BILL}, d AS (SELECT machine, day, sum(cost) AS cost FROM bill GROUP BY 1, 2), t AS (SELECT unnest(generate_series(min(CAST(day AS DATE)), max(CAST(day AS DATE)), INTERVAL 1 DAY)) AS t FROM d)
-SELECT m.machine, strftime(t, '%Y-%m-%d') AS day, CAST(coalesce(d.cost, 0) AS DOUBLE) / 1e16 AS cost FROM (SELECT DISTINCT machine FROM d) m CROSS JOIN t LEFT JOIN d ON d.machine = m.machine AND d.day = strftime(t, '%Y-%m-%d')""")
+SELECT m.machine, strftime(t, '%Y-%m-%d') AS day, round(CAST(coalesce(d.cost, 0) AS DOUBLE) / 1e16, 10) AS cost FROM (SELECT DISTINCT machine FROM d) m CROSS JOIN t LEFT JOIN d ON d.machine = m.machine AND d.day = strftime(t, '%Y-%m-%d')""")
 def q_machine_day_costs(spark, folder):
     """The matrix of machines and days, days without a record included."""
     d = fleet.spend(_priced(_spelled(spark, folder), True), "machine", "day").select("machine", "day", F.col("cost").cast("decimal(38,0)").alias("cost"))
-    return reports.spine(d, "machine", "day", "cost").select("machine", "day", rates.money(F.col("cost")).alias("cost"))
+    return reports.spine(d, "machine", "day", "cost").select("machine", "day", F.round(rates.money(F.col("cost")), 10).alias("cost"))
 
 
 @query(f"""WITH {_DATED_BILL}, d AS (SELECT day, sum(cost) AS cost FROM bill GROUP BY 1), sh AS (SELECT sum(cache_read) / sum(total) AS share FROM bill)
-SELECT day, CAST(cost AS DOUBLE) / 1e16 AS cost, round(share, 6) AS cache_share FROM d, sh ORDER BY cost DESC, day LIMIT 1""")
+SELECT day, round(CAST(cost AS DOUBLE) / 1e16, 10) AS cost, round(share, 6) AS cache_share FROM d, sh ORDER BY cost DESC, day LIMIT 1""")
 def q_busiest_day(spark, folder):
     """The dearest day (the earliest of equals) and the share of tokens read from caches."""
     p = _priced(_spelled(spark, folder), True)
     best = fleet.spend(p, "day").agg(F.max_by(F.struct("day", "cost"), F.struct("cost", -F.unix_date(F.col("day").cast("date")))).alias("b"))
     share = fleet.spend(p).select(F.try_divide("cache_read", "total").alias("share"))
-    return best.join(F.broadcast(share), F.lit(True)).filter("b is not null").select("b.day", rates.money(F.col("b.cost")).alias("cost"), F.round("share", 6).alias("cache_share"))
+    return best.join(F.broadcast(share), F.lit(True)).filter("b is not null").select("b.day", F.round(rates.money(F.col("b.cost")), 10).alias("cost"), F.round("share", 6).alias("cache_share"))
 
 
 @query(f"""WITH {_MACHINE_COSTS}, f AS (SELECT machine, max({stamp_sql("generated_at")}) AS seen FROM w GROUP BY 1), st AS (SELECT count(*) AS n FROM f WHERE coalesce((epoch_us(TIMESTAMP '2026-01-30 00:00:00') - epoch_us(seen)) / 3.6e9 > 48, true)),
  x AS (SELECT DISTINCT machine, day, model, {", ".join(TOKEN_FIELDS)} FROM sums WHERE {" OR ".join(f"{f} <> 0" for f in TOKEN_FIELDS)}), g AS (SELECT day, model, min(machine) AS a, list_sort(list(machine))[2] AS b FROM x GROUP BY day, model, {", ".join(TOKEN_FIELDS)} HAVING count(*) > 1),
  cf AS (SELECT sum({_TOTAL("exact")}) AS ex, sum({_TOTAL("estimated")}) AS es FROM w),
- found AS (SELECT 'alert' AS level, 'spend' AS flag, '' AS subject, CAST(sum(cost) AS DOUBLE) / 1e16 AS value FROM costs HAVING sum(cost) >= 1000000000000000
+ found AS (SELECT 'alert' AS level, 'spend' AS flag, '' AS subject, round(CAST(sum(cost) AS DOUBLE) / 1e16, 10) AS value FROM costs HAVING sum(cost) >= 1000000000000000
  UNION ALL SELECT 'alert', 'counted twice', day || ' ' || a || ' ' || b, CAST(count(*) AS DOUBLE) FROM g GROUP BY day, a, b
  UNION ALL SELECT 'warn', 'stale machines', '', CAST(n AS DOUBLE) FROM st WHERE n > 0 UNION ALL SELECT 'note', 'estimated share', '', round(ex / (ex + es), 6) FROM cf WHERE ex / nullif(ex + es, 0) < 0.999)
 SELECT * FROM found UNION ALL SELECT 'ok', 'nothing to report', '', 0.0 WHERE (SELECT count(*) FROM found) = 0""")
@@ -263,7 +263,7 @@ def q_flags(spark, folder):
     w = _spelled(spark, folder)
     s = lambda c: sum((F.coalesce(F.col(f"{c}.{f}"), F.lit(0)) for f in TOKEN_FIELDS), F.lit(0).cast("long"))
     measured = w.agg(F.sum(s("exact")).alias("exact"), F.sum(s("estimated")).alias("estimated"))
-    return fleet.flags(fleet.machine_costs(w, _priced(w, True)), fleet.freshness(w, F.lit("2026-01-30T00:00:00Z").cast("timestamp")), fleet.identical_buckets(w), measured, 10**15)
+    return fleet.flags(fleet.machine_costs(w, _priced(w, True)), fleet.freshness(w, F.lit("2026-01-30T00:00:00Z").cast("timestamp")), fleet.identical_buckets(w), measured, 10**15).withColumn("value", F.round("value", 10))
 
 
 @query(f"""WITH {_SK}, p AS (SELECT a.day, a.machine AS machine_a, b.machine AS machine_b, a.sk AS x, b.sk AS y, list_slice(list_sort(list_distinct(list_concat(a.sk, b.sk))), 1, 64) AS u FROM s a JOIN s b ON a.day = b.day AND a.machine < b.machine)

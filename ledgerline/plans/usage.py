@@ -197,10 +197,10 @@ _NESTED_CASE = "CASE WHEN contains(lower(model), 'sable') AND contains(lower(mod
 
 
 @query(f"""WITH {_billed_sql(False)}, b AS (SELECT {_NESTED_CASE} AS bucket, sum(calls) AS calls, sum(total) AS total, sum(cost) AS cost FROM bill GROUP BY 1)
-SELECT e.bucket, CAST(coalesce(calls, 0) AS BIGINT) AS calls, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(cost, 0) AS DOUBLE) / 1e16 AS cost FROM (SELECT unnest(['cheap', 'premium', 'local', 'standard', 'other']) AS bucket) e LEFT JOIN b ON e.bucket = b.bucket""")
+SELECT e.bucket, CAST(coalesce(calls, 0) AS BIGINT) AS calls, CAST(coalesce(total, 0) AS BIGINT) AS total, round(CAST(coalesce(cost, 0) AS DOUBLE) / 1e16, 10) AS cost FROM (SELECT unnest(['cheap', 'premium', 'local', 'standard', 'other']) AS bucket) e LEFT JOIN b ON e.bucket = b.bucket""")
 def q_class_costs(spark, folder):
     """Classes by nested parts of the name, else by the model's rate, with their cost."""
-    return reports.class_costs(_billed(spark, folder, False), NESTED, BY_RATE).withColumn("cost", rates.money(F.col("cost")))
+    return reports.class_costs(_billed(spark, folder, False), NESTED, BY_RATE).withColumn("cost", F.round(rates.money(F.col("cost")), 10))
 
 
 # ---- periods, records, streaks
